@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, sharding
+from . import chat, langid, secrets, sharding
 from .common import discard, fold_of, shared_folder, stored, table
 
 SHARDS = 8
@@ -65,3 +65,14 @@ QUERIES = {
     "op7_language_id": op7_language_id,
 }
 ORACLES = {"op6_chat_formatting": OP6_SQL}
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train())
+    joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(F.filter("secrets", lambda s: s["kind"] != "cnn")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+QUERIES["op2_secret_scans"] = op2_secret_scans
