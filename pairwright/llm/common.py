@@ -128,14 +128,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"], _POW["q"]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, with_starts: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and each row's first index.
 
-    Returns (hashes, row offsets into hashes). One pass of prefix sums of a polynomial; no Python per word.
+    Returns (hashes, row offsets into hashes[, first byte of each word]). One pass of prefix sums of a polynomial; no Python per word.
     """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        empty = np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return (*empty, np.zeros(0, np.int64)) if with_starts else empty
     word = ~_SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -154,7 +155,8 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     tok[inner] -= h[starts[inner] - 1]
     tok *= q[starts]
     tok += (ends - starts).astype(np.uint64)
-    return mix(tok), np.searchsorted(starts, off)
+    out = mix(tok), np.searchsorted(starts, off)
+    return (*out, starts) if with_starts else out
 
 
 def sorted_counts(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, secrets, sharding
+from . import chat, fingerprints, langid, secrets, sharding
 from .common import discard, fold_of, shared_folder, stored, table
 
 SHARDS = 8
@@ -76,3 +76,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_secret_scans"] = op2_secret_scans
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_document_fingerprints"] = op9_document_fingerprints
