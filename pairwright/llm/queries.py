@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, secrets, sharding
+from . import chat, fingerprints, langid, ngram_lm, secrets, sharding
 from .common import discard, fold_of, shared_folder, stored, table
 
 SHARDS = 8
@@ -83,3 +83,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_document_fingerprints"] = op9_document_fingerprints
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", (fold_of(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
+    return ngram_lm.score(docs, ngram_lm.train(spark, docs.where(~F.col("held_out"))))
+
+
+QUERIES["op1_lm_scoring"] = op1_lm_scoring
