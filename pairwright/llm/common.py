@@ -176,3 +176,10 @@ def sorted_counts(values: np.ndarray, weights: np.ndarray | None = None) -> tupl
 def digest64(data: bytes) -> int:
     """A signed 64-bit digest."""
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file lies; the same place on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, ngram_lm, secrets, sharding
-from .common import discard, fold_of, shared_folder, stored, table
+from . import chat, fingerprints, langid, ngram_lm, pieces, secrets, sharding
+from .common import tokenizer_path, discard, fold_of, shared_folder, stored, table
 
 SHARDS = 8
 
@@ -92,3 +92,16 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_lm_scoring"] = op1_lm_scoring
+
+
+#: The public SentencePiece model that encodes documents.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.encode(docs, tokenizer_path(PIECE_MODEL))
+    return done.select("doc_id", F.coalesce(F.size("pieces.ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("pieces.ids").alias("ids"), F.col("pieces.round_trip").alias("round_trip"))
+
+
+QUERIES["op8_sentencepiece"] = op8_sentencepiece
