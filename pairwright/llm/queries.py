@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, ngram_lm, pieces, secrets, sharding
+from . import chat, decontaminate, fingerprints, langid, ngram_lm, pieces, secrets, sharding
 from .common import tokenizer_path, discard, fold_of, shared_folder, stored, table
 
 SHARDS = 8
@@ -105,3 +105,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_sentencepiece"] = op8_sentencepiece
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op4_benchmark_decontamination"] = op4_benchmark_decontamination
