@@ -30,6 +30,8 @@ PIECE_WORDS = 8
 #: Cells of a fingerprint, a multiple of three; a retry has four times as many.
 CELLS = 12
 GROW = 4
+#: Cells that are peeled at once: what a worker holds for it stays below some 30 MB.
+PEEL_CELLS = 1 << 18
 _SALTS = [np.uint64(x) for x in (0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD)]
 _CHECK = np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -136,7 +138,7 @@ def differing(a, a_at, b, b_at) -> np.ndarray:
             for i in todo:
                 out[i] = len(np.setxor1d(a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]))
             break
-        step = max(1, (1 << 22) // m)
+        step = max(1, PEEL_CELLS // m)
         failed = [later]
         for s in range(0, len(rows), step):
             part = rows[s : s + step]
