@@ -183,3 +183,21 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def by_range(spark: SparkSession, df: DataFrame, column: str = "id") -> tuple[DataFrame, int]:
+    """Deals df into ascending ranges of a long column, one partition each; adds `to`, the range's number.
+
+    Bounds are quantiles over all rows; nulls go first. One shuffle; only the bounds reach the driver.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out, n = range_numbers(df, column, parts)
+    return out.repartitionById(n, F.col("to")), n
+
+
+def range_numbers(df: DataFrame, column: str, parts: int) -> tuple[DataFrame, int]:
+    q = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else []
+    bounds = sorted(set(q or []))
+    literal = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    bucket = F.coalesce(F.size(F.filter(literal, lambda b: b <= F.col(column))), F.lit(0))
+    return df.withColumn("to", F.when(F.col(column).isNull(), 0).otherwise(bucket)), len(bounds) + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, jaccard, langid, ngram_lm, pieces, secrets, sharding
+from . import chat, decontaminate, fingerprints, jaccard, langid, ngram_lm, pieces, secrets, sharding, token_files
 from .common import tokenizer_path, discard, fold_of, shared_folder, stored, table
 
 SHARDS = 8
@@ -133,3 +133,16 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.a = w.doc_id GROUP BY w.do
 """
 QUERIES["op5_ngram_jaccard_join"] = op5_ngram_jaccard_join
 ORACLES["op5_ngram_jaccard_join"] = OP5_SQL
+
+
+#: The public tokenizer whose ids op10 writes.
+ID_TOKENIZER = "word_bpe_49k.json"
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    token_files.write_files(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), folder, tokenizer_path(ID_TOKENIZER))
+    return token_files.read_files(spark, folder)
+
+
+QUERIES["op10_token_files"] = op10_token_files
