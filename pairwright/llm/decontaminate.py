@@ -16,9 +16,12 @@ are each reported; repeated rows report each; empty tables give no rows; further
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, text_slices
@@ -169,19 +172,20 @@ class Queries:
 MATCHES = "doc_id long, item_id long, windows_found long, item_windows long, edits long, start long"
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item found in it; `start` is a place in the folded text."""
+def query_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text"):
+    """The benchmark's windows, in blocks of bounded size; one block for an empty benchmark."""
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        queries = Queries(sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in own))
-        part = narrow.mapInArrow(_searcher(queries), MATCHES)
-        out = part if out is None else out.unionByName(part)
-    return out
+        yield Queries(sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in own))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document and item found in it; `start` is a place in the folded text."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return reduce(DataFrame.unionByName, [narrow.mapInArrow(_searcher(q), MATCHES) for q in query_blocks(benchmark)])
 
 
 def _searcher(queries: Queries):
@@ -196,28 +200,22 @@ def _searcher(queries: Queries):
     return run
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "leaks") -> DataFrame:
-    """docs with the ids of the items found in each, as an array; only the text travels to Python."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t"))
-    total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    found = []
-    from collections.abc import Iterator
+def _lister(queries: Queries):
+    def run(batches):
+        for arr in batches:
+            lists: list[list[int]] = [[] for _ in range(len(arr))]
+            done = 0
+            for s in text_slices(pa.RecordBatch.from_arrays([arr], names=["t"]), limit=2 << 20):
+                for r in queries.documents(s.column(0).to_pylist()):
+                    lists[done + r[0]].append(r[1])
+                done += s.num_rows
+            yield pa.array(lists, pa.list_(pa.int64()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
 
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        queries = Queries(sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in own))
-
-        def run(batches, queries=queries):
-            for arr in batches:
-                lists = [[] for _ in range(len(arr))]
-                done = 0
-                for s in text_slices(pa.RecordBatch.from_arrays([arr], names=["t"]), limit=2 << 20):
-                    for r in queries.documents(s.column(0).to_pylist()):
-                        lists[done + r[0]].append(r[1])
-                    done += s.num_rows
-                yield pa.array(lists, pa.list_(pa.int64()))
-
-        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        found.append(F.arrow_udf(run, "array<bigint>")(F.col(text_col)))
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "leaks") -> DataFrame:
+    """docs with the ids of the items found in each, as an array; only the text travels to Python."""
+    found = [F.arrow_udf(_lister(q), "array<bigint>")(F.col(text_col)) for q in query_blocks(benchmark)]
     return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, text_buffer, text_slices, word_hashes
+from .common import mix, range_numbers, text_buffer, text_slices, word_hashes
 
 PIECE_WORDS = 8
 #: Cells of a fingerprint, a multiple of three; a retry has four times as many.
@@ -181,16 +181,11 @@ def successors(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, h
     each range is sent to the range before it as well, marked `ahead`, and so arrives there last: every document meets
     its successor without a second pass. Only range bounds reach the driver.
     """
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    q = d.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else []
-    bounds = sorted(set(q or []))
-    literal = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(literal, lambda b: b <= F.col("id"))), F.lit(0))
-    d = d.withColumn("bucket", F.when(F.col("id").isNull(), 0).otherwise(bucket))
+    d, n = range_numbers(d, "id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = d.withColumnRenamed("to", "bucket")
     firsts = {r["bucket"]: None if r["nulls"] else r["first"] for r in d.groupBy("bucket").agg(F.min("id").alias("first"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()}
     used = sorted(firsts)
-    n = len(bounds) + 1
     if not used:
         return spark.createDataFrame([], schema)
     before = F.create_map(*[x for i, b in enumerate(used) for x in (F.lit(b), F.lit(used[i - 1]))])

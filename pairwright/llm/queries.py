@@ -108,7 +108,7 @@ QUERIES["op8_sentencepiece"] = op8_sentencepiece
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES["op4_benchmark_decontamination"] = op4_benchmark_decontamination
