@@ -10,8 +10,9 @@ set by their number, turned into base-2 levels), then by hash. What follows from
    dealt out, packed by hash of the shingle; classes that share one make a run.
 2. Runs give candidate pairs that pass the length bound and the bound by what is left of both sets. Short runs give
    all pairs. Long ones (a large group of near copies, say) first give a chain and a hub, whose links make
-   components; later rounds ask only for pairs between different components, some at first, then all that are left.
-   So no link between components is missed, and pairs inside one are not spelled out.
+   components; later rounds ask only for pairs between different components whose parity sketches do not rule a link
+   out, the closest at first, then all that are left. So no link between components is missed, and pairs inside one
+   are not spelled out.
 3. Verification by prefix trees. A class is joined with a batch of its candidates, stored as sorted sequences, common
    shingles first; runs of equal prefixes are the tree's branches. The walk keeps the overlap of each shared prefix
    and leaves a subtree when the overlap so far and what remains cannot reach what is required.
@@ -39,8 +40,8 @@ from .ngram_lm import pack, unpack
 SHINGLE = 5
 #: Runs up to this many classes give all their pairs at once.
 SHORT_RUN = 16
-#: Partners that a class outside a run's largest component gets in the round before the full one.
-SOME = 8
+#: Closest partners that a class outside a run's largest component gets in the round before the full one.
+SOME = 2
 #: Candidates of one class that are verified in one batch.
 BATCH = 256
 #: Prefix rows that a task holds before it packs and sends them.
@@ -247,32 +248,63 @@ def _runs(key, table):
     return pa.concat_tables([_candidate_table(0, a=a, b=b), _candidate_table(1, key=k[long].view(np.int64), a=cls[long], n=n[long], pos=pos[long])])
 
 
+def parity_sketch(own: np.ndarray) -> bytes:
+    """One bit per cell: whether an odd number of the set's shingles fall there; about four cells a shingle.
+
+    Sketches of two sets differ in at most as many bits as the sets differ in shingles, and a sketch folds to half
+    its size by xor of its halves. So a count of differing bits rules pairs out, and never one that links.
+    """
+    m = 1 << int(min(20, max(9, np.ceil(np.log2(4 * len(own))))))
+    return np.packbits(np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _differing_bits(sketches: list[np.ndarray], outside: np.ndarray):
+    """(rows of outside, members, differing bits) blocks, so that each pair of a row and a member shows once.
+
+    Sizes more than a factor of two apart are left out: such sets cannot link.
+    """
+    words = np.array([len(x) for x in sketches])
+    for w in np.unique(words):
+        members = np.flatnonzero((words == w) | (words == 2 * w))
+        m = np.stack([sketches[j] if words[j] == w else sketches[j][:w] ^ sketches[j][w:] for j in members])
+        place = {int(j): k for k, j in enumerate(members)}
+        rows = [r for r, i in enumerate(outside.tolist()) if words[i] in (w, 2 * w)]
+        step = max(1, (1 << 21) // (len(members) * int(w)))
+        for s in range(0, len(rows), step):
+            r = np.array(rows[s : s + step])
+            own = m[[place[int(i)] for i in outside[r]]]
+            bits = np.bitwise_count(own[:, None] ^ m[None]).sum(2, dtype=np.int64)
+            smaller = np.minimum(words[outside[r]][:, None], words[members][None]) == w
+            yield r, members, np.where(smaller, bits, np.int64(1) << 40)
+
+
 def _crossing(full: bool):
-    """Pairs of a part's long runs whose components differ: up to SOME a class, or all."""
+    """Pairs of a part's long runs whose components differ and that may link: SOME closest a class, or all."""
 
     def run(key, table):
         k, cls, comp, n, pos = (table[c].to_numpy() for c in ("key", "a", "comp", "n", "pos"))
+        sketch = table["sketch"].combine_chunks() if table["sketch"].num_chunks != 1 else table["sketch"].chunk(0)
         order = np.lexsort((cls, k))
         k, cls, comp, n, pos = (x[order] for x in (k, cls, comp, n, pos))
         edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
         out: list[tuple] = [(np.zeros(0, np.int64),) * 2]
         for lo, hi in zip(edge[:-1], edge[1:]):
-            c = comp[lo:hi]
-            names, inv, count = np.unique(c, return_inverse=True, return_counts=True)
+            names, inv, count = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
             if len(names) < 2:
                 continue
             top = int(count.argmax())
             outside = np.flatnonzero(inv != top)
-            for s in range(0, len(outside), 64):
-                i = outside[s : s + 64]
-                ok = (inv[i][:, None] != inv[None]) & ((inv[None] == top) | (np.arange(hi - lo)[None] > i[:, None]))
-                ok &= may_link(n[lo + i][:, None], n[lo:hi][None], pos[lo + i][:, None], pos[lo:hi][None])
-                if not full:
-                    rank = np.where(ok, mix(cls[lo + i].view(np.uint64)[:, None] * _C[3] ^ cls[lo:hi].view(np.uint64)[None]) >> np.uint64(1), np.uint64(1 << 63))
-                    if ok.shape[1] > SOME:
-                        ok &= rank <= np.partition(rank, SOME - 1, 1)[:, SOME - 1 : SOME]
-                r, j = np.nonzero(ok)
-                out.append(_distinct_pairs(cls[lo + i[r]], cls[lo + j]))
+            sketches = [np.frombuffer(sketch[int(i)].as_buffer(), np.uint64) for i in order[lo:hi]]
+            for r, members, bits in _differing_bits(sketches, outside):
+                i, j = outside[r][:, None], members[None]
+                n1, n2 = n[lo + i], n[lo + j]
+                ok = (inv[i] != inv[j]) & ((inv[j] == top) | (j > i)) & may_link(n1, n2, pos[lo + i], pos[lo + j])
+                ok &= bits <= n1 + n2 - 2 * -(-4 * (n1 + n2) // 9)
+                if not full and ok.shape[1] > SOME:
+                    rank = np.where(ok, bits, np.int64(1) << 40) * 4096 + (mix(cls[lo + i].view(np.uint64) ^ cls[lo + j].view(np.uint64) * _C[3]) >> np.uint64(52)).astype(np.int64)
+                    ok &= rank <= np.partition(rank, SOME - 1, 1)[:, SOME - 1 : SOME]
+                x, y = np.nonzero(ok)
+                out.append(_distinct_pairs(cls[lo + outside[r][x]], cls[lo + members[y]]))
             if len(out) > 256:
                 out = [_distinct_pairs(*(np.concatenate([p[x] for p in out]) for x in range(2)))]
         a, b = _distinct_pairs(*(np.concatenate([p[x] for p in out]) for x in range(2)))
@@ -295,11 +327,12 @@ def _wanted_sets(levels, bits: int, bitmap: np.ndarray):
                 ids = t.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
                 bit = (cls ^ ids) & ((1 << _BITMAP_BITS) - 1)
                 rows = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 & (np.diff(at) > 0))
-                sets = []
+                sets, sketches = [], []
                 for r in rows.tolist():
                     own = s[at[r] : at[r + 1]]
                     sets.append(own[np.lexsort((own, ~lv[_cells(own, bits)]))].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(sets, pa.binary())], names=["cls", "seq"])
+                    sketches.append(parity_sketch(own))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], names=["cls", "seq", "sketch"])
 
     return run
 
@@ -424,14 +457,16 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     bitmap = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
     for r in marks.collect():
         bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["blob"], np.uint8)
-    sets = stored(spark, d.mapInArrow(_wanted_sets(levels, bits, bitmap), "cls long, seq binary"), "sets")
+    sets = stored(spark, d.mapInArrow(_wanted_sets(levels, bits, bitmap), "cls long, seq binary, sketch binary"), "sets")
 
     links = stored(spark, verify(spark, pairs, sets), "links")
     known = components(spark, links)
     if runs.limit(1).count():
         bucket = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("bucket")
+        drawn = sets.select("cls", "sketch")
         for full in (False, True):
-            own = runs.join(known, runs["a"] == known["node"], "left").select(bucket, "key", "a", F.coalesce("comp", "a").alias("comp"), "n", "pos")
+            own = runs.join(known, runs["a"] == known["node"], "left").join(drawn, runs["a"] == drawn["cls"])
+            own = own.select(bucket, "key", "a", F.coalesce("comp", "a").alias("comp"), "n", "pos", "sketch")
             more = stored(spark, own.groupBy("bucket").applyInArrow(_crossing(full), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
             if not more.limit(1).count():
                 discard(spark, more)
