@@ -1,4 +1,376 @@
-"""Named queries of the engine and the SQL that says the same."""
+"""Named queries of the engine and the SQL that says the same.
+
+Queries run over two programs derived from `events` (see sources.programs) unless their name says otherwise. Queries
+on pairs take the functions of both programs that share an address, or all pairs of equal key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kernels as K
+from ..operators import assignment, features, lite, matching, results, textdiff
+from ..sources import programs
+from . import oracle as O
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def program(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    return programs.events_program(spark, sf, side)
+
+
+def feats(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    return features.extract_features(program(spark, sf, side))
+
+
+def aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature structs a and b of functions at equal addresses."""
+    a, b = feats(spark, sf, "a"), feats(spark, sf, "b")
+    return matching.key_pairs(a, b, F.col("address"))
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def _on_a(columns: str) -> str:
+    return f"{O.PROGRAM} SELECT {columns} FROM f WHERE side = 'a'"
+
+
+@query("scan_functions", _on_a("idx, name, address::BIGINT AS address, size::BIGINT AS size, n_bb, n_instr, complexity, cfg AS cfg_hash, cg AS call_graph_hash"))
+def scan_functions(spark, sf):
+    return feats(spark, sf, "a").select("idx", "name", F.col("address").cast("bigint"), F.col("size").cast("bigint"), "n_bb", "n_instr", "complexity", "cfg_hash", "call_graph_hash")
+
+
+@query("feature_extract", _on_a("idx, edges AS edges_total, edges AS edges_cfg, len(calls) AS n_calls, len(consts) AS n_constants, len(strs) AS n_strings, array_to_string(list_sort(calls), ',') AS calls, array_to_string(degs, ',') AS degrees, seq AS sequence"))
+def feature_extract(spark, sf):
+    f = feats(spark, sf, "a")
+    n = lambda c: F.size(c).cast("bigint")
+    return f.select("idx", "edges_total", "edges_cfg", n("calls").alias("n_calls"), n("constants").alias("n_constants"), n("strings").alias("n_strings"), F.array_join(F.array_sort("calls"), ",").alias("calls"), F.array_join(F.transform("degrees", lambda d: d.cast("string")), ",").alias("degrees"), "sequence")
+
+
+@query("md_index", _on_a("idx, substr(sha256(size || ':' || n_bb || ':' || n_instr || ':' || complexity), 1, 16) AS md_index"))
+def md_index(spark, sf):
+    return feats(spark, sf, "a").select("idx", "md_index")
+
+
+@query("primes_product", _on_a(f"idx, list_reduce(list_prepend(1::HUGEINT, list_transform(ms, lambda m: ({O.PRIME})::HUGEINT)), lambda p, q: (p * q) % 18446744073709551616::HUGEINT)::VARCHAR AS primes_product"))
+def primes_product(spark, sf):
+    return feats(spark, sf, "a").select("idx", F.col("primes_product").cast("string"))
+
+
+@query("fuzzy_hash", _on_a("idx, substr(sha256(shape || array_to_string(ms, '_') || '_'), 1, 16) AS fuzzy_hash"))
+def fuzzy_hash(spark, sf):
+    return feats(spark, sf, "a").select("idx", "fuzzy_hash")
+
+
+@query("auto_name_filter", _on_a("idx, name") + " AND NOT regexp_matches(name, '^(sub_|SUB_|FUN_|fun_|loc_|fcn[.]|func_)') AND name NOT IN ('', 'unnamed')")
+def auto_name_filter(spark, sf):
+    return feats(spark, sf, "a").where(~F.col("is_auto")).select("idx", "name")
+
+
+# ---------------------------------------------------------------- candidate pairs and matches
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select("idx_a", "idx_b", r6(F.col("similarity")).alias("similarity"), r6(F.col("confidence")).alias("confidence"))
+
+
+def _candidates(phase: int):
+    return lambda spark, sf: _scores(matching.keyed_candidates(feats(spark, sf, "a"), feats(spark, sf, "b"), phase))
+
+
+_KEYS = {"name_pairs": (2, "x.name = y.name AND x.name NOT LIKE 'sub\\_%' ESCAPE '\\'"), "md_pairs": (3, "x.size = y.size AND x.n_bb = y.n_bb AND x.n_instr = y.n_instr AND x.complexity = y.complexity"), "degree_pairs": (5, "x.degs = y.degs"), "primes_pairs": (4, "list_sort(x.ms) = list_sort(y.ms)")}
+for _name, (_phase, _on) in _KEYS.items():
+    query(_name, f"{O.PROGRAM}{O.pairs(_on)} SELECT {O.SCORES} FROM p WHERE {O.GATE}")(_candidates(_phase))
+
+# Products modulo 2^64 collide beyond equal multisets, so their pairs are joined by product.
+ORACLES["primes_pairs"] = (
+    O.PROGRAM.rstrip().removesuffix(")").replace("cfg, sha256(array", f"cfg, list_reduce(list_prepend(1::HUGEINT, list_transform(ms, lambda m: ({O.PRIME})::HUGEINT)), lambda p, q: (p * q) % 18446744073709551616::HUGEINT) AS primes, sha256(array")
+    + f"){O.pairs('x.primes = y.primes')} SELECT {O.SCORES} FROM p WHERE {O.GATE}"
+)
+
+
+@query("exact_match", f"{O.PROGRAM}{O.EXACT}{O.pairs('EXISTS (SELECT 1 FROM e WHERE e.idx_a = x.idx AND e.idx_b = y.idx)')} SELECT {O.SCORES}, 'Exact' AS match_type FROM p")
+def exact_match(spark, sf):
+    m = matching.exact_matches(feats(spark, sf, "a"), feats(spark, sf, "b"))
+    return _scores(m).join(m.select("idx_a", "match_type"), "idx_a")
+
+
+_FREE = "x.idx NOT IN (SELECT idx_a FROM e) AND y.idx NOT IN (SELECT idx_b FROM e)"
+
+
+def _after_exact(spark, sf):
+    a, b = feats(spark, sf, "a"), feats(spark, sf, "b")
+    e = matching.stored(spark, matching.exact_matches(a, b).select("idx_a", "idx_b"), "exact")
+    return a.join(e.select(F.col("idx_a").alias("idx")), "idx", "left_anti"), b.join(e.select(F.col("idx_b").alias("idx")), "idx", "left_anti"), e
+
+
+def _keyed(phase: int):
+    def run(spark, sf):
+        a, b, _ = _after_exact(spark, sf)
+        return _scores(matching.keyed_matches(spark, a, b, phase))
+
+    return run
+
+
+query("name_match", f"{O.PROGRAM}{O.EXACT}{O.pairs(_KEYS['name_pairs'][1] + ' AND ' + _FREE)} SELECT {O.SCORES} FROM p WHERE {O.GATE}")(_keyed(2))
+query("md_match")(_keyed(3))
+query("primes_match")(_keyed(4))
+query("structural_match")(_keyed(5))
+
+_RESOLVE = """, o1 AS (SELECT *, row_number() OVER (PARTITION BY idx_a ORDER BY conf DESC, sim DESC, idx_b) AS r FROM g),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY idx_b ORDER BY conf DESC, sim DESC, idx_a) AS r2 FROM o1 WHERE r = 1)"""
+
+
+@query("fuzzy_pairs", f"{O.PROGRAM}{O.EXACT}{O.pairs(_FREE, blend=True)} SELECT {O.SCORES} FROM p WHERE {O.GATE}")
+def fuzzy_pairs(spark, sf):
+    a, b, _ = _after_exact(spark, sf)
+    return _scores(matching.fuzzy_candidates(a, b))
+
+
+# Ties are broken on rounded scores on both sides, so that the last bit of a sum does not decide.
+@query("fuzzy_match", f"{O.PROGRAM}{O.EXACT}{O.pairs(_FREE, blend=True)}, g AS (SELECT idx_a, idx_b, round(sim, 6) AS sim, round(conf, 6) AS conf FROM p WHERE {O.GATE}){_RESOLVE} SELECT idx_a, idx_b, sim AS similarity, conf AS confidence FROM o2 WHERE r2 = 1")
+def fuzzy_match(spark, sf):
+    a, b, _ = _after_exact(spark, sf)
+    return assignment.propose_and_resolve(_scores(matching.fuzzy_candidates(a, b)), ["confidence", "similarity"]).select("idx_a", "idx_b", "similarity", "confidence")
+
+
+# ---------------------------------------------------------------- whole diffs
+
+
+def _diff(spark, sf):
+    return matching.diff(spark, feats(spark, sf, "a"), feats(spark, sf, "b"))
+
+
+@query("full_diff")
+def full_diff(spark, sf):
+    return _diff(spark, sf).matches
+
+
+@query("unmatched_a")
+def unmatched_a(spark, sf):
+    return _diff(spark, sf).unmatched_a.select("idx", "name", "address")
+
+
+@query("unmatched_b")
+def unmatched_b(spark, sf):
+    return _diff(spark, sf).unmatched_b.select("idx", "name", "address")
+
+
+@query("summary")
+def summary(spark, sf):
+    return matching.summary(_diff(spark, sf))
+
+
+@query("exact_leftovers", f"{O.PROGRAM}{O.EXACT} SELECT side, idx, name FROM f WHERE (side = 'a' AND idx NOT IN (SELECT idx_a FROM e)) OR (side = 'b' AND idx NOT IN (SELECT idx_b FROM e))")
+def exact_leftovers(spark, sf):
+    a, b, _ = _after_exact(spark, sf)
+    return a.select(F.lit("a").alias("side"), "idx", "name").unionByName(b.select(F.lit("b").alias("side"), "idx", "name"))
+
+
+_EXACT_PAIRS = O.pairs("EXISTS (SELECT 1 FROM e WHERE e.idx_a = x.idx AND e.idx_b = y.idx)")
+
+
+@query("statistics", f"{O.PROGRAM}{O.EXACT}{_EXACT_PAIRS} SELECT count(*) AS total_matches, count(*) AS exact_matches, 0::BIGINT AS structural_matches, 0::BIGINT AS heuristic_matches, 0::BIGINT AS manual_matches, round(coalesce(avg(sim), 0.0), 6) AS similarity_score, round(coalesce(avg(conf), 0.0), 6) AS average_confidence, (SELECT count(*) FROM f WHERE side = 'a') - count(*) AS unmatched_a, (SELECT count(*) FROM f WHERE side = 'b') - count(*) AS unmatched_b FROM p")
+def statistics(spark, sf):
+    a, b = feats(spark, sf, "a"), feats(spark, sf, "b")
+    s = matching.statistics(matching.exact_matches(a, b), a.count(), b.count())
+    return s.withColumns({c: r6(F.col(c)) for c in ("similarity_score", "average_confidence")})
+
+
+def _labelled(spark, sf) -> DataFrame:
+    """Aligned pairs as matches: by confidence, each of the three types occurs."""
+    s = matching.scored(aligned(spark, sf))
+    label = F.when(F.col("a.cfg_hash") == F.col("b.cfg_hash"), "Exact").when(F.col("a.n_bb") == F.col("b.n_bb"), "Structural").otherwise("Heuristic")
+    return s.withColumns({"phase": F.lit(1), "match_type": label, "similarity": r6(F.col("similarity")), "confidence": r6(F.col("confidence"))})
+
+
+_VIEW = f"""{O.PROGRAM}{O.pairs(O.ALIGNED, extra=", x.name AS name_a, y.name AS name_b, x.address::BIGINT AS address_a, y.address::BIGINT AS address_b, x.size::BIGINT AS size_a, y.size::BIGINT AS size_b, x.n_bb AS bb_a, y.n_bb AS bb_b, x.n_instr AS instr_a, y.n_instr AS instr_b, CASE WHEN x.cfg = y.cfg THEN 'Exact' WHEN x.n_bb = y.n_bb THEN 'Structural' ELSE 'Heuristic' END AS match_type")}, v AS (SELECT idx_a, round(sim, 6) AS similarity, round(conf, 6) AS confidence, name_a, name_b, address_a, address_b, match_type, size_a, size_b, bb_a, bb_b, instr_a, instr_b FROM p)"""
+
+
+def view(spark, sf) -> DataFrame:
+    m = _labelled(spark, sf).select(*matching.COLUMNS)
+    v = results.results_view(m, feats(spark, sf, "a"), feats(spark, sf, "b"))
+    return v.withColumns({c: F.col(c).cast("bigint") for c in ("address_a", "address_b", "size_a", "size_b")})
+
+
+_VIEW_COLUMNS = ", ".join(results.VIEW_COLUMNS)
+
+
+@query("results_view", f"{_VIEW} SELECT {_VIEW_COLUMNS} FROM v")
+def results_view(spark, sf):
+    return view(spark, sf).select(*results.VIEW_COLUMNS)
+
+
+@query("type_counts", f"{_VIEW} SELECT count(*) FILTER (WHERE match_type = 'Exact') AS exact, count(*) FILTER (WHERE match_type = 'Structural') AS structural, count(*) FILTER (WHERE match_type = 'Heuristic') AS heuristic, 0::BIGINT AS manual FROM v")
+def type_counts(spark, sf):
+    return results.type_counts(_labelled(spark, sf))
+
+
+def _band(kind: str, expression: str):
+    sql = f"{_VIEW} SELECT {expression} AS band, count(*) AS n FROM v GROUP BY 1"
+    query(f"bands_{kind}", sql)(lambda spark, sf: results.bands(view(spark, sf)).groupBy(F.col(f"{kind}_band").alias("band")).agg(F.count("*").alias("n")))
+
+
+_band("html", "CASE WHEN confidence >= 0.67 THEN 'high-confidence' WHEN confidence >= 0.34 THEN 'medium-confidence' ELSE 'low-confidence' END")
+_band("text", "CASE WHEN confidence > 0.8 THEN 'high' WHEN confidence > 0.6 THEN 'medium' ELSE 'low' END")
+_band("log", "CASE WHEN similarity >= 0.9 THEN 'high' WHEN similarity >= 0.7 THEN 'medium' ELSE 'low' END")
+
+
+@query("filter_results", f"{_VIEW} SELECT {_VIEW_COLUMNS} FROM v WHERE match_type = 'Structural' AND similarity >= 0.7 AND confidence >= 0.5 AND (contains(lower(name_a), 'user_1') OR contains(lower(name_b), 'user_1'))")
+def filter_results(spark, sf):
+    return results.filter_results(view(spark, sf), "Structural", "0.7", "0.5", "USER_1").select(*results.VIEW_COLUMNS)
+
+
+@query("sort_results", f"{_VIEW} SELECT row_number() OVER (ORDER BY similarity DESC, idx_a) AS n, name_a, similarity FROM v")
+def sort_results(spark, sf):
+    return results.numbered(view(spark, sf)).select(F.col("n").cast("bigint"), "name_a", "similarity")
+
+
+@query("sort_by_column", f"{_VIEW} SELECT name_a, size_b FROM v")
+def sort_by_column(spark, sf):
+    return results.sort_results(view(spark, sf), 8, descending=True).select("name_a", "size_b")
+
+
+@query("find_pair", f"{_VIEW} SELECT {_VIEW_COLUMNS} FROM v WHERE address_a = (SELECT min(address_a) FROM v)")
+def find_pair(spark, sf):
+    v = view(spark, sf)
+    at = v.agg(F.min("address_a")).first()[0]
+    return results.find_pair(v, at, at).select(*results.VIEW_COLUMNS)
+
+
+@query("export_rows", f"{_VIEW} SELECT name_a AS safe_a, lower(format('0x{{:016x}}', address_a)) AS full_a, lower(format('{{:x}}', address_b)) AS short_b, similarity, confidence, match_type FROM v")
+def export_rows(spark, sf):
+    return view(spark, sf).select(results.csv_safe(F.col("name_a")).alias("safe_a"), results.hex_address(F.col("address_a"), 16).alias("full_a"), results.hex_address(F.col("address_b"), prefix="").alias("short_b"), "similarity", "confidence", "match_type")
+
+
+# ---------------------------------------------------------------- kernels on aligned pairs
+
+
+def _kernel(name: str, sql: str, column):
+    """One kernel over aligned pairs."""
+    text = f"{O.PROGRAM} SELECT x.idx AS idx_a, y.idx AS idx_b, round({sql}, 6) AS score FROM f x JOIN f y ON x.side = 'a' AND y.side = 'b' AND {O.ALIGNED}"
+    query(name, text)(lambda spark, sf: aligned(spark, sf).select("idx_a", "idx_b", r6(column(F.col("a"), F.col("b"))).alias("score")))
+
+
+_kernel("jaccard_calls", O.PARTS["call"], K.call_similarity)
+_kernel("jaccard_consts", O.PARTS["const"], K.constant_similarity)
+_kernel("jaccard_strings", O.PARTS["string"], K.string_similarity)
+_kernel("control_flow", O.FLOW, K.control_flow_similarity)
+_kernel("cfg_similarity", O.PARTS["cfg"], K.cfg_similarity)
+_kernel("block_similarity", O.PARTS["bb"], K.basic_block_similarity)
+_kernel("instruction_similarity", O.PARTS["instruction"], K.instruction_similarity)
+_kernel("edge_similarity", O.PARTS["edge"], K.edge_similarity)
+_kernel("edit_distance", O.PARTS["name"], K.name_similarity)
+_kernel("sequence_similarity", O.PARTS["seq"], K.sequence_similarity)
+_kernel("comprehensive", " + ".join(f"{w} * ({O.PARTS[k]})" for k, w in K.COMPREHENSIVE_WEIGHTS), K.comprehensive_similarity)
+
+_COUNT = "list_transform({d}, lambda v: len(list_filter({x}, lambda z: z = v))::DOUBLE)"
+_D = "list_distinct(list_concat(x.ms, y.ms))"
+_kernel("cosine", f"list_cosine_similarity({_COUNT.format(d=_D, x='x.ms')}, {_COUNT.format(d=_D, x='y.ms')})", lambda a, b: K.cosine(K.histogram(F.split(a["sequence"], " ")), K.histogram(F.split(b["sequence"], " "))))
+
+query("match_details", f"{O.PROGRAM}{O.pairs(O.ALIGNED)} SELECT idx_a, idx_b, " + ", ".join(f"round(s_{k}, 6) AS {k}" for k, _ in K.MATCH_WEIGHTS) + " FROM p")(
+    lambda spark, sf: matching.scored(aligned(spark, sf)).select("idx_a", "idx_b", *[r6(F.col(f"details.{k}_similarity")).alias(k) for k, _ in K.MATCH_WEIGHTS])
+)
+query("confidence", f"{O.PROGRAM}{O.pairs(O.ALIGNED)} SELECT {O.SCORES} FROM p")(lambda spark, sf: _scores(matching.scored(aligned(spark, sf))))
+
+
+def _with_blocks(spark, sf) -> DataFrame:
+    side = lambda s: program(spark, sf, s).select("address", F.col("idx").alias(f"idx_{s}"), F.col("basic_blocks").alias(f"blocks_{s}"))
+    return side("a").join(side("b"), "address")
+
+
+@query("block_pairing", f"{O.PROGRAM}, bx AS (SELECT f.side, f.idx, f.address, blk.i - 1 AS block, f.address + (blk.i - 1) * 64 AS at, len(blk.ms) AS n FROM f JOIN blk USING (side, user_id)), al AS (SELECT x.idx AS idx_a, y.idx AS idx_b, x.address FROM f x JOIN f y ON x.side = 'a' AND y.side = 'b' AND {O.ALIGNED}) SELECT al.idx_a, al.idx_b, coalesce(p.block, q.block) AS block, p.at::BIGINT AS address_a, p.n AS instr_a, q.at::BIGINT AS address_b, q.n AS instr_b FROM (SELECT * FROM bx WHERE side = 'a' AND address IN (SELECT address FROM al)) p FULL JOIN (SELECT * FROM bx WHERE side = 'b' AND address IN (SELECT address FROM al)) q ON p.address = q.address AND p.block = q.block JOIN al ON al.address = coalesce(p.address, q.address)")
+def block_pairing(spark, sf):
+    return results.pair_blocks(_with_blocks(spark, sf)).withColumns({c: F.col(c).cast("bigint") for c in ("address_a", "address_b")})
+
+
+@query("bb_matrix", f"{O.PROGRAM}, bx AS (SELECT f.side, f.idx, f.address, blk.i - 1 AS block, list_distinct(blk.ms) AS ms FROM f JOIN blk USING (side, user_id)) SELECT x.idx AS idx_a, y.idx AS idx_b, x.block AS block_a, y.block AS block_b, round({O._JACCARD.format(c='ms')}, 6) AS score FROM bx x JOIN bx y ON x.side = 'a' AND y.side = 'b' AND {O.ALIGNED}")
+def bb_matrix(spark, sf):
+    m = _with_blocks(spark, sf).select("idx_a", "idx_b", F.posexplode(K.block_matrix(F.col("blocks_a"), F.col("blocks_b"))).alias("block_a", "row"))
+    return m.select("idx_a", "idx_b", F.col("block_a").cast("bigint"), F.posexplode("row").alias("block_b", "score")).withColumns({"block_b": F.col("block_b").cast("bigint"), "score": r6(F.col("score"))})
+
+
+# ---------------------------------------------------------------- lite profile
+
+
+def _lite(spark, sf, side: str) -> DataFrame:
+    return programs.lite_features(program(spark, sf, side))
+
+
+_LITE = """, lf AS (SELECT side, user_id, n_bb::VARCHAR || string_agg(deg::VARCHAR || (len(ms) * 16)::VARCHAR, '' ORDER BY day) || (sum(len(ms)) * 16)::VARCHAR AS key FROM blk JOIN fb USING (side, user_id) GROUP BY side, user_id, n_bb),
+lp AS (SELECT f.*, key, regexp_replace(lower(name), '^(sub_)?(fcn_)?(fcn[.])?(function_)?(func_)?(f_)?', '') AS bare FROM f JOIN lf USING (side, user_id))"""
+_LITE_SCORE = f"((CASE WHEN x.key = y.key THEN 10.0 ELSE 0.0 END) + 7.5 * ({O._SHARE.format(c='n_bb')}) + 2.0 * ({O._SHARE.format(c='n_instr')}) + 8.0 + (CASE WHEN x.bare = y.bare THEN 1.0 ELSE 0.0 END)) / 28.5"
+
+
+@query("lite_similarity", f"{O.PROGRAM}{_LITE} SELECT x.idx AS idx_a, y.idx AS idx_b, round({_LITE_SCORE}, 6) AS score FROM lp x JOIN lp y ON x.side = 'a' AND y.side = 'b' AND {O.ALIGNED}")
+def lite_similarity(spark, sf):
+    pairs = matching.key_pairs(_lite(spark, sf, "a"), _lite(spark, sf, "b"), F.col("address"))
+    return pairs.select("idx_a", "idx_b", r6(lite.similarity(F.col("a"), F.col("b"))).alias("score"))
+
+
+@query("lite_exact")
+def lite_exact(spark, sf):
+    return lite._phase(spark, lite.candidates(_lite(spark, sf, "a"), _lite(spark, sf, "b"), 0), 0)
+
+
+@query("lite_name", f"{O.PROGRAM}{_LITE} SELECT 2 AS phase, x.idx AS idx_a, y.idx AS idx_b, round(least(1.0, {_LITE_SCORE} + 0.05), 6) AS similarity FROM lp x JOIN lp y ON x.side = 'a' AND y.side = 'b' AND x.name = y.name WHERE least(1.0, {_LITE_SCORE} + 0.05) > 0.5")
+def lite_name(spark, sf):
+    m = lite._phase(spark, lite.candidates(_lite(spark, sf, "a"), _lite(spark, sf, "b"), 1), 1)
+    return m.withColumn("similarity", r6(F.col("similarity")))
+
+
+@query("lite_full")
+def lite_full(spark, sf):
+    return lite.match(spark, _lite(spark, sf, "a"), _lite(spark, sf, "b"))
+
+
+# ---------------------------------------------------------------- text diffs
+
+
+def _texts(spark, sf) -> DataFrame:
+    """One line for each instruction, of both functions at an address."""
+    line = lambda i: F.concat_ws(" ", i["mnemonic"], F.array_join(i["operands"], ", "))
+    side = lambda s: program(spark, sf, s).select("address", F.col("idx").alias(f"idx_{s}"), F.col("name").alias(f"name_{s}"), F.array_join(F.transform("instructions", line), "\n").alias(f"code_{s}"))
+    return side("a").join(side("b"), "address")
+
+
+@query("line_diff")
+def line_diff(spark, sf):
+    return textdiff.diff_lines(_texts(spark, sf), textdiff.Opcodes, "code_a", "code_b").select("idx_a", "idx_b", "tag", "i1", "i2", "j1", "j2")
+
+
+@query("side_by_side")
+def side_by_side(spark, sf):
+    return textdiff.diff_lines(_texts(spark, sf), textdiff.SideBySide, "code_a", "code_b").select("idx_a", "n", "tag", "line_a", "text_a", "line_b", "text_b")
+
+
+@query("unified_diff")
+def unified_diff(spark, sf):
+    return textdiff.diff_lines(_texts(spark, sf), textdiff.UnifiedDiff, "code_a", "code_b", "name_a", "name_b").select("idx_a", "n", "kind", "line")
+
+
+# ---------------------------------------------------------------- volume: programs of orders
+
+
+@query("orders_zip", """WITH n AS (SELECT l_orderkey AS k, count(*) AS n_instr, count(DISTINCT l_linenumber) AS n_bb FROM lineitem GROUP BY 1),
+f AS (SELECT o_orderkey AS idx, o_orderkey % 2 AS side, substr(sha256((n_instr * 16) || ':' || n_bb || ':' || n_instr || ':1'), 1, 16) AS md FROM orders JOIN n ON k = o_orderkey),
+z AS (SELECT *, row_number() OVER (PARTITION BY side, md ORDER BY idx) AS nth FROM f)
+SELECT x.idx AS idx_a, y.idx AS idx_b, x.md AS md_index FROM z x JOIN z y ON x.side = 0 AND y.side = 1 AND x.md = y.md AND x.nth = y.nth""")
+def orders_zip(spark, sf):
+    f = {s: features.extract_features(programs.orders_program(spark, sf, s)).select("idx", "md_index") for s in "ab"}
+    return assignment.rank_zip(f["a"], f["b"], "md_index").join(f["a"].withColumnRenamed("idx", "idx_a"), "idx_a")
