@@ -13,7 +13,7 @@ set by their number, turned into base-2 levels), then by hash. What follows from
    components; later rounds ask only for pairs between different components whose parity sketches do not rule a link
    out, the closest at first, then all that are left. So no link between components is missed, and pairs inside one
    are not spelled out.
-3. Verification by prefix trees. A class is joined with a batch of its candidates, stored as sorted sequences, common
+3. Parity sketches rule pairs out that cannot link. The others are verified by prefix trees. A class is joined with a batch of its candidates, stored as sorted sequences, common
    shingles first; runs of equal prefixes are the tree's branches. The walk keeps the overlap of each shared prefix
    and leaves a subtree when the overlap so far and what remains cannot reach what is required.
 4. Links become components by large-star/small-star rounds in Spark.
@@ -27,6 +27,7 @@ empty tables give no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -332,7 +333,7 @@ def _wanted_sets(levels, bits: int, bitmap: np.ndarray):
                     own = s[at[r] : at[r + 1]]
                     sets.append(own[np.lexsort((own, ~lv[_cells(own, bits)]))].tobytes())
                     sketches.append(parity_sketch(own))
-                yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], names=["cls", "seq", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(np.diff(at)[rows]), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], names=["cls", "size", "seq", "sketch"])
 
     return run
 
@@ -399,12 +400,33 @@ def _verify(key, table):
     return pa.table({"a": pa.array(got_a, pa.int64()), "b": pa.array(got_b, pa.int64())})
 
 
+def _open_pairs(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Whether the sketches of two sets leave room for a link."""
+    for sizes_a, sizes_b, sketches_a, sketches_b in batches:
+        out = []
+        for n1, n2, x, y in zip(sizes_a.to_pylist(), sizes_b.to_pylist(), sketches_a, sketches_b):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            while len(x) != len(y):
+                x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+            out.append(int(np.bitwise_count(x ^ y).sum()) <= n1 + n2 - 2 * -(-4 * (n1 + n2) // 9))
+        yield pa.array(out, pa.bool_())
+
+
+def open_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sketches do not rule out; sketches are some 1/16 of the sets in size."""
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return both.where(F.arrow_udf(_open_pairs, "boolean")("size_a", "size_b", "sketch_a", "sketch_b")).select("a", "b").distinct()
+
+
 def verify(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / BATCH)
     batched = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", n), F.lit(buckets)).cast("int"))
-    partners = batched.join(sets, batched["b"] == sets["cls"]).select("bucket", "a", "b", "seq")
-    own = batched.select("bucket", "a").distinct().join(sets, F.col("a") == sets["cls"]).select("bucket", "a", F.col("a").alias("b"), "seq")
+    # Neither side has a bound, so none is broadcast, however small it may look.
+    seqs = sets.select("cls", "seq").hint("merge")
+    partners = batched.join(seqs, batched["b"] == seqs["cls"]).select("bucket", "a", "b", "seq")
+    own = batched.select("bucket", "a").distinct().join(seqs, F.col("a") == seqs["cls"]).select("bucket", "a", F.col("a").alias("b"), "seq")
     return partners.unionByName(own).groupBy("bucket").applyInArrow(_verify, "a long, b long")
 
 
@@ -457,8 +479,10 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     bitmap = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
     for r in marks.collect():
         bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["blob"], np.uint8)
-    sets = stored(spark, d.mapInArrow(_wanted_sets(levels, bits, bitmap), "cls long, seq binary, sketch binary"), "sets")
+    sets = stored(spark, d.mapInArrow(_wanted_sets(levels, bits, bitmap), "cls long, size long, seq binary, sketch binary"), "sets")
 
+    candidates, pairs = pairs, stored(spark, open_pairs(pairs, sets), "pairs")
+    discard(spark, candidates)
     links = stored(spark, verify(spark, pairs, sets), "links")
     known = components(spark, links)
     if runs.limit(1).count():
