@@ -128,20 +128,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"], _POW["q"]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, with_starts: bool = False) -> tuple[np.ndarray, ...]:
+def word_hashes(data: np.ndarray, off: np.ndarray, with_starts: bool = False, cut: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and each row's first index.
 
-    Returns (hashes, row offsets into hashes[, first byte of each word]). One pass of prefix sums of a polynomial; no Python per word.
+    `cut` marks bytes that begin a word of their own as well. Returns (hashes, row offsets into hashes[, first byte
+    of each word, byte after its last]). One pass of prefix sums of a polynomial; no Python per word.
     """
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-        return (*empty, np.zeros(0, np.int64)) if with_starts else empty
+        return (*empty, np.zeros(0, np.int64), np.zeros(0, np.int64)) if with_starts else empty
     word = ~_SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     rows = off[:-1][off[:-1] < off[1:]]
     first[rows] = word[rows]
+    if cut is not None:
+        first |= cut & word
     starts = np.flatnonzero(first)
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
@@ -156,7 +159,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, with_starts: bool = False) ->
     tok *= q[starts]
     tok += (ends - starts).astype(np.uint64)
     out = mix(tok), np.searchsorted(starts, off)
-    return (*out, starts) if with_starts else out
+    return (*out, starts, ends + 1) if with_starts else out
 
 
 def sorted_counts(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

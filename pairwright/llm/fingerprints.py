@@ -39,7 +39,7 @@ _CHECK = np.uint64(0xC4CEB9FE1A85EC53)
 def paragraph_keys(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit keys of all texts' paragraphs, row after row, and each row's first key."""
     data, off = text_buffer(arr)
-    h, at, starts = word_hashes(data, off, with_starts=True)
+    h, at, starts, _ = word_hashes(data, off, with_starts=True)
     if not len(h):
         return h, np.zeros(len(arr) + 1, np.int64)
     lines = np.cumsum(data == 10)[starts]

@@ -7,7 +7,7 @@ segment), so writing is committed by Spark and a lost task is simply run again.
 document ids, in order inside.
 
 Model. P(id) = a [id = p2] + b [id = p1] + (1 - a - b) P0(id). p2 and p1 are the ids last seen after the two ids, and
-the id, before (hashed tables with confidence); a and b adapt, per block, in contexts of both confidences; P0 is the
+the id, before (hashed tables, the first with confidence); a and b adapt, per block, by that confidence; P0 is the
 segment's table. One interval of 2^24 codes an id. A block is one lane; all lanes of a segment step together, so every
 numpy operation handles up to LANES blocks.
 
@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_range, shared_folder, text_slices
+from .common import by_range, text_buffer, text_slices, word_hashes
 from .ngram_lm import pack, unpack
 
 MAGIC = b"CMRC\x01"
 END_ID = 1
 LANES, BLOCK_MIN, BLOCK_MAX = 2048, 512, 4096
-#: A segment ends with the document that takes it here.
+#: A segment ends with the slice of documents that takes it here.
 SEGMENT_IDS = 1 << 22
-#: Words whose ids a worker keeps.
-CACHE = 500_000
+#: Pieces whose ids a worker keeps: some 40 bytes each.
+CACHE = 2_000_000
 
 _ORDER0, _TOTAL, _SLOTS = 18, 24, 10
 _LOW_P, _HIGH_P = 64, 57344  # of 2^16; then at least 2^18 of 2^24 is left to order 0
@@ -52,9 +52,9 @@ class _State:
         self.base = self.lane << _SLOTS
         self.t1 = np.zeros(lanes << _SLOTS, np.int32)
         self.t2 = np.zeros(lanes << _SLOTS, np.int32)
-        self.pa = np.full(lanes * 16, 4096, np.int32)
-        self.pb = np.full(lanes * 16, 4096, np.int32)
-        self.ctx0 = self.lane * 16
+        self.pa = np.full(lanes * 4, 4096, np.int32)
+        self.pb = np.full(lanes * 4, 4096, np.int32)
+        self.ctx0 = self.lane * 4
         self.x1 = np.zeros(lanes, np.int64)
         self.x2 = np.zeros(lanes, np.int64)
 
@@ -67,16 +67,29 @@ class _State:
         h2 &= (1 << _SLOTS) - 1
         h2 += self.base
         self.h2 = h2
-        self.e1, self.e2 = self.t1[self.h1], self.t2[h2]
-        self.q1, self.q2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        self.ctx = ((self.e2 >> 16) << 2) + (self.e1 >> 16) + self.ctx0
-        self.a16, self.b16 = self.pa[self.ctx], self.pb[self.ctx]
+        self.q1, self.e2 = self.t1.take(self.h1), self.t2.take(h2)
+        self.q2 = self.e2 & 0xFFFF
+        self.ctx = (self.e2 >> 16) + self.ctx0
+        self.a16, self.b16 = self.pa.take(self.ctx), self.pb.take(self.ctx)
         a = self.a16.astype(np.int64) << 8
         b = (((1 << _TOTAL) - a) >> 16) * self.b16
         b *= self.q1 != self.q2
         self.a, self.ab = a, a + b
         self.rest = (1 << _TOTAL) - self.ab
 
+    def interval(self, lo: np.ndarray, hi: np.ndarray, hit2: np.ndarray, hit1: np.ndarray):
+        """Start and size of the ids' intervals; lo and hi are fresh arrays of order-0 bounds."""
+        lo *= self.rest
+        hi *= self.rest
+        lo >>= _ORDER0
+        hi >>= _ORDER0
+        hi -= lo
+        lo += self.ab
+        lo = np.where(hit1, self.a, lo)
+        lo *= ~hit2
+        hi = np.where(hit1, self.ab - self.a, hi)
+        return lo, np.where(hit2, self.a, hi)
+
     def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray):
         """x: ids (int32); hit2, hit1: whether each prediction was right."""
         target = hit2 * np.int32(_HIGH_P - _LOW_P)
@@ -92,10 +105,11 @@ class _State:
         target *= ~hit2
         target += self.b16
         self.pb[self.ctx] = target
-        for table, at, e, hit in ((self.t2, self.h2, self.e2, hit2), (self.t1, self.h1, self.e1, hit1)):
-            sure = e >= 1 << 16
-            new = np.where(sure, e - (1 << 16), x)
-            table[at] = np.where(hit, np.minimum(e + (1 << 16), e | (3 << 16)), new)
+        self.t1[self.h1] = x
+        e = self.e2
+        less = e - (1 << 16)
+        more = np.minimum(e + (1 << 16), self.q2 | (3 << 16))
+        self.t2[self.h2] = np.where(hit2, more, np.where(less >= 0, less, x))
         self.x2 = self.x1
         self.x1 = x.astype(np.int64)
 
@@ -132,31 +146,29 @@ def _encode_lanes(x: np.ndarray, used: np.ndarray, share: np.ndarray) -> list[np
         v = x[t]
         s.predict()
         hit2, hit1 = v == s.q2, v == s.q1
-        a = lo[v] * s.rest
-        b = hi[v] * s.rest
-        a >>= _ORDER0
-        b >>= _ORDER0
-        b -= a
-        a += s.ab
-        only1 = hit1 & ~hit2
-        a = np.where(only1, s.a, a)
-        b = np.where(only1, s.ab - s.a, b)
-        a[hit2] = 0
-        b = np.where(hit2, s.a, b)
+        start, size = s.interval(lo.take(v), hi.take(v), hit2, hit1)
         r = rng >> _TOTAL
-        low += r * a
-        rng = r * b
-        over = np.flatnonzero(low > _MASK48)
-        if len(over):
+        start *= r
+        low += start
+        rng = np.multiply(r, size, out=r)
+        if low.max() > _MASK48:
+            over = np.flatnonzero(low > _MASK48)
             out[pos[over] - 1] += 1
             low[over] &= _MASK48
-        i = np.flatnonzero(rng < 1 << 32)
-        while len(i):
+        # The word is written for all lanes; those that do not need it write it again later.
+        out[pos] = low >> 32
+        need = rng < 1 << 32
+        pos += need
+        shift = need * np.int64(16)
+        low <<= shift
+        low &= _MASK48
+        rng <<= shift
+        if rng.min() < 1 << 32:
+            i = np.flatnonzero(rng < 1 << 32)
             out[pos[i]] = low[i] >> 32
             pos[i] += 1
             low[i] = (low[i] << 16) & _MASK48
             rng[i] <<= 16
-            i = i[rng[i] < 1 << 32]
         s.update(v, hit2, hit1)
     for k in (32, 16, 0):
         out[pos] = (low >> k) & 0xFFFF
@@ -185,33 +197,34 @@ def _decode_lanes(words: list[np.ndarray], steps: int, used: np.ndarray, share:
     for t in range(steps):
         s.predict()
         r = rng >> _TOTAL
-        v = np.minimum(d // r, (1 << _TOTAL) - 1)
-        hit2 = v < s.a
-        only1 = (v < s.ab) & ~hit2
-        c = (((v - s.ab + 1) << _ORDER0) - 1) // s.rest
-        x = inverse[np.maximum(c, 0)]
-        x = np.where(only1, s.q1, x)
+        # Quotients of 48 by 24 bits and 42 by 24: exact in doubles.
+        v = np.minimum((d / r).astype(np.int64), (1 << _TOTAL) - 1)
+        hit2, below = v < s.a, v < s.ab
+        v -= s.ab
+        v += 1
+        v <<= _ORDER0
+        v -= 1
+        c = (v / s.rest).astype(np.int64)
+        x = np.where(below, s.q1, inverse.take(c, mode="clip"))
         x = np.where(hit2, s.q2, x)
-        a = lo.take(x, mode="clip") * s.rest
-        b = hi.take(x, mode="clip") * s.rest
-        a >>= _ORDER0
-        b >>= _ORDER0
-        b -= a
-        a += s.ab
-        a = np.where(only1, s.a, a)
-        b = np.where(only1, s.ab - s.a, b)
-        a[hit2] = 0
-        b = np.where(hit2, s.a, b)
-        d -= r * a
-        rng = r * b
-        i = np.flatnonzero(rng < 1 << 32)
-        while len(i):
-            d[i] = (d[i] << 16) | flat[np.minimum(pos[i], len(flat) - 1)]
+        hit1 = x == s.q1
+        start, size = s.interval(lo.take(x, mode="clip"), hi.take(x, mode="clip"), hit2, hit1)
+        start *= r
+        d -= start
+        rng = np.multiply(r, size, out=r)
+        need = rng < 1 << 32
+        shift = need * np.int64(16)
+        d <<= shift
+        d |= flat.take(pos, mode="clip") * need
+        pos += need
+        rng <<= shift
+        if rng.min() < 1 << 32:
+            i = np.flatnonzero(rng < 1 << 32)
+            d[i] = (d[i] << 16) | flat.take(pos[i], mode="clip")
             pos[i] += 1
             rng[i] <<= 16
-            i = i[rng[i] < 1 << 32]
         out[t] = x
-        s.update(x, hit2, x == s.q1)
+        s.update(x, hit2, hit1)
     return out
 
 
@@ -258,13 +271,19 @@ def read_segment(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- tokenizing
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
 class Tokens:
-    """Ids of whole texts by the tokenizers library, solved once for equal pieces between spaces and line feeds.
+    """Ids of whole texts by the tokenizers library, which solves each distinct piece between ASCII white space once.
 
     The tokenizer folds white space and case, splits at white space and between letters and other signs, and its
     Unicode composition never crosses white space; so a text's ids are those of its pieces in a row, and those of a
-    word with a full stop or comma behind it are the word's and the sign's. Words of letters alone are solved many at
-    a time: each gives one run of ids whose last ends a word.
+    word with a full stop or comma behind it are the word's and the sign's. Pieces are found and told apart by hash,
+    a slice of texts at a time; solved ones stay in sorted arrays.
     """
 
     def __init__(self, path: str):
@@ -272,57 +291,99 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def _solve_stems(self, stems: list[str]) -> None:
-        for k in range(0, len(stems), 2000):
-            part = stems[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(part):
-                raw, at = ids.tobytes(), 0
-                for w, c in zip(part, cuts):
-                    self.stems[w] = raw[2 * at : 2 * c]
-                    at = c
-            else:
-                for w in part:
-                    self.stems[w] = self._one(w)
-
-    def _solve(self, words: list[str]) -> None:
-        split = []
-        for w in words:
-            stem, sign = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-            if stem.isalpha():
-                # Lower case only where it is letter by letter, as in the tokenizer.
-                split.append((w, stem.lower() if max(stem) < "\u0180" and "\u0130" not in stem else stem, sign))
+        self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and t.content.startswith("<"))
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint16)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        size = np.zeros(len(words), np.int64)
+        parts: dict[int, np.ndarray] = {}
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        other = [i for i, w in enumerate(words) if not w.isalpha()]
+        for k in range(0, len(letters), 2000):  # the last id of each word of letters ends a word
+            own = letters[k : k + 2000]
+            ids = self._ids(" ".join([words[i] for i in own]))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own):
+                size[own] = np.diff(ends, prepend=0)
+                parts[k] = ids
             else:
-                self.known[w] = self._one(w)
-        if len(self.stems) > CACHE:
-            self.stems = {}
-        self._solve_stems(list({s for _, s, _ in split if s not in self.stems}))
-        signs = {"": b"", ".": self._one("."), ",": self._one(",")}
-        for w, s, sign in split:
-            self.known[w] = self.stems[s] + signs[sign]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {}
-            fresh = {w for words in split for w in words}
-        fresh.discard("")
-        self.known[""] = b""
-        self._solve(list(fresh))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+                other += own
+        order = [i for k in sorted(parts) for i in letters[k : k + 2000]]
+        out = [parts[k] for k in sorted(parts)]
+        plain = [i for i in other if "<" not in words[i]]
+        for k in range(0, len(plain), 500):  # a special token between two texts keeps them apart and shows in the ids
+            own = plain[k : k + 500]
+            ids = self._ids(self.mark.join([words[i] for i in own]))
+            cuts = np.flatnonzero(ids == self.mark_id)
+            size[own] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            out.append(np.delete(ids, cuts))
+            order += own
+        for i in other:
+            if "<" in words[i]:
+                out.append(self._ids(words[i]))
+                size[i] = len(out[-1])
+                order.append(i)
+        flat = np.concatenate(out) if out else np.zeros(0, np.uint16)
+        n = size[order]
+        begin = np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum(n) - n
+        return flat, np.stack([begin, size])
+
+    def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """16-bit ids of all texts, each followed by END_ID, and how many each text has."""
+        data, off = text_buffer(arr)
+        rows = len(off) - 1
+        if not len(data):
+            return np.full(rows, END_ID, np.uint16), np.ones(rows, np.int64)
+        cut = np.zeros(len(data), bool)
+        sign = (data == 46) | (data == 44)
+        cut[1:] = sign[1:] & _ALNUM[data[:-1]]
+        last = np.ones(len(data), bool)
+        last[:-1] = _BLANK[data[1:]]
+        last[off[1:][off[1:] > 0] - 1] = True
+        h, row_at, start, end = word_hashes(data, off, True, cut & last)
+        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.key, u)
+        new = np.ones(len(u), bool)
+        inside = at < len(self.key)
+        new[inside] = self.key[at[inside]] != u[inside]
+        if len(self.key) + new.sum() > CACHE and len(self.key):
+            self._forget()
+            new[:] = True
+        if new.any():
+            raw = data.tobytes()
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
+            flat, where = self._solve(words)
+            key = np.concatenate([self.key, u[new]])
+            order = np.argsort(key, kind="stable")
+            self.key = key[order]
+            self.at = np.concatenate([self.at, where[0] + len(self.pool)])[order]
+            self.size = np.concatenate([self.size, where[1]])[order]
+            self.pool = np.concatenate([self.pool, flat])
+        at = np.searchsorted(self.key, u)
+        n = self.size[at][inv]
+        ends = np.cumsum(n)
+        total = np.concatenate([[0], ends])[row_at]
+        per_row = np.diff(total)
+        idx = np.repeat(self.at[at][inv] - (ends - n), n)
+        idx += np.arange(len(idx))
+        out = np.full(len(idx) + rows, END_ID, np.uint16)
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(per_row + 1) - 1] = False
+        out[keep] = self.pool[idx]
+        return out, per_row + 1
 
 
 _OPEN: dict[str, Tokens] = {}
@@ -338,33 +399,31 @@ SEGMENTS = "part int, seq int, before long, n_ids long, segment binary"
 
 
 def _writer(path: str):
-    end = END_ID.to_bytes(2, "little")
-
     def run(batches) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
         docs: list = []
-        held: list[bytes] = []
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         part, seq, before, size = 0, 0, 0, 0
 
         def flush():
-            nonlocal docs, held, size, seq, before
-            lengths = np.array([len(h) // 2 for h in held], np.int64)
-            raw = write_segment(docs, lengths, np.frombuffer(b"".join(held), "<u2"))
+            nonlocal docs, ids, lengths, size, seq, before
+            raw = write_segment(docs, np.concatenate(lengths), np.concatenate(ids))
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())], names=["part", "seq", "before", "n_ids", "segment"])
             before, seq = before + size, seq + 1
-            docs, held, size = [], [], 0
+            docs, ids, lengths, size = [], [], [], 0
             return row
 
         for b in batches:
             for s in text_slices(b, 1):
                 part = s.column(2)[0].as_py()
-                for i, e in zip(s.column(0).to_pylist(), tokens.encode(s.column(1).to_pylist())):
-                    e += end
-                    docs.append(i)
-                    held.append(e)
-                    size += len(e) // 2
-                    if size >= SEGMENT_IDS:
-                        yield flush()
+                x, n = tokens.encode(s.column(1))
+                docs += s.column(0).to_pylist()
+                ids.append(x)
+                lengths.append(n)
+                size += len(x)
+                if size >= SEGMENT_IDS:
+                    yield flush()
         if docs:
             yield flush()
 
