@@ -294,9 +294,11 @@ def _with_blocks(spark, sf) -> DataFrame:
     return side("a").join(side("b"), "address")
 
 
-@query("block_pairing", f"{O.PROGRAM}, bx AS (SELECT f.side, f.idx, f.address, blk.i - 1 AS block, f.address + (blk.i - 1) * 64 AS at, len(blk.ms) AS n FROM f JOIN blk USING (side, user_id)), al AS (SELECT x.idx AS idx_a, y.idx AS idx_b, x.address FROM f x JOIN f y ON x.side = 'a' AND y.side = 'b' AND {O.ALIGNED}) SELECT al.idx_a, al.idx_b, coalesce(p.block, q.block) AS block, p.at::BIGINT AS address_a, p.n AS instr_a, q.at::BIGINT AS address_b, q.n AS instr_b FROM (SELECT * FROM bx WHERE side = 'a' AND address IN (SELECT address FROM al)) p FULL JOIN (SELECT * FROM bx WHERE side = 'b' AND address IN (SELECT address FROM al)) q ON p.address = q.address AND p.block = q.block JOIN al ON al.address = coalesce(p.address, q.address)")
+@query("block_pairing", f"{O.PROGRAM}, bx AS (SELECT f.side, f.idx, f.address, blk.i - 1 AS block, f.address + (blk.i - 1) * 64 AS at, len(blk.ms) AS n FROM f JOIN blk USING (side, user_id)), al AS (SELECT x.idx AS idx_a, y.idx AS idx_b, x.address FROM f x JOIN f y ON x.side = 'a' AND y.side = 'b' AND {O.ALIGNED}) SELECT al.idx_a, al.idx_b, coalesce(p.block, q.block) AS block, coalesce(p.at::VARCHAR, '<missing>') AS address_a, coalesce(p.n, 0) AS instr_a, coalesce(q.at::VARCHAR, '<missing>') AS address_b, coalesce(q.n, 0) AS instr_b FROM (SELECT * FROM bx WHERE side = 'a' AND address IN (SELECT address FROM al)) p FULL JOIN (SELECT * FROM bx WHERE side = 'b' AND address IN (SELECT address FROM al)) q ON p.address = q.address AND p.block = q.block JOIN al ON al.address = coalesce(p.address, q.address)")
 def block_pairing(spark, sf):
-    return results.pair_blocks(_with_blocks(spark, sf)).withColumns({c: F.col(c).cast("bigint") for c in ("address_a", "address_b")})
+    rows = results.pair_blocks(_with_blocks(spark, sf))
+    shown = {f"address_{s}": F.coalesce(F.col(f"address_{s}").cast("string"), F.lit("<missing>")) for s in "ab"}
+    return rows.withColumns(shown | {f"instr_{s}": F.coalesce(f"instr_{s}", F.lit(0)) for s in "ab"})
 
 
 @query("bb_matrix", f"{O.PROGRAM}, bx AS (SELECT f.side, f.idx, f.address, blk.i - 1 AS block, list_distinct(blk.ms) AS ms FROM f JOIN blk USING (side, user_id)) SELECT x.idx AS idx_a, y.idx AS idx_b, x.block AS block_a, y.block AS block_b, round({O._JACCARD.format(c='ms')}, 6) AS score FROM bx x JOIN bx y ON x.side = 'a' AND y.side = 'b' AND {O.ALIGNED}")
