@@ -30,11 +30,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more; wordless texts are never duplicates."""
-    classes = jaccard.join_classes(spark, docs)
-    keep = stored(spark, classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")), "kept")
+    """Five-word shingles, similarity of 0.8 or more; wordless texts are never duplicates.
+
+    A bitmap of hashed ids tells which documents cannot be among the dropped: they stay where they are. Only the
+    others, the dropped and a few more, meet the list of kept ids in a join.
+    """
+    classes = stored(spark, jaccard.join_classes(spark, docs).select(F.col("doc_id").alias("__keep"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "kept")
+    keep = classes.where("stays").select("__keep")
+    suspect = jaccard.id_filter(classes.where("NOT stays").select("__keep"))
     repeated = keep.groupBy("__keep").count().where("count > 1").limit(1).count() > 0
-    out = docs.join(keep.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    near = docs.where(suspect("doc_id")).join(keep.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    out = docs.where(~suspect("doc_id")).unionByName(near)
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 

@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mix, stored, text_buffer, text_slices, word_hashes
+from .common import discard, mix, sorted_counts, stored, text_buffer, text_slices, word_hashes
 from .ngram_lm import pack, unpack
 
 SHINGLE = 5
 #: Runs up to this many classes give all their pairs at once.
-SHORT_RUN = 16
+SHORT_RUN = 8
 #: Closest partners that a class outside a run's largest component gets in the round before the full one.
 SOME = 2
 #: Candidates of one class that are verified in one batch.
@@ -108,13 +108,14 @@ def _describe(bits: int, part_bits: int = 16):
     import zstandard
 
     def run(batches):
-        seen = np.zeros(1 << bits, np.uint32)
+        seen = np.zeros(1 << bits, np.uint16)
         names = ["kind", "doc_id", "n", "cls", "blob"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             for t in text_slices(b, 1):
                 s, at, cls = shingle_sets(t.column(1))
-                seen += np.bincount(_cells(s, bits), minlength=1 << bits).astype(np.uint32)
+                at_cell, n_cell = sorted_counts(_cells(s, bits))
+                seen[at_cell] = np.minimum(seen[at_cell] + n_cell, 0xFFFF)
                 m = len(cls)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m), kinds[0]), t.column(0), pa.array(np.diff(at)), pa.array(cls), pa.nulls(m, kinds[4])], names=names)
         rows = []
@@ -454,13 +455,40 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+# ---------------------------------------------------------------- bitmaps of bounded size
+
+
+def bitmap_of(bits: DataFrame) -> np.ndarray:
+    """A bitmap of 2^_BITMAP_BITS bits from rows `bit`, put together in Spark."""
+    parts = bits.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("blob"))
+    out = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
+    for r in parts.collect():
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["blob"], np.uint8)
+    return out
+
+
+def id_filter(ids: DataFrame):
+    """A test for columns of ids: false only for ids that are not in `ids` (one column). Nulls count as -1."""
+    bit = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("long"), F.lit(-1))).bitwiseAND((1 << _BITMAP_BITS) - 1)
+    bitmap = bitmap_of(ids.select(bit(ids.columns[0]).alias("bit")))
+
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in batches:
+            b = arr.to_numpy(zero_copy_only=False)
+            yield pa.array((bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
+
+    look.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    test = F.arrow_udf(look, "boolean")
+    return lambda column: test(bit(column))
+
+
 # ---------------------------------------------------------------- the join
 
 
 def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and the number of verified links of the document's class."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = int(min(26, max(16, np.ceil(np.log2(max(1, docs.count()) * 24)))))
+    bits = int(min(26, max(16, np.ceil(np.log2(max(1, docs.count()) * 64)))))
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     told = stored(spark, d.mapInArrow(_describe(bits), "kind int, doc_id long, n long, cls long, blob binary"), "classes")
     rows = told.where("kind = 0").select("doc_id", "n", "cls")
@@ -475,10 +503,7 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(runs.select("a")).distinct()
     bit = F.col("cls").bitwiseXOR(F.coalesce("rep", F.lit(-1))).bitwiseAND((1 << _BITMAP_BITS) - 1)
     marks = reps.join(used, "cls", "left_semi").select(bit.alias("bit"))
-    marks = marks.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("blob"))
-    bitmap = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
-    for r in marks.collect():
-        bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["blob"], np.uint8)
+    bitmap = bitmap_of(marks)
     sets = stored(spark, d.mapInArrow(_wanted_sets(levels, bits, bitmap), "cls long, size long, seq binary, sketch binary"), "sets")
 
     candidates, pairs = pairs, stored(spark, open_pairs(pairs, sets), "pairs")
@@ -489,8 +514,12 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         bucket = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("bucket")
         drawn = sets.select("cls", "sketch")
         for full in (False, True):
-            own = runs.join(known, runs["a"] == known["node"], "left").join(drawn, runs["a"] == drawn["cls"])
-            own = own.select(bucket, "key", "a", F.coalesce("comp", "a").alias("comp"), "n", "pos", "sketch")
+            own = runs.join(known, runs["a"] == known["node"], "left").select(bucket, "key", "a", F.coalesce("comp", "a").alias("comp"), "n", "pos")
+            # Most runs lie in one component by now: only the others take sketches along.
+            mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            own = stored(spark, own.join(mixed, "key", "left_semi"), "mixed")
+            runs = own.select("key", "a", "n", "pos")  # a later round can only find pairs in these
+            own = own.join(drawn, F.col("a") == drawn["cls"]).drop("cls")
             more = stored(spark, own.groupBy("bucket").applyInArrow(_crossing(full), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
             if not more.limit(1).count():
                 discard(spark, more)
