@@ -424,8 +424,9 @@ def verify(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / BATCH)
     batched = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", n), F.lit(buckets)).cast("int"))
-    # Neither side has a bound, so none is broadcast, however small it may look.
-    seqs = sets.select("cls", "seq").hint("merge")
+    # A bitmap keeps the sets of no pair at home; neither side of the joins has a bound, so none is broadcast.
+    wanted = id_filter(pairs.select("a").union(pairs.select("b")))
+    seqs = sets.where(wanted("cls")).select("cls", "seq").hint("merge")
     partners = batched.join(seqs, batched["b"] == seqs["cls"]).select("bucket", "a", "b", "seq")
     own = batched.select("bucket", "a").distinct().join(seqs, F.col("a") == seqs["cls"]).select("bucket", "a", F.col("a").alias("b"), "seq")
     return partners.unionByName(own).groupBy("bucket").applyInArrow(_verify, "a long, b long")
@@ -488,7 +489,7 @@ def id_filter(ids: DataFrame):
 def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and the number of verified links of the document's class."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = int(min(26, max(16, np.ceil(np.log2(max(1, docs.count()) * 64)))))
+    bits = int(min(26, max(16, np.ceil(np.log2(max(1, docs.count()) * 32)))))
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     told = stored(spark, d.mapInArrow(_describe(bits), "kind int, doc_id long, n long, cls long, blob binary"), "classes")
     rows = told.where("kind = 0").select("doc_id", "n", "cls")
