@@ -21,8 +21,8 @@ LARGE = 200_000
 def greedy(spark: SparkSession, pairs: DataFrame, bucket: str, best: list[str], large: int = LARGE) -> DataFrame:
     """pairs: bucket, idx_a, idx_b and the columns of `best` (higher first). Returns the chosen (idx_a, idx_b)."""
     narrow = pairs.select(F.col(bucket).alias("bucket"), "idx_a", "idx_b", *best)
-    sizes = narrow.groupBy("bucket").count().where(F.col("count") > large).select("bucket")
-    hot = [r["bucket"] for r in sizes.limit(10_000).collect()]
+    hot = narrow.groupBy("bucket").count().where(F.col("count") > large).select("bucket")
+    any_hot = hot.limit(1).count() > 0
     order = [*best, "idx_b"]
 
     def serial(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -37,9 +37,9 @@ def greedy(spark: SparkSession, pairs: DataFrame, bucket: str, best: list[str],
                 out.append((a, b))
         return pd.DataFrame(out, columns=["idx_a", "idx_b"]).astype("int64")
 
-    small = narrow.where(~F.col("bucket").isin(hot)) if hot else narrow
+    small = narrow.join(hot, "bucket", "left_anti") if any_hot else narrow
     chosen = small.groupBy("bucket").applyInPandas(serial, "idx_a long, idx_b long")
-    return chosen.unionByName(rounds(spark, narrow.where(F.col("bucket").isin(hot)), best)) if hot else chosen
+    return chosen.unionByName(rounds(spark, narrow.join(hot, "bucket", "left_semi"), best)) if any_hot else chosen
 
 
 def rounds(spark: SparkSession, pairs: DataFrame, best: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ WITH ev AS (
     coalesce(list(DISTINCT '"e' || k || '"') FILTER (WHERE m = 'jmp'), []::VARCHAR[]) AS strs
   FROM sided GROUP BY side, user_id
 ), f AS (
-  SELECT side, row_number() OVER (PARTITION BY side ORDER BY user_id) - 1 AS idx, user_id,
+  SELECT side, user_id AS idx, user_id,
     CASE WHEN user_id % 2 = 1 THEN 'user_' || user_id ELSE 'sub_' || format('{:x}', user_id) END AS name,
     (user_id + 1) * 4096 AS address, n_instr * 16 AS size, n_bb, n_instr, edges - n_bb + 2 AS complexity, edges, degs, bbs, shape, seq, ms,
     cfg, sha256(array_to_string(list_sort(calls), ',')) AS cg, calls, consts, strs

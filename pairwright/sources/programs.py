@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -68,7 +68,10 @@ EVENT_MNEMONICS = {"purchase": "call", "view": "mov", "click": "push", "signup":
 
 
 def events_program(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Users as functions, days as basic blocks, events as instructions. Side b lacks some users and events."""
+    """Users as functions, days as basic blocks, events as instructions. Side b lacks some users and events.
+
+    A function's place is its user's id: places need an order, not to be gapless, so no global numbering is made.
+    """
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts", "props")
     e = e.where("user_id % 10 <> 4") if side == "a" else e.where("user_id % 10 <> 3 AND event_id % 100 <> 7")
     k = F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1).cast("bigint")
@@ -98,7 +101,7 @@ def events_program(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     calls = F.array_distinct(F.transform(F.filter("instructions", lambda i: i["mnemonic"] == "call"), lambda i: i["operands"][0]))
     uid = F.col("user_id")
     return p.select(
-        (F.row_number().over(Window.orderBy("user_id")) - 1).cast("long").alias("idx"),
+        uid.cast("long").alias("idx"),
         F.when(uid % 2 == 1, F.concat(F.lit("user_"), uid.cast("string"))).otherwise(F.concat(F.lit("sub_"), F.lower(F.hex(uid)))).alias("name"),
         base.cast(S.U64).alias("address"),
         (F.size("instructions") * 16).cast(S.U64).alias("size"),

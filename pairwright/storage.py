@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below spark.checkpoint.dir; only where that is unset (tests) a local one is chosen."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/pairwright/{label}-{uuid.uuid4().hex}"
 
 
