@@ -20,13 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, notebooks) a local one is chosen.
+    Only where that setting is absent (tests, notebooks) a local one is chosen. A run's folders lie side by side
+    under `pairwright/` there and may be removed once its result has been written.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file:///tmp/checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/pairwright/{label}-{uuid.uuid4().hex}"
 
 
@@ -47,11 +44,6 @@ def discard(spark: SparkSession, *paths) -> None:
         hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
 
 
-def n_buckets(spark: SparkSession, per_core: int = 4) -> int:
-    """Reducer groups: follows the cluster's own shuffle setting, so it grows with the job."""
-    return max(16, per_core * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def fold_of(col, modulus: int):
     """crc32 of an id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % modulus

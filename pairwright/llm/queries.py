@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, fingerprints, jaccard, langid, ngram_lm, pieces, secrets, sharding, token_files
-from .common import tokenizer_path, discard, fold_of, shared_folder, stored, table
+from .common import fold_of, shared_folder, table, tokenizer_path
 
 SHARDS = 8
 

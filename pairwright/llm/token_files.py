@@ -181,6 +181,7 @@ def _encode_lanes(x: np.ndarray, used: np.ndarray, share: np.ndarray) -> list[np
     return [grid[j, 1 : used_words[j]].astype("<u2") for j in range(lanes)]
 
 
+@np.errstate(divide="ignore", invalid="ignore")  # damaged words may lead anywhere; the checksum tells
 def _decode_lanes(words: list[np.ndarray], steps: int, used: np.ndarray, share: np.ndarray) -> np.ndarray:
     lanes = len(words)
     lo, hi, inverse = _tables(used, share)
