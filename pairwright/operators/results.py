@@ -90,3 +90,15 @@ def pair_blocks(pairs: DataFrame) -> DataFrame:
 def cut_name(c: Column) -> Column:
     """Names of more than 28 bytes are cut to 25 characters and three dots."""
     return F.when(F.octet_length(c) > 28, F.concat(F.substr(c, F.lit(1), F.lit(25)), F.lit("..."))).otherwise(c)
+
+
+def first_row(results: DataFrame) -> DataFrame:
+    """What a viewer shows at first: the top of the list."""
+    return results.orderBy("seq").limit(1)
+
+
+def table_cells(rows, order: tuple = VIEW_COLUMNS):
+    """Rows as the 13 texts of a results table, in either column order; numbers are formatted from the exact double."""
+    show = {"similarity": "{:.4f}".format, "confidence": "{:.4f}".format, "address_a": lambda v: f"0x{int(v):x}", "address_b": lambda v: f"0x{int(v):x}"}
+    for r in rows:
+        yield tuple(show.get(c, lambda v: str(v if v is not None else ""))(r[c]) for c in order)

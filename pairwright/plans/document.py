@@ -38,3 +38,20 @@ def matches_of(spark: SparkSession, doc: dict) -> DataFrame:
     rows = spark.createDataFrame([(i, json.dumps(m)) for i, m in enumerate(doc["matches"])], "seq long, j string")
     full = f"function_a {S.FUNCTION.simpleString()}, function_b {S.FUNCTION.simpleString()}, similarity double, confidence double, match_type string, details {S.DETAILS.simpleString()}"
     return rows.select("seq", F.from_json("j", full).alias("m")).select("seq", "m.*")
+
+
+def result_document(d: Diff, program_a: DataFrame, program_b: DataFrame, name_a: str, name_b: str, seconds: float = 0.0) -> dict:
+    """The bare result: matches, leftovers, overall similarity, time and names."""
+    doc = to_document(d, program_a, program_b, name_a, name_b)
+    n = len(doc["matches"])
+    score = sum(m["similarity"] for m in doc["matches"]) / n if n else 0.0
+    return {"matched_functions": doc["matches"], "unmatched_functions_a": doc["functions_a"][n:], "unmatched_functions_b": doc["functions_b"][n:], "similarity_score": score, "analysis_time": seconds, "binary_a_name": name_a, "binary_b_name": name_b}
+
+
+def match_count(d: Diff | None) -> int:
+    """0 for no diff at all."""
+    return d.matches.count() if d is not None else 0
+
+
+def similarity_score(d: Diff | None) -> float:
+    return d.matches.agg(F.coalesce(F.avg("similarity"), F.lit(0.0))).first()[0] if d is not None else 0.0

@@ -253,6 +253,11 @@ def find_pair(spark, sf):
     return results.find_pair(v, at, at).select(*results.VIEW_COLUMNS)
 
 
+@query("first_row", f"{_VIEW} SELECT {_VIEW_COLUMNS} FROM v ORDER BY idx_a LIMIT 1")
+def first_row(spark, sf):
+    return results.first_row(view(spark, sf)).select(*results.VIEW_COLUMNS)
+
+
 @query("export_rows", f"{_VIEW} SELECT name_a AS safe_a, lower(format('0x{{:016x}}', address_a)) AS full_a, lower(format('{{:x}}', address_b)) AS short_b, similarity, confidence, match_type FROM v")
 def export_rows(spark, sf):
     return view(spark, sf).select(results.csv_safe(F.col("name_a")).alias("safe_a"), results.hex_address(F.col("address_a"), 16).alias("full_a"), results.hex_address(F.col("address_b"), prefix="").alias("short_b"), "similarity", "confidence", "match_type")

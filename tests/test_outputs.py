@@ -84,6 +84,9 @@ def test_reports_and_document(spark, tmp_path):
     exports.save_diff(doc, str(tmp_path / "d.json"))
     back = document.matches_of(spark, exports.load_diff(str(tmp_path / "d.json")))
     assert [r.function_a["name"] for r in back.orderBy("seq").collect()] == ["main", "printf", "malloc", "strcmp", "memcpy", "init_function"]
+    result = document.result_document(d, program, program.where("idx < 6"), "a", "b")
+    assert len(result["unmatched_functions_a"]) == 2 and result["similarity_score"] == document.similarity_score(d) == 1.0
+    assert (document.match_count(d), document.match_count(None), document.similarity_score(None)) == (6, 0, 0.0)
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(ValueError):
         exports.load_diff(str(tmp_path / "bad.json"))
@@ -111,3 +114,37 @@ def test_defaults_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(programs.fixture_program(spark).schema).parquet(str(tmp_path / "in"))
     stream_features(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def test_cells_and_first_row(view):
+    cells = list(results.table_cells(view.orderBy("seq").collect(), results.MODEL_COLUMNS))
+    assert cells[0][:7] == ("main", "0x1000", "=cmd", "0x2000", "0.6234", "0.9800", "Exact")
+    assert [r.name_a for r in results.first_row(view).collect()] == ["main"]
+    assert [r.name_a for r in results.sort_results(view, 0, order=results.MODEL_COLUMNS, fold_case=False).collect()][0] == "it's,\"<x>"
+
+
+def test_cancelling_a_tag_stops_its_jobs(spark):
+    import threading
+    import time
+
+    from pairwright.plans import control
+
+    failed = []
+
+    def run():
+        with control.cancellable(spark, "t1"):
+            try:
+                spark.range(0, 4000, 1, 4000).repartition(4000, "id").selectExpr("sum(hash(id))").collect()
+                for _ in range(500):
+                    spark.range(10**8).selectExpr("sum(hash(id))").collect()
+            except Exception as e:
+                failed.append(e)
+
+    t = threading.Thread(target=run)
+    t.start()
+    deadline = time.time() + 30
+    while t.is_alive() and time.time() < deadline:
+        time.sleep(0.3)
+        control.cancel(spark, "t1")
+    t.join(5)
+    assert failed and not t.is_alive()
