@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by a numpy kernel; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts stay near 8 MB, in the JVM and in Python, unless the session asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "67108864", "64m"):
+        spark.conf.set(key, "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,6 +161,58 @@ def word_hashes(data: np.ndarray, off: np.ndarray, with_starts: bool = False, cu
     return (*out, starts, ends + 1) if with_starts else out
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes that begin at `starts` and cover `data` from the first of them on."""
+    p, q = _powers(len(data) + 1)
+    h = _LUT[data]
+    h *= p[: len(data)]
+    np.cumsum(h, out=h)
+    ends = np.append(starts[1:], len(data))
+    tok = h[ends - 1]
+    inner = starts > 0
+    tok[inner] -= h[starts[inner] - 1]
+    tok *= q[starts]
+    tok += (ends - starts).astype(np.uint64)
+    return mix(tok)
+
+
+class IdTable:
+    """Ids of solved strings by hash, in sorted arrays: some 30 bytes a string, however many workers keep."""
+
+    def __init__(self, most: int, kind=np.uint16):
+        self.most, self.kind = most, kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.kind)
+
+    def ids(self, hashes: np.ndarray, solve) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in the order of `hashes`, and how many each has; `solve(places)` gives ids and (begin, size) of new ones."""
+        u, first, inv = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.key, u)
+        new = np.ones(len(u), bool)
+        inside = at < len(self.key)
+        new[inside] = self.key[at[inside]] != u[inside]
+        if len(self.key) + new.sum() > self.most and len(self.key):
+            self.forget()
+            new[:] = True
+        if new.any():
+            flat, where = solve(first[new])
+            key = np.concatenate([self.key, u[new]])
+            order = np.argsort(key, kind="stable")
+            self.key = key[order]
+            self.at = np.concatenate([self.at, where[0] + len(self.pool)])[order]
+            self.size = np.concatenate([self.size, where[1]])[order]
+            self.pool = np.concatenate([self.pool, flat.astype(self.kind)])
+            at = np.searchsorted(self.key, u)
+        n = self.size[at][inv]
+        ends = np.cumsum(n)
+        idx = np.repeat(self.at[at][inv] - (ends - n), n)
+        idx += np.arange(len(idx))
+        return self.pool[idx], n
+
+
 def sorted_counts(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order and their (weighted) counts."""
     if not len(values):

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_slices
+from .common import IdTable, bound_batches, mix, run_hashes, text_buffer, text_slices
 
 CHUNK = 64
 #: Solved units a worker keeps.
-CACHE = 300_000
+CACHE = 1_000_000
 #: Fixed point of scores; a path without a piece.
 UNIT, NONE = 1 << 20, -(1 << 60)
 #: A literal U+2581 in a text: a lone surrogate, which no text holds.
@@ -249,34 +249,65 @@ def solve(v: Vocabulary, units: list[str]) -> list[list[int]]:
     return out
 
 
-def split_units(text: str) -> list[str]:
-    if not text:
-        return []
-    return (SPACE + text.replace(SPACE, LITERAL).replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")
-
-
 class Coder:
     """Encodes and decodes texts; keeps solved units."""
 
     def __init__(self, model_file: str):
         self.v = Vocabulary(model_file)
-        self.known: dict[str, bytes] = {"": b""}
-        self.pieces = [t for t in self.v.text]
+        self.table = IdTable(CACHE)
+        self.piece_size = np.array([len(t) for t in self.v.text], np.int64)
+        self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(self.v.text), np.uint8)
+
+    def encode_array(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, how many each has, and whether they decode to the text."""
+        data, off = text_buffer(arr)
+        lens = np.diff(off)
+        full = lens > 0
+        # A space before each text that is not empty is its dummy prefix; then every space begins a unit.
+        begin = off[:-1] + np.cumsum(full) - full
+        buf = np.full(len(data) + int(full.sum()), 32, np.uint8)
+        inside = np.ones(len(buf), bool)
+        inside[begin[full]] = False
+        buf[inside] = data
+        rows = len(lens)
+        if not len(buf):
+            return np.zeros(0, np.uint16), np.zeros(rows, np.int64), np.ones(rows, bool)
+        first = (buf == 32) | (buf == 10)
+        first[1:] |= buf[:-1] == 10
+        start = np.flatnonzero(first)
+        ends = np.append(start[1:], len(buf))
+        raw = buf.tobytes()
+
+        def units(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            texts = [raw[a:b].decode("utf-8", "surrogatepass").replace(SPACE, LITERAL).replace(" ", SPACE) for a, b in zip(start[at].tolist(), ends[at].tolist())]
+            solved = solve(self.v, texts)
+            size = np.fromiter(map(len, solved), np.int64, len(solved))
+            return np.fromiter((i for ids in solved for i in ids), np.int64, int(size.sum())), np.stack([np.cumsum(size) - size, size])
+
+        ids, n = self.table.ids(run_hashes(buf, start), units)
+        total = np.concatenate([[0], np.cumsum(n)])
+        per_row = np.diff(total[np.searchsorted(start, np.append(begin, len(buf)))])
+        back = self.decode_bytes(ids)
+        if np.array_equal(back, buf):
+            return ids, per_row, np.ones(rows, bool)
+        cuts = np.concatenate([[0], np.cumsum(per_row)])
+        texts = [raw[a + 1 : a + 1 + k].decode("utf-8", "surrogatepass") if k else "" for a, k in zip(begin.tolist(), lens.tolist())]
+        return ids, per_row, np.array([self.decode(ids[a:b]) == t for a, b, t in zip(cuts, cuts[1:], texts)], bool)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [split_units(t) for t in texts]
-        fresh = list({u for units in split for u in units if u not in self.known})
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {"": b""}
-            fresh = list({u for units in split for u in units if u})
-        for u, ids in zip(fresh, solve(self.v, fresh)):
-            self.known[u] = np.array(ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, units)), "<u4") for units in split]
+        ids, n, _ = self.encode_array(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(n)[:-1]) if texts else []
+
+    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        n = self.piece_size[ids]
+        ends = np.cumsum(n)
+        idx = np.repeat(self.piece_at[ids] - (ends - n), n)
+        idx += np.arange(len(idx))
+        return self.piece_bytes[idx]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.pieces.__getitem__, ids.tolist()))
-        return text[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
+        return self.decode_bytes(np.asarray(ids, np.int64)).tobytes()[1:].decode("utf-8", "surrogatepass")
 
 
 _CODERS: dict[str, Coder] = {}
@@ -291,18 +322,16 @@ def coder(model_file: str) -> Coder:
 def encode(df: DataFrame, model_file: str, text_col: str = "text", out: str = "pieces") -> DataFrame:
     """df with struct `out`: ids, and whether decoding them gave the text back."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches):
         c = coder(model_file)
         for arr in batches:
             parts, same = [], []
-            for s in text_slices(pa.RecordBatch.from_arrays([arr], names=["t"]), limit=1 << 20):
-                texts = s.column(0).to_pylist()
-                ids = c.encode([t or "" for t in texts])
-                same += [None if t is None else c.decode(i) == t for t, i in zip(texts, ids)]
-                ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
-                parts.append(lists)
+            for s in text_slices(pa.RecordBatch.from_arrays([arr], names=["t"])):
+                ids, n, fine = c.encode_array(s.column(0))
+                same += fine.tolist()
+                parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids.astype(np.int32))))
             lists = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
 

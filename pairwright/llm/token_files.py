@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_range, text_buffer, text_slices, word_hashes
+from .common import IdTable, bound_batches, by_range, text_buffer, text_slices, word_hashes
 from .ngram_lm import pack, unpack
 
 MAGIC = b"CMRC\x01"
@@ -35,7 +35,7 @@ END_ID = 1
 LANES, BLOCK_MIN, BLOCK_MAX = 2048, 512, 4096
 #: A segment ends with the slice of documents that takes it here.
 SEGMENT_IDS = 1 << 22
-#: Pieces whose ids a worker keeps: some 40 bytes each.
+#: Pieces whose ids a worker keeps.
 CACHE = 2_000_000
 
 _ORDER0, _TOTAL, _SLOTS = 18, 24, 10
@@ -297,11 +297,7 @@ class Tokens:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and t.content.startswith("<"))
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
+        self.table = IdTable(CACHE)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
@@ -355,35 +351,17 @@ class Tokens:
         last[:-1] = _BLANK[data[1:]]
         last[off[1:][off[1:] > 0] - 1] = True
         h, row_at, start, end = word_hashes(data, off, True, cut & last)
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.key, u)
-        new = np.ones(len(u), bool)
-        inside = at < len(self.key)
-        new[inside] = self.key[at[inside]] != u[inside]
-        if len(self.key) + new.sum() > CACHE and len(self.key):
-            self._forget()
-            new[:] = True
-        if new.any():
-            raw = data.tobytes()
-            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
-            flat, where = self._solve(words)
-            key = np.concatenate([self.key, u[new]])
-            order = np.argsort(key, kind="stable")
-            self.key = key[order]
-            self.at = np.concatenate([self.at, where[0] + len(self.pool)])[order]
-            self.size = np.concatenate([self.size, where[1]])[order]
-            self.pool = np.concatenate([self.pool, flat])
-        at = np.searchsorted(self.key, u)
-        n = self.size[at][inv]
-        ends = np.cumsum(n)
-        total = np.concatenate([[0], ends])[row_at]
-        per_row = np.diff(total)
-        idx = np.repeat(self.at[at][inv] - (ends - n), n)
-        idx += np.arange(len(idx))
-        out = np.full(len(idx) + rows, END_ID, np.uint16)
+        raw = data.tobytes()
+
+        def solve(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self._solve([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[at].tolist(), end[at].tolist())])
+
+        ids, n = self.table.ids(h, solve)
+        per_row = np.diff(np.concatenate([[0], np.cumsum(n)])[row_at])
+        out = np.full(len(ids) + rows, END_ID, np.uint16)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(per_row + 1) - 1] = False
-        out[keep] = self.pool[idx]
+        out[keep] = ids
         return out, per_row + 1
 
 
@@ -432,6 +410,7 @@ def _writer(path: str):
 
 
 def write_files(spark: SparkSession, df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    bound_batches(spark)
     dealt, _ = by_range(spark, df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     ordered = dealt.sortWithinPartitions(F.asc_nulls_first("id"), "text").select("id", "text", "to")
     ordered.mapInArrow(_writer(tokenizer), SEGMENTS).write.parquet(folder)
