@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_slices
+from .common import bound_batches, mix, text_slices
 
 Q, WINDOW, STRIDE, EDITS_PER = 8, 64, 32, 13
 #: Benchmark characters that are broadcast at once.
@@ -184,6 +184,7 @@ def query_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item found in it; `start` is a place in the folded text."""
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return reduce(DataFrame.unionByName, [narrow.mapInArrow(_searcher(q), MATCHES) for q in query_blocks(benchmark)])
 
@@ -217,5 +218,6 @@ def _lister(queries: Queries):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "leaks") -> DataFrame:
     """docs with the ids of the items found in each, as an array; only the text travels to Python."""
+    bound_batches(docs.sparkSession)
     found = [F.arrow_udf(_lister(q), "array<bigint>")(F.col(text_col)) for q in query_blocks(benchmark)]
     return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])

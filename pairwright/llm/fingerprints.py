@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, range_numbers, text_buffer, text_slices, word_hashes
+from .common import bound_batches, mix, range_numbers, text_buffer, text_slices, word_hashes
 
 PIECE_WORDS = 8
 #: Cells of a fingerprint, a multiple of three; a retry has four times as many.
@@ -181,6 +181,7 @@ def successors(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, h
     each range is sent to the range before it as well, marked `ahead`, and so arrives there last: every document meets
     its successor without a second pass. Only range bounds reach the driver.
     """
+    bound_batches(spark)
     d = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d, n = range_numbers(d, "id", int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = d.withColumnRenamed("to", "bucket")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mix, sorted_counts, stored, text_buffer, text_slices, word_hashes
+from .common import bound_batches, discard, mix, sorted_counts, stored, text_buffer, text_slices, word_hashes
 from .ngram_lm import pack, unpack
 
 SHINGLE = 5
@@ -488,6 +488,7 @@ def id_filter(ids: DataFrame):
 
 def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and the number of verified links of the document's class."""
+    bound_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = int(min(26, max(16, np.ceil(np.log2(max(1, docs.count()) * 32)))))
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))

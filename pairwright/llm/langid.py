@@ -4,8 +4,8 @@ Features: hashed character bi- and trigrams of the lower-cased text (everything
 shares of the text's grams. Each decision is one weight vector, so a text's margin is the sum of the weights of its
 grams: one gather per gram for all decisions at once.
 
-The classifier is fitted on a bounded sample: about SAMPLE_PER_LANG documents a language, chosen by a hash of the id
-over the whole training part. Every text is scored whole.
+The classifier is fitted on a bounded sample: about SAMPLE_PER_LANG documents of each of the 64 most frequent
+languages, chosen by a hash of the id over the whole training part. Every text is scored whole.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled rows every text is `und`;
 with one language that language is predicted with score 1; rows repeat as in the input; further columns pass through.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bound_batches, text_slices
 
 BUCKETS = 1 << 15
 #: Documents of each language that the classifier may learn from (a documented bound).
@@ -97,6 +97,7 @@ def _slope(m: np.ndarray, y: np.ndarray) -> float:
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, families: dict[str, str] = FAMILIES) -> dict:
     """The model: languages, families, decisions (positive side, negative side), weights and slopes."""
+    bound_batches(train.sparkSession)
     known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()}
     if not counts:
@@ -167,6 +168,8 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray
 def identify(df: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """df with the predicted language and its score; only the text travels to Python."""
 
+    bound_batches(df.sparkSession)
+
     def score(batches):
         for arr in batches:
             names, values = [], []

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, mix, shared_folder, sorted_counts, stored, text_buffer, text_slices, word_hashes
+from .common import bound_batches, discard, mix, shared_folder, sorted_counts, stored, text_buffer, text_slices, word_hashes
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xA0761D6478BD642F)
 #: Tokens that a counting task holds before it packs and sends them.
@@ -258,6 +258,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> dict:
     """Counts `docs` and writes the model; returns its description (a few numbers and the folder)."""
+    bound_batches(spark)
     shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = shared_folder(spark, "kneser-ney")
     counted = docs.select(text_col).mapInArrow(_count(shards), "shard int, blob binary")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffer, text_slices
+from .common import bound_batches, text_buffer, text_slices
 
 #: The base patterns and the order of kinds.
 KINDS = ("assign", "access", "hex", "cnn")
@@ -282,6 +282,8 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def scan(df: DataFrame, model: dict, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """df with an array of spans; only the text travels to Python."""
 
+    bound_batches(df.sparkSession)
+
     def find(batches):
         for arr in batches:
             found = []
