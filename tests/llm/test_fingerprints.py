@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pairwright.llm import fingerprints as fp
 
@@ -28,6 +30,16 @@ def test_peeling_recovers_the_differing_digests():
         assert {k for k, s in zip(found.tolist(), sign.tolist()) if s == 1} == set(x.tolist()) - set(y.tolist())
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh")), st.lists(st.sampled_from("abcdefghijk")))
+def test_differences_of_multisets(a, b):
+    from collections import Counter
+
+    x, y = keys("\n".join(a)), keys("\n".join(b))
+    p, q = Counter(a), Counter(b)
+    assert fp.differing(x, np.array([0, len(x)]), y, np.array([0, len(y)]))[0] == sum(((p - q) + (q - p)).values())
+
+
 def test_small_sketch_fails_and_says_so():
     x = keys("\n".join(tables.prose(random.Random(k), 3) for k in range(200)))
     done, *_ = fp.peel(fp.subtract(fp.sketch(x, np.array([0, len(x)]), fp.CELLS), fp.sketch(x[:0], np.array([0, 0]), fp.CELLS)))

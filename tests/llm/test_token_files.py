@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pairwright.llm import token_files as tf
 from pairwright.llm.common import shared_folder, tokenizer_path
@@ -35,6 +37,13 @@ def test_segments_read_back(ids):
     assert (docs, n.tolist()) == ([None, -5], [1, len(ids) - 1]) and (got == ids).all()
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(0, 60) | st.integers(0, 65535), min_size=1, max_size=400), st.integers(1, 6))
+def test_any_ids_read_back(ids, times):
+    ids = np.array(ids * times)
+    assert (tf.read_segment(tf.write_segment([7], np.array([len(ids)]), ids))[2] == ids).all()
+
+
 def test_repeating_ids_shrink_and_damage_shows():
     ids = np.tile(np.random.default_rng(1).integers(0, 49408, 300), 40)
     raw = tf.write_segment([1], np.array([len(ids)]), ids)
