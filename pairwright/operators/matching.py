@@ -89,6 +89,9 @@ def fuzzy_candidates(a: DataFrame, b: DataFrame, similarity: float = SIMILARITY,
     """
     x, y = F.col("a"), F.col("b")
     left, right = a.select(F.struct(*a.columns).alias("a")), b.select(F.struct(*b.columns).alias("b"))
+    # Few narrow rows cost much each here: all cores share them, whatever their size on disk.
+    cores = 2 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(cores), right.repartition(cores)
     bytes_name = lambda s: F.octet_length(s["name"])
     bytes_seq = lambda s: F.octet_length(s["sequence"])
     parts = {k: f(x, y) for k, f in K.MATCH_PARTS.items() if k != "name"} | {"name": K.edit_bound(bytes_name(x), bytes_name(y))}
