@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A bitmap of hashed ids tells which documents cannot be among the dropped: they stay where they are. Only the
     others, the dropped and a few more, meet the list of kept ids in a join.
     """
-    classes = stored(spark, jaccard.join_classes(spark, docs).select(F.col("doc_id").alias("__keep"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "kept")
+    classes = stored(spark, jaccard.join_classes(spark, docs, links=False).select(F.col("doc_id").alias("__keep"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "kept")
     keep = classes.where("stays").select("__keep")
     suspect = jaccard.id_filter(classes.where("NOT stays").select("__keep"))
     repeated = keep.groupBy("__keep").count().where("count > 1").limit(1).count() > 0

@@ -17,6 +17,9 @@ set by their number, turned into base-2 levels), then by hash. What follows from
    shingles first; runs of equal prefixes are the tree's branches. The walk keeps the overlap of each shared prefix
    and leaves a subtree when the overlap so far and what remains cannot reach what is required.
 4. Links become components by large-star/small-star rounds in Spark.
+5. Every link has both ends in one component. Components are dealt out as blocks of classes, each two blocks once, and
+   all their overlaps are counted exactly. So every class and document gets its true number of links, also where the
+   rounds of step 2 had no need of a pair.
 
 Only bounded things reach the driver: the level table, a bitmap, counts. Lineage is cut by tables in the shared folder.
 
@@ -45,6 +48,8 @@ SHORT_RUN = 8
 SOME = 2
 #: Candidates of one class that are verified in one batch.
 BATCH = 256
+#: Classes, and shingles, of a component that make up about one block when links are counted.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
 #: Prefix rows that a task holds before it packs and sends them.
 RUN_ROWS = 1_000_000
 _BITMAP_BITS = 24
@@ -456,6 +461,109 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+# ---------------------------------------------------------------- all links inside the components
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each of xs shares with each of ys: frequent ones by products of 0/1 matrices, rare ones pair by pair."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    if not xs or not ys:
+        return out.astype(np.int64)
+    side = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets]))
+    (s, i), (t, j) = side(xs), side(ys)
+    both = np.intersect1d(s, t)
+    if not len(both):
+        return out.astype(np.int64)
+
+    def postings(s, i):
+        at = np.minimum(np.searchsorted(both, s), len(both) - 1)
+        ok = both[at] == s
+        at, i = at[ok], i[ok]
+        order = np.argsort(at, kind="stable")
+        return at[order], i[order], np.searchsorted(at[order], np.arange(len(both) + 1))
+
+    (s, i, first), (t, j, other) = postings(s, i), postings(t, j)
+    n, m = np.diff(first), np.diff(other)
+    rare = n * m <= 256
+    often = np.flatnonzero(~rare)
+    for lo in range(0, len(often), 2048):
+        col = np.full(len(both), -1)
+        col[often[lo : lo + 2048]] = np.arange(len(often[lo : lo + 2048]))
+        a, b = np.zeros((len(xs), 2048), np.float32), np.zeros((len(ys), 2048), np.float32)
+        for d, rows, keys in ((a, i, s), (b, j, t)):
+            c = col[keys]
+            d[rows[c >= 0], c[c >= 0]] = 1
+        out += a @ b.T
+    out = out.astype(np.int64)
+    # Each entry of s with all entries of t that have its shingle, so many at once.
+    own = np.flatnonzero(rare[s])
+    ends = np.cumsum(m[s[own]])
+    lo = 0
+    while lo < len(own):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 21), "right")))
+        e = own[lo:hi]
+        c = m[s[e]]
+        k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(other[s[e]], c)
+        out += np.bincount(np.repeat(i[e], c) * len(ys) + j[k], minlength=out.size).reshape(out.shape)
+        lo = hi
+    return out
+
+
+def _inside(pairs: bool):
+    """The links of two blocks of a component, each once: as pairs, or as numbers of linked classes and documents."""
+
+    def run(key, table):
+        comp, i, j, part, cls, docs = (table[c].to_numpy() for c in ("comp", "i", "j", "part", "cls", "docs"))
+        seqs = table["seq"].combine_chunks() if table["seq"].num_chunks != 1 else table["seq"].chunk(0)
+        order = np.lexsort((cls, part, j, i, comp))
+        comp, i, j, part, cls, docs = (x[order] for x in (comp, i, j, part, cls, docs))
+        new = np.ones(len(cls), bool)
+        new[1:] = (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        fresh = new.copy()
+        fresh[1:] |= cls[1:] != cls[:-1]  # a set may have been sent twice
+        edge = np.append(np.flatnonzero(new), len(cls))
+        out: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            own = lo + np.flatnonzero(fresh[lo:hi])
+            x = own[part[own] == i[lo]]
+            y = own[part[own] == j[lo]]
+            one = i[lo] == j[lo]
+            sets = {r: np.frombuffer(seqs[int(order[r])].as_buffer(), np.uint64) for r in own.tolist()}
+            xs, ys = [sets[r] for r in x.tolist()], [sets[r] for r in y.tolist()]
+            n, m = np.array([len(v) for v in xs], np.int64)[:, None], np.array([len(v) for v in ys], np.int64)[None]
+            ok = linked(n, m, overlaps(xs, ys))
+            if one:
+                np.fill_diagonal(ok, False)
+            if pairs:
+                a, b = np.nonzero(np.triu(ok) if one else ok)
+                out.append((np.minimum(cls[x[a]], cls[y[b]]), np.maximum(cls[x[a]], cls[y[b]]), np.ones(len(a), np.int64)))
+            else:
+                out.append((cls[x], ok.sum(1), ok @ docs[y]))
+                if not one:
+                    out.append((cls[y], ok.sum(0), docs[x] @ ok))
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["a", "b", "n"] if pairs else ["cls", "links", "docs"])
+
+    return run
+
+
+def links_inside(known: DataFrame, reps: DataFrame, sets: DataFrame, parts: int, pairs: bool = False) -> DataFrame:
+    """All links between classes: (a, b, n = 1), each once, or per class and pair of blocks (cls, links, docs).
+
+    The two ends of a link are in one component, so a comparison of all its classes finds every link. Large components
+    are cut by a hash into blocks that tasks share; a task reads two blocks, not a group.
+    """
+    members = known.select(F.col("node").alias("cls"), "comp").union(known.select("comp", "comp")).distinct()
+    sized = members.join(sets.select("cls", "size").distinct(), "cls").join(reps.select("cls", "docs"), "cls")
+    total = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = sized.join(total, "comp").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")))
+    seqs = sets.select("cls", "seq").hint("merge")
+    dealt = dealt.join(seqs, "cls").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")})
+    # Components of one block share tasks; each two blocks of a larger one are a group of their own.
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(4 * parts))).otherwise(F.xxhash64("comp", "i", "j")).alias("task")
+    return dealt.select(task, "comp", "i", "j", "part", "cls", "docs", "seq").groupBy("task").applyInArrow(_inside(pairs), "a long, b long, n long" if pairs else "cls long, links long, docs long")
+
+
 # ---------------------------------------------------------------- bitmaps of bounded size
 
 
@@ -486,8 +594,8 @@ def id_filter(ids: DataFrame):
 # ---------------------------------------------------------------- the join
 
 
-def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and the number of verified links of the document's class."""
+def _join(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str):
+    """Documents with their classes; classes; components; sets of the classes that are in a pair; what can go at the end."""
     bound_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = int(min(26, max(16, np.ceil(np.log2(max(1, docs.count()) * 32)))))
@@ -496,7 +604,7 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     rows = told.where("kind = 0").select("doc_id", "n", "cls")
     sums = told.where("kind = 1").select(F.col("doc_id").alias("part"), "blob").groupBy("part").applyInArrow(_add_up, "part long, blob binary")
     levels = spark.sparkContext.broadcast(levels_of(sums.collect(), bits))
-    reps = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    reps = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"))
 
     packed = d.select("text").mapInArrow(_prefixes(levels, bits, parts), "part int, blob binary")
     found = stored(spark, packed.groupBy("part").applyInArrow(_runs, CANDIDATES), "runs")
@@ -529,11 +637,39 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             links = links.unionByName(stored(spark, verify(spark, more, sets), "links"))
             pairs = pairs.unionByName(more)
             known = components(spark, links)
-    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
-    named = reps.join(known, reps["cls"] == known["node"], "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
+    return rows, reps, known, sets, found
+
+
+def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, and with `links` the true numbers of links, class_links and n_links.
+
+    class_id is the least id of the documents with an equal set. class_links counts the other classes that the
+    document's class links with, n_links the other documents that the document links with, copies among them.
+    """
+    rows, reps, known, sets, found = _join(spark, docs, id_col, text_col)
+    named = reps.join(known, reps["cls"] == known["node"], "left").select("cls", "rep", "docs", F.coalesce("comp", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = stored(spark, named.join(least, "comp").join(ends, "cls", "left").select("cls", "component_id", F.coalesce("links", F.lit(0)).alias("class_links")), "components")
+    by_class = named.join(least, "comp").select("cls", "component_id", F.col("rep").alias("class_id"), "docs")
+    counts = []
+    if links:
+        parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ends = links_inside(known, reps, sets, parts).groupBy("cls").agg(F.sum("links").alias("links"), F.sum("docs").alias("partners"))
+        by_class = by_class.join(ends, "cls", "left").withColumns({"class_links": F.coalesce("links", F.lit(0)), "n_links": F.coalesce("partners", F.lit(0)) + F.col("docs") - 1}).drop("links", "partners")
+        counts = ["class_links", "n_links"]
+    by_class = stored(spark, by_class, "components")
     discard(spark, sets, found)
     out = rows.join(by_class, "cls", "left")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("class_links")).cast("long").alias("class_links"))
+    own = [F.when(empty, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *own, *[F.when(empty, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in counts])
+
+
+def join_pairs(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every pair of linked classes once, as class ids, the lesser one first. Documents of one class link as well."""
+    _, reps, known, sets, found = _join(spark, docs, id_col, text_col)
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = links_inside(known, reps, sets, parts, pairs=True)
+    side = lambda c: reps.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"))
+    out = stored(spark, pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")), "links")
+    discard(spark, sets, found)
+    return out

@@ -135,6 +135,22 @@ QUERIES["op5_ngram_jaccard_join"] = op5_ngram_jaccard_join
 ORACLES["op5_ngram_jaccard_join"] = OP5_SQL
 
 
+def op5_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_classes(spark, table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_links", "n_links")
+
+
+#: The numbers of links, from the same links as OP5_SQL.
+OP5_LINKS_SQL = OP5_SQL[: OP5_SQL.index(",\nr AS")] + r""",
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(list(sh))) AS class_id FROM s GROUP BY doc_id),
+k AS (SELECT l.a, count(*) AS n_links, count(DISTINCT y.class_id) FILTER (y.class_id <> x.class_id) AS class_links
+      FROM l JOIN c x ON x.doc_id = l.a JOIN c y ON y.doc_id = l.b GROUP BY l.a)
+SELECT w.doc_id, coalesce(c.class_id, w.doc_id) AS class_id, coalesce(k.class_links, 0)::BIGINT AS class_links, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN k ON k.a = w.doc_id
+"""
+QUERIES["op5_ngram_jaccard_links"] = op5_ngram_jaccard_links
+ORACLES["op5_ngram_jaccard_links"] = OP5_LINKS_SQL
+
+
 #: The public tokenizer whose ids op10 writes.
 ID_TOKENIZER = "word_bpe_49k.json"
 

@@ -104,3 +104,30 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 100)] + [(500, 501)]
     got = {r["node"]: r["comp"] for r in jaccard.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert {v for k, v in got.items() if k < 400} == {0} and got[501] == 500
+
+
+def test_links_of_a_large_group_are_all_counted(spark, monkeypatch):
+    """Long runs of near copies, with equal copies among them, in one block and in many."""
+    rng = random.Random(4)
+    rows = corpus(rng, [(60, 80, 0.015), (40, 120, 0.03), (12, 40, 0.0), (30, 6, 0.02)], tables.prose(rng, 55))
+    sets = [shingles(t) for _, t in rows]
+    first = {}
+    for (d, _), s in zip(rows, sets):
+        first.setdefault(frozenset(s), d)
+    cls = [first[frozenset(s)] for s in sets]
+    links = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(a & b) >= 80 * len(a | b)}
+    want = {i: (cls[i], len({cls[j] for x, j in links if x == i} - {cls[i]}), sum(x == i for x, _ in links)) for i in range(len(rows))}
+    pairs = sorted({(cls[i], cls[j]) for i, j in links if cls[i] < cls[j]})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for size in (jaccard.BLOCK_CLASSES, 16):
+        monkeypatch.setattr(jaccard, "BLOCK_CLASSES", size)
+        assert {r.doc_id: (r.class_id, r.class_links, r.n_links) for r in jaccard.join_classes(spark, df).collect()} == want
+        assert sorted((r.a, r.b) for r in jaccard.join_pairs(spark, df).collect()) == pairs
+
+
+def test_overlaps_equal_set_overlap():
+    rng = np.random.default_rng(5)
+    base = rng.choice(10_000, 300, replace=False).astype(np.uint64)
+    draw = lambda: np.sort(np.concatenate([base[rng.random(300) < 0.9], rng.choice(10_000, 40, replace=False).astype(np.uint64) + np.uint64(20_000)]))
+    xs, ys = [draw() for _ in range(40)], [draw() for _ in range(30)]
+    assert jaccard.overlaps(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
