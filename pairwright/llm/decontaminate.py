@@ -1,12 +1,16 @@
 """Benchmark decontamination by the q-gram lemma, diagonal bands and banded alignment.
 
 Texts are compared lower-cased with white space folded. Every benchmark item is cut into windows of WINDOW characters,
-half overlapping (a shorter item is one window), each with an edit budget k of about one in thirteen. By the q-gram lemma, a
+one every STRIDE (a shorter item is one window), each with an edit budget k of about one in ten. By the q-gram lemma, a
 place within k edits of a window of n characters shares n - q + 1 - k q of its q-grams, all on diagonals (text
 position less window position) that span at most k. So shared q-grams are counted in overlapping bands of 2 k
 diagonals; bands that reach the bound are verified by an alignment confined to the band. No place within the budget
 is missed. A document is contaminated by an item if any of the item's windows is found.
 
+So an excerpt of WINDOW + STRIDE - 1 = 67 characters with up to 6 edits is found wherever it was cut from the item.
+Shorter excerpts of longer items may be missed, and so may rewording of more than 6 edits in every window of 64. The
+lemma would allow 7, with a bound of one shared q-gram, which rules next to nothing out.
+
 The benchmark is the query set: its windows go to every task, in blocks of at most BLOCK_CHARS characters, one pass over
 the documents for each block. Documents are read whole and never shuffled.
 
@@ -26,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, mix, text_slices
 
-Q, WINDOW, STRIDE, EDITS_PER = 8, 64, 32, 13
-#: Benchmark characters that are broadcast at once.
-BLOCK_CHARS = 2_000_000
+Q, WINDOW, STRIDE, EDITS_PER = 8, 64, 4, 10
+#: Benchmark characters that are broadcast at once; each has WINDOW / STRIDE q-grams in the lists.
+BLOCK_CHARS = 250_000
 PAD = 2 * WINDOW
 _MULS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 

@@ -71,3 +71,19 @@ def test_blocks_give_the_same(spark, monkeypatch):
     whole = sorted(D.find_leaks(docs, bench).collect())
     monkeypatch.setattr(D, "BLOCK_CHARS", 300)
     assert len(list(D.query_blocks(bench))) > 1 and sorted(D.find_leaks(docs, bench).collect()) == whole
+
+
+def test_excerpts_of_the_stated_length_and_edits_are_always_found():
+    rng = random.Random(8)
+    items = [(i, tables.prose(rng, 30)) for i in range(6)]
+    q = D.Queries(items)
+    for n in range(7):
+        texts, want = [], []
+        for i, s in items:
+            s = D.fold(s)
+            for _ in range(8):
+                at = rng.randrange(len(s) - 66)
+                texts.append(tables.prose(rng, 12) + " " + edited(rng, s[at : at + 67], n) + " " + tables.prose(rng, 12))
+                want.append(i)
+        got = {(r[0], r[1]) for r in q.documents(texts)}
+        assert set(enumerate(want)) <= got
