@@ -127,8 +127,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"], _POW["q"]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, with_starts: bool = False, cut: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of all words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and each row's first index.
+def word_hashes(data: np.ndarray, off: np.ndarray, with_starts: bool = False, cut: np.ndarray | None = None, fold: bool = True) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased if `fold`, and each row's first index.
 
     `cut` marks bytes that begin a word of their own as well. Returns (hashes, row offsets into hashes[, first byte
     of each word, byte after its last]). One pass of prefix sums of a polynomial; no Python per word.
@@ -149,7 +149,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, with_starts: bool = False, cu
     last[:-1] &= ~word[1:] | first[1:]
     ends = np.flatnonzero(last)
     p, q = _powers(n + 1)
-    h = _WORD_LUT[data]
+    h = (_WORD_LUT if fold else _LUT)[data]
     h *= p[:n]
     np.cumsum(h, out=h)
     tok = h[ends]

@@ -18,6 +18,7 @@ ignored; texts are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -278,13 +279,21 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def in_pieces(spec: dict) -> bool:
+    """Whether ids of a text are those of its pieces between white space: a BPE with word ends that folds case and space."""
+    names = lambda x: {y.get("type") for y in (x or {}).get("normalizers") or (x or {}).get("pretokenizers") or [x or {}]}
+    special = [t for t in spec.get("added_tokens") or [] if t.get("special") and t["content"].startswith("<") and not (t.get("lstrip") or t.get("rstrip"))]
+    return spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and names(spec.get("normalizer")) == {"NFC", "Replace", "Lowercase"} and "Split" in names(spec.get("pre_tokenizer")) and bool(special)
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library, which solves each distinct piece between ASCII white space once.
 
     The tokenizer folds white space and case, splits at white space and between letters and other signs, and its
     Unicode composition never crosses white space; so a text's ids are those of its pieces in a row, and those of a
-    word with a full stop or comma behind it are the word's and the sign's. Pieces are found and told apart by hash,
-    a slice of texts at a time; solved ones stay in sorted arrays.
+    word with a full stop or comma behind it are the word's and the sign's. Pieces are found and told apart by a hash
+    of their bytes as they are (special tokens are matched before case is folded), a slice of texts at a time; solved
+    ones stay in sorted arrays. `in_pieces` says whether a tokenizer is of this kind; any other encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -293,6 +302,11 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids of 2^16 and more do not fit the format")
+        self.whole = not in_pieces(json.loads(self.tokenizer.to_str()))
+        if self.whole:
+            return
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and t.content.startswith("<"))
@@ -340,6 +354,9 @@ class Tokens:
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """16-bit ids of all texts, each followed by END_ID, and how many each text has."""
+        if self.whole:
+            got = [np.array(self._ids(t or ""), np.uint16) for t in arr.to_pylist()]
+            return np.concatenate([np.append(x, np.uint16(END_ID)) for x in got]) if got else np.zeros(0, np.uint16), np.array([len(x) + 1 for x in got], np.int64)
         data, off = text_buffer(arr)
         rows = len(off) - 1
         if not len(data):
@@ -350,7 +367,7 @@ class Tokens:
         last = np.ones(len(data), bool)
         last[:-1] = _BLANK[data[1:]]
         last[off[1:][off[1:] > 0] - 1] = True
-        h, row_at, start, end = word_hashes(data, off, True, cut & last)
+        h, row_at, start, end = word_hashes(data, off, True, cut & last, fold=False)
         raw = data.tobytes()
 
         def solve(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

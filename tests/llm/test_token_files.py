@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -30,6 +31,30 @@ def test_ids_equal_the_library(tokens):
     assert [ids[e - k : e].tolist() for k, e in zip(n, ends)] == plain(tokens, texts)
 
 
+def test_mixed_strings_equal_the_library_in_any_order():
+    """Case variants of special tokens, signs, white space: a fresh table meets them in each order."""
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<", "|>", "The", "the", "THE", "it's", "IT'S", " ", " ", "\n", ".", ",", "3", "É", "é", "e\u0301", "İ", "日本", "🙂", "\x85"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(10_000)]
+    own = tf.Tokens(tokenizer_path(FILE))
+    want = plain(own, texts)
+    for order in (list(range(len(texts))), list(range(len(texts)))[::-1]):
+        fresh = tf.Tokens(tokenizer_path(FILE))
+        for k in range(0, len(order), 997):
+            at = order[k : k + 997]
+            ids, n = fresh.encode(pa.array([texts[i] for i in at]))
+            assert [ids[e - m : e].tolist() for m, e in zip(n, np.cumsum(n))] == [want[i] for i in at]
+
+
+@pytest.mark.parametrize("file", [FILE, "byte_bpe_50k.json"])
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(file):
+    own = tf.Tokens(tokenizer_path(file))
+    assert own.whole == (file != FILE)
+    texts = ["The the  THE\n\n x.", "", "<|endoftext|> <|ENDOFTEXT|>", None, " a"]
+    ids, n = own.encode(pa.array(texts))
+    assert [ids[e - k : e].tolist() for k, e in zip(n, np.cumsum(n))] == plain(own, texts)
+
+
 @pytest.mark.parametrize("ids", [[1], [1, 1, 1], list(range(600)) * 3, [5] * 20_000, np.random.default_rng(0).integers(0, 49408, 30_000).tolist(), [0, 65535]])
 def test_segments_read_back(ids):
     ids = np.array(ids)
