@@ -2,15 +2,16 @@
 
 `fold_events` rebuilds final messages: a log is partitioned by conversation and message, sorted by sequence, and
 folded. Event kinds: `message`, `edit` and `regenerate` set a message's text (a regeneration drops what was streamed
-before it), `delta` appends to it, `delete` removes the message. `render` writes one text per conversation with turn
+before it), `delta` appends to it, `delete` removes the message (what is streamed to it afterwards is lost). `render` writes one text per conversation with turn
 marks, and the spans of the assistant's texts (the loss mask). `read_back` parses such a text again.
 
 Control strings inside roles and texts are escaped reversibly: a backslash becomes `\\s`, `<|` becomes `<\\p`, and in
 roles a line feed becomes `\\n`; so an escaped text never holds `<|`.
 
-Defined cases: null role or text: empty; null sequence numbers sort first; ties go by role, then text; repeated rows
-are kept as turns of their own; a null conversation id is a conversation; an empty table gives no rows; further
-columns are ignored. One conversation is one output row, so its texts meet in one task by definition of the result.
+Defined cases: null role or text: empty; null sequence numbers sort first, in the log and among messages; equal ones go
+by kind, then text in the log, by role, then text among messages; events of an unknown or null kind are passed over;
+repeated rows are kept as turns of their own; a null conversation or message id is one; an empty table gives no rows;
+texts of any length are kept whole; further columns are ignored, whatever their names. One conversation is one output row, so its texts meet in one task by definition of the result.
 """
 
 from __future__ import annotations
@@ -44,15 +45,20 @@ def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """(conv_id, seq, kind, message_id, role, text) to final messages (conv_id, pos, role, text)."""
+    """(conv_id, seq, kind, message_id, role, text) to final messages (conv_id, pos, role, text).
+
+    A message's log is folded by place in its sorted order, so null and equal sequence numbers have one too: what
+    stands after the last event that sets or removes the text is streamed onto it.
+    """
     e = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))
     folded = events.groupBy("conv_id", "message_id").agg(F.min("seq").alias("pos"), F.max("role").alias("role"), F.array_sort(F.collect_list(e)).alias("log"))
-    last = F.element_at(F.filter("log", lambda x: x["kind"].isin(*RESETS)), -1)
-    folded = folded.withColumn("from", F.when(F.exists("log", lambda x: x["kind"].isin(*RESETS)), last))
-    kept = F.filter("log", lambda x: F.col("from").isNull() | x["seq"].isNull() | (x["seq"] > F.col("from.seq")) & (x["kind"] == "delta"))
-    head = F.coalesce(F.col("from.text"), F.lit(""))
-    tail = F.array_join(F.transform(F.filter(kept, lambda x: x["kind"] == "delta"), lambda x: x["text"]), "")
-    return folded.where(F.coalesce(F.col("from.kind") != "delete", F.lit(True))).select("conv_id", "pos", F.coalesce("role", F.lit("")).alias("role"), F.concat(head, tail).alias("text"))
+    places = F.transform("log", lambda x, i: F.when(x["kind"].isin(*RESETS), i + 1).otherwise(0))
+    folded = folded.withColumn("at", F.array_max(places))  # from 1; 0: only deltas
+    last = F.get("log", F.col("at") - 1)
+    rest = F.slice("log", F.col("at") + 1, F.size("log"))
+    tail = F.array_join(F.transform(F.filter(rest, lambda x: x["kind"] == "delta"), lambda x: x["text"]), "")
+    kept = folded.where((F.col("at") == 0) | (last["kind"] != "delete"))
+    return kept.select("conv_id", "pos", F.coalesce("role", F.lit("")).alias("role"), F.concat(F.coalesce(last["text"], F.lit("")), tail).alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

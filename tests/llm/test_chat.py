@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pairwright.llm import chat
@@ -41,3 +43,33 @@ def test_events_fold_into_messages(spark):
     df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message_id string, role string, text string")
     got = sorted((r.conv_id, r.pos, r.role, r.text) for r in chat.fold_events(df).collect())
     assert got == [(1, 0, "user", "hello"), (1, 1, "assistant", "Bye!"), (2, 0, "assistant", "no start")]
+
+
+def folded(spark, log):
+    df = spark.createDataFrame([(1, s, k, m, "assistant", t) for s, k, m, t in log], "conv_id long, seq long, kind string, message_id string, role string, text string")
+    return {r.text for r in chat.fold_events(df).collect()}
+
+
+def test_null_sequences_have_a_place_in_the_log(spark):
+    assert folded(spark, [(None, "delta", "m", "old"), (5, "edit", "m", "E")]) == {"E"}
+    assert folded(spark, [(None, "message", "m", "A"), (2, "delta", "m", "B")]) == {"AB"}
+    assert folded(spark, [(None, "message", "m", "A"), (None, "delete", "n", None), (1, None, "m", "?")]) == {"A"}
+    assert folded(spark, [(3, "delta", "m", "x"), (3, "edit", "m", "E"), (3, "delta", "m", "y"), (4, "delta", "m", "z")]) == {"Ez"}
+
+
+def plain_fold(log):
+    """One message after the other, event by event."""
+    out = {}
+    for m in {x[2] for x in log}:
+        text = ""
+        for _, kind, _, t in sorted((x for x in log if x[2] == m), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[3] or "")):
+            text = None if kind == "delete" or text is None and kind == "delta" else text + (t or "") if kind == "delta" else (t or "")
+        out[m] = text
+    return {v for v in out.values() if v is not None}
+
+
+def test_folding_equals_a_plain_loop(spark):
+    rng = random.Random(2)
+    for _ in range(6):
+        log = [(rng.choice([None, *range(9)]), rng.choice(["message", "delta", "delta", "edit", "regenerate", "delete"]), f"m{rng.randrange(12)}", rng.choice([None, "a", "bc", "d"])) for _ in range(70)]
+        assert folded(spark, log) == plain_fold(log)
