@@ -1,25 +1,33 @@
 """Benchmark decontamination by the q-gram lemma, diagonal bands and banded alignment.
 
-Texts are compared lower-cased with white space folded. Every benchmark item is cut into windows of WINDOW characters,
-one every STRIDE (a shorter item is one window), each with an edit budget k of about one in ten. By the q-gram lemma, a
-place within k edits of a window of n characters shares n - q + 1 - k q of its q-grams, all on diagonals (text
-position less window position) that span at most k. So shared q-grams are counted in overlapping bands of 2 k
-diagonals; bands that reach the bound are verified by an alignment confined to the band. No place within the budget
-is missed. A document is contaminated by an item if any of the item's windows is found.
-
-So an excerpt of WINDOW + STRIDE - 1 = 67 characters with up to 6 edits is found wherever it was cut from the item.
-Shorter excerpts of longer items may be missed, and so may rewording of more than 6 edits in every window of 64. The
-lemma would allow 7, with a bound of one shared q-gram, which rules next to nothing out.
-
-The benchmark is the query set: its windows go to every task, in blocks of at most BLOCK_CHARS characters, one pass over
-the documents for each block. Documents are read whole and never shuffled.
-
-Defined cases: null or empty texts and items match nothing; items under q characters are not searched; equal items
-are each reported; repeated rows report each; empty tables give no rows; further columns are ignored.
+Texts are compared lower-cased with white space folded. A window is any run of 48 or 64 characters of a benchmark item,
+wherever it starts (an item under 48 is one window); 4 or 6 edits are allowed in it (about one in ten of a shorter
+one). By the q-gram lemma, a place within k edits of a window of n characters shares n - q + 1 - k q of its q-grams
+with it, all on diagonals (text position less item position) that span at most k. So:
+
+1. Shared q-grams are counted in overlapping diagonal bands: sorted by band and item position, a window reaches its
+   bound where as many different positions lie within its length. Regions that reach none go.
+2. The lemma again, with q = 2 and on the band's diagonals alone, for every window of the regions left: most chance
+   likenesses share a word or two and go here.
+3. The windows left are verified by an alignment confined to the band.
+
+No window within its edits is missed, so a document is contaminated by an item if and only if it holds one. An excerpt
+of 48 characters with up to 4 edits, or of 64 with up to 6, is found wherever it was cut from the item. The lemma
+would allow 5 and 7, with a bound of one shared q-gram, which rules next to nothing out.
+
+The benchmark is the query set: it goes to every task, in blocks of at most BLOCK_CHARS characters, one pass over the
+documents for each block. Documents are read whole and never shuffled. Shared q-grams are spread out MAX_HITS at a
+time, in slices of the text that overlap by a window, so texts and items that repeat one q-gram take no more memory.
+
+Defined cases: null or empty texts match nothing, nor do null items or those of white space; items under q
+characters are found as they are, between signs that are no letters or digits; NUL counts as white space; equal items
+are each reported; repeated rows report each; empty tables give no rows; further columns are ignored by `find_leaks`
+and kept by `contaminated`, but one named as its output is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,15 +38,21 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, mix, text_slices
 
-Q, WINDOW, STRIDE, EDITS_PER = 8, 64, 4, 10
-#: Benchmark characters that are broadcast at once; each has WINDOW / STRIDE q-grams in the lists.
+Q = 8
+#: Window sizes and the edits allowed in them, and the characters for each edit in a shorter item.
+SIZES = ((48, 4), (64, 6))
+SHORT, WINDOW, EDITS = SIZES[0][0], SIZES[-1][0], SIZES[-1][1]
+EDITS_PER = 10
+#: Benchmark characters that are broadcast at once.
 BLOCK_CHARS = 250_000
+#: Pairs of a text's and an item's q-gram that are held at once; window starts that are looked at together.
+MAX_HITS, STARTS = 2_000_000, 64
 PAD = 2 * WINDOW
 _MULS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def fold(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    return " ".join((text or "").replace("\0", " ").lower().split())
 
 
 def points(s: str) -> np.ndarray:
@@ -61,119 +75,201 @@ def budget(n: int) -> int:
 
 
 class Queries:
-    """The windows of some items, and the inverted lists of their q-grams."""
+    """Some items side by side, and the places of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = items
         folded = [fold(t) for _, t in items]
-        owner, start, size = [], [], []
-        for i, t in enumerate(folded):
-            if len(t) < Q:
-                continue
-            last = max(0, len(t) - WINDOW)
-            for s in sorted({*range(0, last + 1, STRIDE), last}):
-                owner.append(i)
-                start.append(s)
-                size.append(min(WINDOW, len(t)))
-        self.owner, self.start, self.size = (np.array(x, np.int64) for x in (owner, start, size))
-        self.k = np.array([budget(n) for n in size], np.int64)
-        self.bound = self.size - Q + 1 - self.k * Q
-        self.text = np.zeros((len(owner), WINDOW), np.uint32)
-        grams, win, at = [], [], []
-        for w in range(len(owner)):
-            c = points(folded[owner[w]])[start[w] : start[w] + size[w]]
-            self.text[w, : len(c)] = c
-            g = gram_hashes(c)
-            grams.append(g)
-            win.append(np.full(len(g), w))
-            at.append(np.arange(len(g)))
-        g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.win, self.at = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (win, at))
-        self.gram, first = np.unique(g[order], return_index=True)
-        self.first = np.append(first, len(g))
-        self.bits = 20
+        self.short = [(i, t) for i, t in enumerate(folded) if 0 < len(t) < Q]
+        long = [(i, t) for i, t in enumerate(folded) if len(t) >= Q]
+        self.owner = np.array([i for i, _ in long], np.int64)
+        self.size = np.array([len(t) for _, t in long], np.int64)
+        self.start = PAD + np.cumsum(self.size + PAD) - self.size - PAD
+        gap = "\0" * PAD
+        self.text = points(gap + "".join(t + gap for _, t in long))
+        n = np.minimum(self.size, WINDOW)
+        k = np.where(self.size >= WINDOW, EDITS, np.where(self.size >= SHORT, SIZES[0][1], [budget(x) for x in n.tolist()])).astype(np.int64) if len(n) else n
+        n = np.where((self.size >= SHORT) & (self.size < WINDOW), SHORT, n)
+        # The least number of shared q-grams in a window of an item, and how far apart the first and last of them lie.
+        self.bound, self.reach = n - Q + 1 - k * Q, n - Q
+        h = gram_hashes(self.text)
+        at = np.concatenate([np.arange(s, s + z - Q + 1) for s, z in zip(self.start, self.size)]) if len(long) else np.zeros(0, np.int64)
+        order = np.argsort(h[at], kind="stable")
+        self.at = at[order]
+        self.gram, first = np.unique(h[self.at], return_index=True)
+        self.first = np.append(first, len(at))
+        self.bits = 22
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.gram >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.windows = np.bincount(self.owner, minlength=len(items))
+        self.item_at = np.repeat(np.arange(len(long)), self.size + PAD) if len(long) else np.zeros(0, np.int64)
+
+    def item_of(self, at: np.ndarray) -> np.ndarray:
+        """Which of the long items a place of the item text is in."""
+        return self.item_at[np.clip(at - PAD, 0, len(self.item_at) - 1)]
 
-    def search(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, place in buf, edits) of verified places; buf is texts with PAD zeros after each."""
-        empty = (np.zeros(0, np.int64),) * 3
+    def hits(self, buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item place, text place) of shared q-grams, slice by slice; slices overlap by all that a region spans."""
         if not len(self.gram):
-            return empty
+            return
         h = gram_hashes(buf)
         p = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
         g = np.searchsorted(self.gram, h[p])
         ok = self.gram[np.minimum(g, len(self.gram) - 1)] == h[p]
         p, g = p[ok], g[ok]
         # A region that reaches the least bound has that many hits close by.
-        reach = WINDOW + 2 * WINDOW // EDITS_PER + Q
+        span = WINDOW + 2 * EDITS + Q
         least = int(self.bound.min())
         for _ in range(2):
             if not len(p):
-                return empty
-            near = np.searchsorted(p, p + reach) - np.searchsorted(p, p - reach)
-            ahead = np.flatnonzero(near >= least)
-            p, g = p[ahead], g[ahead]
+                return
+            keep = np.flatnonzero(np.searchsorted(p, p + span) - np.searchsorted(p, p - span) >= least)
+            p, g = p[keep], g[keep]
         n = self.first[g + 1] - self.first[g]
-        pos = np.repeat(p, n)
         ends = np.cumsum(n)
-        idx = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.first[g], n)
-        w, diag = self.win[idx], pos - self.at[idx] + PAD
-        width = np.maximum(self.k[w], 1)
-        band = diag // width
-        key = w * (len(buf) + 2 * PAD) + band
-        # Hits of a band [b, b + 2 widths) are those of two cells side by side.
-        cell, count = np.unique(key, return_counts=True)
-        nxt = np.zeros(len(cell), np.int64)
-        at = np.searchsorted(cell, cell + 1)
-        hit = np.flatnonzero(at < len(cell))
-        hit = hit[cell[at[hit]] == cell[hit] + 1]
-        nxt[hit] = count[at[hit]]
-        w, band = cell // (len(buf) + 2 * PAD), cell % (len(buf) + 2 * PAD)
-        good = count + nxt >= self.bound[w]
-        # A cell whose band starts one cell earlier, with nothing in that earlier cell, has the same hits.
-        w, band = w[good], band[good]
-        place = band * np.maximum(self.k[w], 1) - PAD
-        edits = np.concatenate([self.align(w[s : s + 4096], place[s : s + 4096], buf) for s in range(0, len(w), 4096)]) if len(w) else np.zeros(0, np.int64)
-        fine = edits <= self.k[w]
-        return w[fine], np.maximum(place[fine], 0), edits[fine]
-
-    def align(self, w: np.ndarray, place: np.ndarray, buf: np.ndarray) -> np.ndarray:
-        """Least edits between each window and the text on the diagonals of its band (k more on either side)."""
-        k = int(self.k[w].max(initial=0))
-        width = 2 * max(k, 1) + 2 * k + 1
-        off = np.arange(width)
-        d = np.zeros((len(w), width), np.int32)
-        for i in range(int(self.size[w].max(initial=0))):
-            j = place[:, None] - k + i + off
-            text = np.where((j >= 0) & (j < len(buf)), buf[np.clip(j, 0, len(buf) - 1)], 0)
-            t = d + (text != self.text[w, i][:, None])
+        lo = 0
+        while lo < len(p):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MAX_HITS, "right")))
+            begin = int(np.searchsorted(p, p[lo] - span))
+            m = n[begin:hi]
+            stop = np.cumsum(m)
+            idx = np.arange(int(stop[-1])) - np.repeat(stop - m, m) + np.repeat(self.first[g[begin:hi]], m)
+            yield self.at[idx], np.repeat(p[begin:hi], m)
+            lo = hi
+
+    def regions(self, at: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, lowest window start, lowest diagonal) of regions whose band holds as many q-grams as the lemma asks."""
+        stride = len(self.text) + 1
+        band = (pos - at + len(self.text)) // EDITS
+        key = np.concatenate([band * stride + at, (band - 1) * stride + at])  # bands of two cells, overlapping by one
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        item = self.item_of(key % stride)
+        ahead = np.arange(len(key)) + self.bound[item] - 1
+        ok = np.flatnonzero(ahead < len(key))
+        ok = ok[key[ahead[ok]] - key[ok] <= self.reach[item[ok]]]
+        key, item = key[ok], item[ok]
+        first = key % stride - self.start[item]
+        block = np.unique(np.stack([key // stride, item, first // STARTS]), axis=1)
+        band, item, block = block
+        return item, self.start[item] + block * STARTS - (WINDOW - Q), band * EDITS - len(self.text)
+
+    def windows(self, item: np.ndarray, low: np.ndarray, diag: np.ndarray, buf: np.ndarray) -> Iterator[np.ndarray]:
+        """Columns (region, window start, size, edits allowed, characters to spare) of windows that pass the lemma for q = 2."""
+        width = STARTS + WINDOW - Q + WINDOW
+        off = np.arange(width + 2 * EDITS)
+        for s in range(0, len(item), 512):
+            own = np.arange(s, min(s + 512, len(item)))
+            x = self.text[np.clip(low[own][:, None] + off[:width], 0, len(self.text) - 1)]
+            y = buf[np.clip((low + diag)[own][:, None] + off, 0, len(buf) - 1)]
+            same = np.zeros((len(own), width - 1), bool)
+            for d in range(2 * EDITS):
+                e = x == y[:, d : d + width]
+                same |= e[:, :-1] & e[:, 1:]
+            total = np.zeros((len(own), width), np.int16)
+            np.cumsum(same, axis=1, dtype=np.int16, out=total[:, 1:])
+            size, begin = self.size[item[own]][:, None], self.start[item[own]][:, None]
+            for n, k in SIZES:
+                have = total[:, n - 1 :] - total[:, : width - n + 1]
+                at = low[own][:, None] + np.arange(have.shape[1])
+                r, c = np.nonzero((have >= n - 1 - 2 * k) & (at >= begin) & (at + n <= begin + size) & (size >= SHORT))
+                yield np.stack([own[r], at[r, c], np.full(len(r), n), np.full(len(r), k), have[r, c] - (n - 1 - 2 * k)])
+            # An item under the least size is one window.
+            r = np.flatnonzero((size[:, 0] < SHORT) & (begin[:, 0] >= low[own]) & (begin[:, 0] + size[:, 0] <= low[own] + width))
+            if len(r):
+                n, c = size[r, 0], begin[r, 0] - low[own[r]]
+                k = np.array([budget(v) for v in n.tolist()], np.int64)
+                have = total[r, c + n - 1] - total[r, c]
+                spare = have - np.maximum(n - 1 - 2 * k, 0)
+                fine = spare >= 0
+                yield np.stack([own[r], begin[r, 0], n, k, spare])[:, fine]
+
+    def align(self, at: np.ndarray, size: np.ndarray, place: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least edits between each window and the text on the diagonals of its band, and where the text's part ends.
+
+        place: where the window starts in the text on the lowest diagonal.
+        """
+        off = np.arange(2 * EDITS)
+        d = np.zeros((len(at), 2 * EDITS), np.int32)
+        for i in range(int(size.max(initial=0))):
+            j = place[:, None] + i + off
+            y = np.where((j >= 0) & (j < len(buf)), buf[np.clip(j, 0, len(buf) - 1)], 0)
+            t = d + (y != self.text[np.minimum(at + i, len(self.text) - 1)][:, None])
             t[:, :-1] = np.minimum(t[:, :-1], d[:, 1:] + 1)
             t = np.minimum.accumulate(t - off, 1) + off
-            d = np.where((i < self.size[w])[:, None], t, d)
-        return d.min(1).astype(np.int64)
-
-    def documents(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
-        """(row, item id, windows found, windows of the item, least edits, first place) for each contaminated pair."""
+            d = np.where((i < size)[:, None], t, d)
+        return d.min(1).astype(np.int64), place + size + d.argmin(1)
+
+    def search(self, buf: np.ndarray, row_of) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(row, item) to (edits, window start in the item, end in buf) of a verified window.
+
+        The windows of a row and item are tried by how much more than needed they share, most first, then by place.
+        """
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        done = np.zeros(0, np.int64)
+        for at, pos in self.hits(buf):
+            if len(done):  # what is found needs no more hits
+                keep = ~np.isin(row_of(pos) * len(self.owner) + self.item_of(at), done)
+                at, pos = at[keep], pos[keep]
+            if not len(at):
+                continue
+            item, low, diag = self.regions(at, pos)
+            if not len(item):
+                continue
+            pair = row_of(low + (WINDOW - Q) + STARTS // 2 + diag + EDITS) * len(self.owner) + item
+            for s in range(0, len(item), 1 << 14):
+                part = slice(s, s + (1 << 14))
+                got = [w for w in self.windows(item[part], low[part], diag[part], buf) if w.shape[1]]
+                if not got:
+                    continue
+                r, start, size, k, spare = np.concatenate(got, 1)
+                r += s
+                order = np.lexsort((start + diag[r], start, size, -spare, pair[r]))
+                r, start, size, k = r[order], start[order], size[order], k[order]
+                if len(done):
+                    keep = ~np.isin(pair[r], done)
+                    r, start, size, k = r[keep], start[keep], size[keep], k[keep]
+                most = 1
+                while len(r):  # the best of each pair, then more of those that are open
+                    first = np.flatnonzero(np.concatenate([[True], pair[r][1:] != pair[r][:-1]]))
+                    rank = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+                    try_now = np.flatnonzero(rank < most)
+                    most *= 8
+                    for b in range(0, len(try_now), 4096):
+                        i = try_now[b : b + 4096]
+                        edits, end = self.align(start[i], size[i], start[i] + diag[r[i]], buf)
+                        for j in np.flatnonzero(edits <= k[i]).tolist():
+                            x, own = i[j], int(item[r[i[j]]])
+                            row, _ = divmod(int(pair[r[x]]), len(self.owner))
+                            found.setdefault((row, int(self.owner[own])), (int(edits[j]), int(start[x] - self.start[own]), int(end[j])))
+                    open_ = np.ones(len(r), bool)
+                    open_[try_now] = False
+                    place = {int(o): n for n, o in enumerate(self.owner)}
+                    done = np.array([row * len(self.owner) + place[o] for row, o in found], np.int64)
+                    open_ &= ~np.isin(pair[r], done)
+                    r, start, size, k = r[open_], start[open_], size[open_], k[open_]
+        return found
+
+    def documents(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(row, item id, edits, window's place in the item, its end in the folded text) for each contaminated pair."""
         folded = [fold(t) for t in texts]
-        starts, parts, at = [], [], PAD
-        pad = "\0" * PAD
+        starts, at = [], PAD
         for t in folded:
             starts.append(at)
             at += len(t) + PAD
-        buf = points(pad + pad.join(folded) + pad)
-        w, place, edits = self.search(buf)
-        row = np.maximum(np.searchsorted(np.array(starts), place + PAD // 2, "right") - 1, 0)
-        found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
-        for r, x, p, e in zip(row.tolist(), w.tolist(), place.tolist(), edits.tolist()):
-            own = found.setdefault((r, int(self.owner[x])), {})
-            own[x] = min(own.get(x, (e, p)), (e, p))
-        return [(r, self.items[i][0], len(o), int(self.windows[i]), min(e for e, _ in o.values()), max(0, min(p for _, p in o.values()) - starts[r])) for (r, i), o in sorted(found.items())]
+        pad = "\0" * PAD
+        begin = np.array(starts, np.int64)
+        row_of = lambda place: np.maximum(np.searchsorted(begin, place + PAD // 2, "right") - 1, 0)
+        found = self.search(points(pad + pad.join(folded) + pad), row_of)
+        out = {(r, i): (e, w, min(max(0, p - starts[r]), len(folded[r]))) for (r, i), (e, w, p) in found.items()}
+        for i, s in self.short:
+            bare = re.compile(rf"(?<![^\W_]){re.escape(s)}(?![^\W_])")
+            for r, t in enumerate(folded):
+                if s in t and (m := bare.search(t)):
+                    out[r, i] = (0, 0, m.end())
+        return [(r, self.items[i][0], *v) for (r, i), v in sorted(out.items())]
 
 
-MATCHES = "doc_id long, item_id long, windows_found long, item_windows long, edits long, start long"
+MATCHES = "doc_id long, item_id long, edits long, item_start long, end long"
 
 
 def query_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text"):
@@ -187,7 +283,7 @@ def query_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and item found in it; `start` is a place in the folded text."""
+    """One row per document and item found in it: the edits of a verified window, its place in the item, its end in the folded text."""
     bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return reduce(DataFrame.unionByName, [narrow.mapInArrow(_searcher(q), MATCHES) for q in query_blocks(benchmark)])
@@ -199,8 +295,8 @@ def _searcher(queries: Queries):
             for s in text_slices(b, 1, 2 << 20):
                 rows = queries.documents(s.column(1).to_pylist())
                 ids = s.column(0).to_pylist()
-                cols = list(zip(*[(ids[r[0]], *r[1:]) for r in rows])) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "windows_found", "item_windows", "edits", "start"])
+                cols = list(zip(*[(ids[r[0]], *r[1:]) for r in rows])) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "edits", "item_start", "end"])
 
     return run
 
