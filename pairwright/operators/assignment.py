@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 
 #: Pairs of a bucket that one task may hold.
 LARGE = 200_000
@@ -52,7 +52,9 @@ def rounds(spark: SparkSession, pairs: DataFrame, best: list[str]) -> DataFrame:
         marked = left.withColumns({"rank": top, "first": first})
         won = stored(spark, marked.where("rank = 1 AND first = idx_a").select("idx_a", "idx_b"), "won")
         total = won if total is None else total.unionByName(won)
+        before = left
         left = stored(spark, left.join(won.select("idx_a"), "idx_a", "left_anti").join(won.select("idx_b"), "idx_b", "left_anti").select("idx_a", "idx_b", *best), "rounds")
+        discard(spark, before)
     return total if total is not None else left.select("idx_a", "idx_b")
 
 

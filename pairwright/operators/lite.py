@@ -19,6 +19,8 @@ WEIGHTS = {"hash": 10.0, "bb": 2.0, "instr": 2.0, "edge": 1.5, "hist": 8.0, "str
 #: Prefixes that are cut from a lower-cased name, each once, in this order.
 NAME_PREFIXES = ("sub_", "fcn_", "fcn.", "function_", "func_", "f_")
 CONSTANT_LIMIT = 65536
+#: The technique that every match of the profile is given, and what it adds to the confidence.
+TECHNIQUE, TECHNIQUE_BONUS = "Structural", 0.02
 
 
 def stripped_name(name: Column) -> Column:
@@ -43,7 +45,7 @@ def similarity(a: Column, b: Column) -> Column:
 def _phase(spark: SparkSession, pairs: DataFrame, phase: int) -> DataFrame:
     """pairs: key, a, b. A right row at address 0 is never taken, but a left row whose best it is gets nothing."""
     s = pairs.select("key", F.col("a.idx").alias("idx_a"), F.col("b.idx").alias("idx_b"), (F.col("b.address") == 0).alias("zero"), F.least(F.lit(1.0), similarity(F.col("a"), F.col("b")) + BONUS[phase]).alias("score"))
-    s = s.where(F.col("score") > THRESHOLDS[phase])
+    s = stored(spark, s.where(F.col("score") > THRESHOLDS[phase]), "scored")
     order = Window.partitionBy("idx_a").orderBy(F.desc("score"), "idx_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumn("behind", F.max("zero").over(order)).where(~F.col("behind")).drop("behind", "zero")
     chosen = assignment.greedy(spark, s, "key", ["score"])
@@ -59,7 +61,7 @@ def match(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
         free_b = b if used is None else b.join(used.select(F.col("idx_b").alias("idx")), "idx", "left_anti")
         found = stored(spark, _phase(spark, candidates(free_a, free_b, phase), phase), "lite")
         used = found if used is None else used.unionByName(found)
-    return used.withColumn("confidence", F.least(F.lit(1.0), F.col("similarity") + 0.02))
+    return used.withColumns({"confidence": F.least(F.lit(1.0), F.col("similarity") + TECHNIQUE_BONUS), "technique": F.lit(TECHNIQUE)})
 
 
 def candidates(a: DataFrame, b: DataFrame, phase: int) -> DataFrame:
@@ -68,11 +70,28 @@ def candidates(a: DataFrame, b: DataFrame, phase: int) -> DataFrame:
         on, key = (F.col("a.structural_hash") == F.col("b.structural_hash")) & (F.col("a.structural_hash") != 0), F.col("a.structural_hash").cast("string")
     elif phase == 1:
         on, key = (F.col("a.name") == F.col("b.name")) & (F.col("a.name") != "sub_*"), F.col("a.name")
-    else:  # by definition every leftover with every other; a bound on the counts is the join's condition
-        on, key = 10.0 + 7.5 * share(F.col("a.n_bb"), F.col("b.n_bb")) + 2.0 * share(F.col("a.n_instr"), F.col("b.n_instr")) + 9.0 > THRESHOLDS[2] * 27.5, F.lit("all")
+    else:
+        return leftover_pairs(left, right).withColumn("key", F.lit("all"))
     return left.join(right, on).withColumn("key", key)
 
 
+def leftover_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of leftovers (structs a and b) that can pass the last threshold; by definition each meets each.
+
+    Equal hashes pass always: an equi-join. Without them a pair needs 7.5 s + 2 s' over 2.4 for its shares of blocks
+    and instructions (the named form of the score, with equal names; the nameless one needs more). As s' is 1 at most,
+    block counts lie within a factor of 18.75: pairs meet by bands of powers of 2 of the block count, five to either
+    side, which is an equi-join as well. The comparison itself stays leftovers times leftovers of like size.
+    """
+    band = lambda c: F.floor(F.log2(c.cast("double"))).cast("int")
+    a, b = F.col("a"), F.col("b")
+    same = left.join(right, (F.col("a.structural_hash") == F.col("b.structural_hash")) & (F.col("a.structural_hash") != 0))
+    spread = left.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda d: d + band(F.col("a.n_bb")))))
+    near = (F.col("a.structural_hash") != F.col("b.structural_hash")) | (F.col("a.structural_hash") == 0)
+    bound = 7.5 * share(a["n_bb"], b["n_bb"]) + 2.0 * share(a["n_instr"], b["n_instr"]) > THRESHOLDS[2] * 28.5 - 9.0 - 1e-9
+    return same.unionByName(spread.join(right.withColumn("band", band(F.col("b.n_bb"))), "band").where(near & bound).drop("band"))
+
+
 # ---------------------------------------------------------------- the general score
 
 
@@ -86,28 +105,59 @@ def prime_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
-def general_similarity(techniques: dict[str, tuple[Column, float]]) -> Column:
-    """Weighted mean of the techniques that are there; a null score leaves its weight out."""
-    top = reduce(add, [F.coalesce(c * w, F.lit(0.0)) for c, w in techniques.values()])
-    weight = reduce(add, [F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in techniques.values()])
-    return F.when(weight > 0, top / weight).otherwise(0.0)
+def general_similarity(techniques: list[tuple[str, Column, Column | float]]) -> tuple[Column, Column]:
+    """(score, dominant technique) of (name, similarity, weight) in order; a null similarity leaves its weight out.
 
+    The score is the weighted mean. The dominant technique has the largest sum of weighted similarities, the first on
+    ties; a full hash comes before all, and `Mixed` stands where none has any.
+    """
+    weights = [w if isinstance(w, Column) else F.lit(w) for _, _, w in techniques]
+    gains = [F.coalesce(s * w, F.lit(0.0)) for (_, s, _), w in zip(techniques, weights)]
+    total = reduce(add, [F.when(s.isNotNull(), w).otherwise(0.0) for (_, s, _), w in zip(techniques, weights)])
+    score = F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), reduce(add, gains) / total))).otherwise(0.0)
+    own = {n: reduce(add, [g for (m, _, _), g in zip(techniques, gains) if m == n]) for n, _, _ in techniques}
+    largest = F.greatest(*own.values())
+    first = F.coalesce(*[F.when(g == largest, F.lit(n)) for n, g in own.items()])
+    return score, F.when(own["Hash Match"] >= WEIGHTS["hash"], "Hash Match").when(largest > 0, first).otherwise("Mixed")
 
-def string_technique(a: Column, b: Column) -> tuple[Column, Column]:
-    """Similarity of string sets and its weight, which is higher for close sets."""
-    s = K.jaccard(a, b)
-    return s, F.when(s > 0.8, WEIGHTS["string_high"]).otherwise(WEIGHTS["string"])
 
+#: Names of the general score's techniques, in order.
+TECHNIQUES = ("Hash Match", "Basic Block Count", "Instruction Count", "Edge Count", "Mnemonic Histogram", "String References", "Callgraph", "Control Flow", "Numeric Constants", "Prime Features", "Name Similarity")
 
-def small_constants(xs: Column) -> Column:
-    return F.filter(xs, lambda x: x < CONSTANT_LIMIT)
 
+def techniques(a: Column, b: Column) -> list[tuple[str, Column, Column | float]]:
+    """All techniques over two feature structs: structural_hash, n_bb, n_instr, n_edges, histogram (map), strings,
+    call_count, caller_count, node_count, density, connected, constants (numbers), primes, name.
 
-def dominant(techniques: dict[str, tuple[Column, float]]) -> Column:
-    """The technique of the largest weighted score, the first on ties; `Hash Match` for a full hash, else `Mixed`."""
-    names = list(techniques)
-    scores = [F.coalesce(c * w, F.lit(0.0)) for c, w in techniques.values()]
-    largest = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    first = F.coalesce(*[F.when(s == largest, F.lit(n)) for n, s in zip(names, scores)])
-    full = F.coalesce(techniques["hash"][0] * techniques["hash"][1], F.lit(0.0)) >= 10 if "hash" in techniques else F.lit(False)
-    return F.when(full, "Hash Match").when(largest > 0, first).otherwise("Mixed")
+    Counts of zero, empty maps and empty lists leave their technique out.
+    """
+    both = lambda c, value: F.when((a[c] > 0) & (b[c] > 0), value)
+    full = lambda c, value: F.when((F.size(a[c]) > 0) & (F.size(b[c]) > 0), value)
+    part = lambda c, least=1.0: 1.0 - F.least(F.lit(1.0), F.abs(a[c] - b[c]).cast("double") / F.greatest(F.lit(least), a[c].cast("double"), b[c].cast("double")))
+    strings = F.when((F.size(a["strings"]) > 0) & (F.size(b["strings"]) > 0), K.jaccard(a["strings"], b["strings"]))
+    called = (a["call_count"] > 0) | (b["call_count"] > 0)
+    small_a, small_b = small_constants(a["constants"]), small_constants(b["constants"])
+    consts = F.when((F.size(small_a) > 0) | (F.size(small_b) > 0), K.jaccard(F.array_distinct(small_a), F.array_distinct(small_b)))
+    name_a, name_b = stripped_name(a["name"]), stripped_name(b["name"])
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    hash_, bb, ins, edge, hist, string, call, flow, const, prime, name = TECHNIQUES
+    return [
+        (hash_, flag(a["structural_hash"] == b["structural_hash"]), WEIGHTS["hash"]),
+        (bb, both("n_bb", part("n_bb")), WEIGHTS["bb"]),
+        (ins, both("n_instr", part("n_instr")), WEIGHTS["instr"]),
+        (edge, both("n_edges", part("n_edges")), WEIGHTS["edge"]),
+        (hist, full("histogram", K.cosine(a["histogram"], b["histogram"])), WEIGHTS["hist"]),
+        (string, strings, F.when(strings > 0.8, WEIGHTS["string_high"]).otherwise(WEIGHTS["string"])),
+        (call, F.when(called, part("call_count")), WEIGHTS["call"]),
+        (call, F.when(called, part("caller_count")), WEIGHTS["call"]),
+        (flow, both("node_count", part("node_count")), WEIGHTS["flow"]),
+        (flow, part("density", 0.001), WEIGHTS["flow"]),
+        (flow, flag(a["connected"] == b["connected"]), WEIGHTS["flow"]),
+        (const, full("constants", consts), WEIGHTS["const"]),
+        (prime, full("primes", prime_similarity(a["primes"], b["primes"])), WEIGHTS["prime"]),
+        (name, F.when(~(name_a.startswith("0x") & name_b.startswith("0x")), flag(name_a == name_b)), WEIGHTS["name"]),
+    ]
+
+
+def small_constants(xs: Column) -> Column:
+    return F.filter(xs, lambda x: x < CONSTANT_LIMIT)

@@ -76,7 +76,8 @@ def keyed_candidates(a: DataFrame, b: DataFrame, phase: int, similarity: float =
 
 
 def keyed_matches(spark: SparkSession, a: DataFrame, b: DataFrame, phase: int, similarity: float = SIMILARITY, confidence: float = CONFIDENCE) -> DataFrame:
-    pairs = keyed_candidates(a, b, phase, similarity, confidence).drop("a", "b")
+    # Scores are computed once: the count of hot buckets, the assignment and the last join read the narrow table.
+    pairs = stored(spark, keyed_candidates(a, b, phase, similarity, confidence).drop("a", "b"), "scored")
     chosen = assignment.greedy(spark, pairs, "key", ["confidence", "similarity"])
     return labelled(pairs.join(chosen, ["idx_a", "idx_b"]), phase, next(p for p in KEYED_PHASES if p[0] == phase)[4])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.text import formatted, hex_address
 
 #: The two column orders of the results table; numbers sort by value, texts by their lower case.
 VIEW_COLUMNS = ("similarity", "confidence", "name_a", "address_a", "name_b", "address_b", "match_type", "size_a", "size_b", "bb_a", "bb_b", "instr_a", "instr_b")
@@ -38,11 +39,39 @@ def filter_results(results: DataFrame, match_type: str = "All", similarity="0.0"
     return out
 
 
-def sort_results(results: DataFrame, column: int, descending: bool = False, order: tuple = VIEW_COLUMNS, fold_case: bool = True) -> DataFrame:
-    """Sorted by one of the 13 columns; stable in `seq` in both directions."""
+def sort_results(results: DataFrame, column: int, descending: bool = False, order: tuple = VIEW_COLUMNS, fold_case: bool = True, position: str = "seq") -> DataFrame:
+    """Sorted by one of the 13 columns; stable in `position` in both directions."""
+    return results.orderBy(*_sort_key(column, descending, order, fold_case), position)
+
+
+def _sort_key(column: int, descending: bool, order: tuple, fold_case: bool) -> list[Column]:
     name = order[column]
     key = F.lower(name) if name in TEXT_COLUMNS and fold_case else F.col(name)
-    return results.orderBy(key.desc() if descending else key.asc(), "seq")
+    return [key.desc() if descending else key.asc()]
+
+
+class SortedTable:
+    """A table that is sorted again and again: the same column toggles its direction, another starts ascending, and
+    rows of equal keys keep the places that the sorts before gave them. Filtering anew goes back to the order of loading.
+
+    A stable sort after sorts by other columns is one sort by all of them, the last first; so no places are numbered.
+    """
+
+    def __init__(self, order: tuple = VIEW_COLUMNS, fold_case: bool = True):
+        self.order, self.fold_case = order, fold_case
+        self.done: list[tuple[int, bool]] = []
+
+    def click(self, column: int) -> SortedTable:
+        descending = bool(self.done) and self.done[0][0] == column and not self.done[0][1]
+        self.done = [(column, descending), *(x for x in self.done if x[0] != column)]
+        return self
+
+    def reset(self) -> SortedTable:
+        self.done = []
+        return self
+
+    def rows(self, results: DataFrame) -> DataFrame:
+        return results.orderBy(*[k for c, d in self.done for k in _sort_key(c, d, self.order, self.fold_case)], "seq")
 
 
 def report_order(results: DataFrame) -> DataFrame:
@@ -68,16 +97,6 @@ def find_pair(results: DataFrame, address_a: int, address_b: int) -> DataFrame:
     return results.where((F.col("address_a") == address_a) & (F.col("address_b") == address_b)).orderBy("seq").limit(1)
 
 
-def hex_address(c: Column, width: int = 0, prefix: str = "0x") -> Column:
-    digits = F.lower(F.conv(c.cast("string"), 10, 16))
-    return F.concat(F.lit(prefix), F.lpad(digits, width, "0") if width else digits)
-
-
-def csv_safe(c: Column) -> Column:
-    """A quote before what a spreadsheet would take for a formula."""
-    return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
-
-
 def pair_blocks(pairs: DataFrame) -> DataFrame:
     """pairs: idx_a, idx_b, blocks_a, blocks_b (arrays of blocks); the i-th with the i-th, null where one side ends."""
     n = F.greatest(F.size("blocks_a"), F.size("blocks_b"))
@@ -88,8 +107,10 @@ def pair_blocks(pairs: DataFrame) -> DataFrame:
 
 
 def cut_name(c: Column) -> Column:
-    """Names of more than 28 bytes are cut to 25 characters and three dots."""
-    return F.when(F.octet_length(c) > 28, F.concat(F.substr(c, F.lit(1), F.lit(25)), F.lit("..."))).otherwise(c)
+    """Names of more than 28 bytes are cut to 25 bytes, whole characters, and three dots."""
+    ends = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda n: F.substr(c, F.lit(1), n))
+    head = F.array_max(F.transform(F.filter(ends, lambda x: F.octet_length(x) <= 25), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
+    return F.when(F.octet_length(c) > 28, F.concat(head, F.lit("..."))).otherwise(c)
 
 
 def first_row(results: DataFrame) -> DataFrame:
@@ -97,8 +118,18 @@ def first_row(results: DataFrame) -> DataFrame:
     return results.orderBy("seq").limit(1)
 
 
-def table_cells(rows, order: tuple = VIEW_COLUMNS):
-    """Rows as the 13 texts of a results table, in either column order; numbers are formatted from the exact double."""
-    show = {"similarity": "{:.4f}".format, "confidence": "{:.4f}".format, "address_a": lambda v: f"0x{int(v):x}", "address_b": lambda v: f"0x{int(v):x}"}
-    for r in rows:
-        yield tuple(show.get(c, lambda v: str(v if v is not None else ""))(r[c]) for c in order)
+def table_cells(results: DataFrame, order: tuple = VIEW_COLUMNS) -> DataFrame:
+    """seq and the 13 texts of a results table, in either column order."""
+    text = lambda c: F.col(c).cast("decimal(20,0)").cast("string")
+    show = {"similarity": lambda c: formatted(F.col(c), ".4f"), "confidence": lambda c: formatted(F.col(c), ".4f"), "address_a": lambda c: hex_address(F.col(c)), "address_b": lambda c: hex_address(F.col(c))}
+    cell = lambda c: F.coalesce(show[c](c) if c in show else F.col(c) if c in TEXT_COLUMNS else text(c), F.lit(""))
+    return results.select("seq", *[cell(c).alias(c) for c in order])
+
+
+def functions_at(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """pairs (address_a, address_b) with the functions at both addresses; a pair goes if either is missing.
+
+    Of several functions at an address the last one counts.
+    """
+    last = lambda f, s: f.groupBy(F.col("address").alias(f"address_{s}")).agg(F.max_by(F.struct(*[c for c in f.columns if c != "address"]), "idx").alias(f"function_{s}"))
+    return pairs.join(last(a, "a"), "address_a").join(last(b, "b"), "address_b")

@@ -57,9 +57,22 @@ def escape_html(c: Column) -> Column:
 
 
 #: The text forms of a function; the first stands in for a missing one.
-MODES = ("Disassembly", "LLIL", "MLIL", "HLIL", "Pseudo-C")
+MODES = ("Disassembly", "Low Level IL", "Medium Level IL", "High Level IL", "Pseudo-C")
 
 
 def function_text(mode: str, columns: dict[str, str]) -> Column:
-    """The text column of a mode, else the disassembly, else a note."""
+    """The text column of a mode, else the disassembly, else a note. columns: mode to column name."""
+    if mode not in MODES:
+        raise ValueError(f"no such text form: {mode}")
     return F.coalesce(*[F.col(columns[m]) for m in dict.fromkeys((mode, MODES[0])) if m in columns], F.lit("No text available"))
+
+
+def pair_view(pairs: DataFrame, mode: str, columns_a: dict[str, str], columns_b: dict[str, str], unified: bool = False) -> DataFrame:
+    """The diff of each pair in one of the text forms, side by side or unified (which needs name_a and name_b).
+
+    A pair of which a side is missing (null idx) has no view.
+    """
+    texts = pairs.where(F.col("idx_a").isNotNull() & F.col("idx_b").isNotNull()).withColumns({"text_of_a": function_text(mode, columns_a), "text_of_b": function_text(mode, columns_b)})
+    if unified:
+        return diff_lines(texts, UnifiedDiff, "text_of_a", "text_of_b", "name_a", "name_b").select("idx_a", "idx_b", "n", "kind", "line")
+    return diff_lines(texts, SideBySide, "text_of_a", "text_of_b").select("idx_a", "idx_b", "n", "tag", "line_a", "text_a", "line_b", "text_b")

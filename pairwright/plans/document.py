@@ -1,51 +1,74 @@
-"""A whole diff as one JSON document, and back."""
+"""A whole diff as one JSON document, and back. Bodies are joined late and streamed to the file, never gathered."""
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.matching import Diff
+from ..sinks import exports
 
 VERSION = "1.0"
 
 
-def bodies(program: DataFrame, ids: DataFrame, idx: str) -> DataFrame:
-    """Whole functions as JSON, by idx: joined late, after matching."""
-    return program.join(ids.select(F.col(idx).alias("idx")), "idx").select("idx", F.to_json(F.struct(*[f.name for f in S.FUNCTION])).alias("body"))
+def bodies(program: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (idx and what else it has) with whole functions as structs."""
+    whole = program.select("idx", F.struct(*[f.name for f in S.FUNCTION]).alias("function"))
+    return ids.join(whole, "idx").select(*ids.columns, "function")
 
 
-def to_document(d: Diff, program_a: DataFrame, program_b: DataFrame, path_a: str, path_b: str) -> dict:
+def function_rows(d: Diff, program: DataFrame, side: str) -> DataFrame:
+    """(ord, body): the matched functions of a side in the order of matching, then its leftovers by idx."""
+    rest = d.unmatched_a if side == "a" else d.unmatched_b
+    order = d.matches.select(F.struct(F.col("phase"), F.col("idx_a").alias("at")).alias("ord"), F.col(f"idx_{side}").alias("idx"))
+    order = order.unionByName(rest.select(F.struct(F.lit(99).alias("phase"), F.col("idx").alias("at")).alias("ord"), "idx"))
+    return bodies(program, order).select("ord", F.to_json("function", {"ignoreNullFields": "false"}).alias("body"))
+
+
+def match_rows(d: Diff, program_a: DataFrame, program_b: DataFrame) -> DataFrame:
+    """(ord, body): matches with both functions inside."""
+    side = lambda p, s: bodies(p, d.matches.select(F.col(f"idx_{s}").alias("idx"))).select(F.col("idx").alias(f"idx_{s}"), F.col("function").alias(f"function_{s}"))
+    m = d.matches.join(side(program_a, "a"), "idx_a").join(side(program_b, "b"), "idx_b")
+    body = F.to_json(F.struct("function_a", "function_b", "similarity", "confidence", "match_type", "details"), {"ignoreNullFields": "false"})
+    return m.select(F.struct("phase", F.col("idx_a").alias("at")).alias("ord"), body.alias("body"))
+
+
+def save_document(d: Diff, program_a: DataFrame, program_b: DataFrame, path_a: str, path_b: str, path: str) -> None:
     """Functions are the matched ones, then the leftovers. Hashes of the inputs are left empty and time is 0."""
-    import json
+    n = d.matches.count()
+    meta = {"created_at": datetime.now(UTC).isoformat(), "plugin_version": VERSION, "binary_a_hash": "", "binary_b_hash": "", "total_functions_a": n + d.unmatched_a.count(), "total_functions_b": n + d.unmatched_b.count(), "total_matches": n, "analysis_time_seconds": 0.0}
+    lists = {"functions_a": function_rows(d, program_a, "a"), "functions_b": function_rows(d, program_b, "b"), "matches": match_rows(d, program_a, program_b)}
+    exports.save_diff(lists, {"binary_a_path": path_a, "binary_b_path": path_b}, {"metadata": meta}, path)
+
+
+def save_result(d: Diff, program_a: DataFrame, program_b: DataFrame, name_a: str, name_b: str, path: str, seconds: float = 0.0) -> None:
+    """The bare result: matches, leftovers, overall similarity, time and names."""
+    rest = lambda p, u: bodies(p, u.select("idx")).select(F.col("idx").alias("ord"), F.to_json("function", {"ignoreNullFields": "false"}).alias("body"))
+    lists = {"matched_functions": match_rows(d, program_a, program_b), "unmatched_functions_a": rest(program_a, d.unmatched_a), "unmatched_functions_b": rest(program_b, d.unmatched_b)}
+    exports.save_diff(lists, {}, {"similarity_score": similarity_score(d), "analysis_time": seconds, "binary_a_name": name_a, "binary_b_name": name_b}, path)
+
 
-    found = [r.asDict(recursive=True) for r in d.matches.orderBy("phase", "idx_a").toLocalIterator()]
-    body = {s: {r["idx"]: json.loads(r["body"]) for r in bodies(p, i, "idx").toLocalIterator()} for s, p, i in (("a", program_a, d.features_a), ("b", program_b, d.features_b))}
-    rest = {s: [r["idx"] for r in u.select("idx").orderBy("idx").toLocalIterator()] for s, u in (("a", d.unmatched_a), ("b", d.unmatched_b))}
-    matches = [{"function_a": body["a"][m["idx_a"]], "function_b": body["b"][m["idx_b"]], "similarity": m["similarity"], "confidence": m["confidence"], "match_type": m["match_type"], "details": m["details"]} for m in found]
-    functions = {s: [body[s][m[f"idx_{s}"]] for m in found] + [body[s][i] for i in rest[s]] for s in "ab"}
-    meta = {"version": VERSION, "created_at": datetime.now(UTC).isoformat(), "plugin_version": VERSION, "analysis_time_seconds": 0.0, "total_functions_a": len(functions["a"]), "total_functions_b": len(functions["b"]), "total_matches": len(matches)}
-    return {"metadata": meta, "binary_a_path": path_a, "binary_b_path": path_b, "binary_a_hash": "", "binary_b_hash": "", "functions_a": functions["a"], "functions_b": functions["b"], "matches": matches}
+MATCH = f"struct<function_a: {S.FUNCTION.simpleString()}, function_b: {S.FUNCTION.simpleString()}, similarity: double, confidence: double, match_type: string, details: {S.DETAILS.simpleString()}>"
 
 
 def matches_of(spark: SparkSession, doc: dict) -> DataFrame:
     """The matches of a loaded document, as rows with nested functions."""
-    import json
-
     rows = spark.createDataFrame([(i, json.dumps(m)) for i, m in enumerate(doc["matches"])], "seq long, j string")
-    full = f"function_a {S.FUNCTION.simpleString()}, function_b {S.FUNCTION.simpleString()}, similarity double, confidence double, match_type string, details {S.DETAILS.simpleString()}"
-    return rows.select("seq", F.from_json("j", full).alias("m")).select("seq", "m.*")
+    return rows.select("seq", F.from_json("j", MATCH).alias("m")).select("seq", "m.*")
 
 
-def result_document(d: Diff, program_a: DataFrame, program_b: DataFrame, name_a: str, name_b: str, seconds: float = 0.0) -> dict:
-    """The bare result: matches, leftovers, overall similarity, time and names."""
-    doc = to_document(d, program_a, program_b, name_a, name_b)
-    n = len(doc["matches"])
-    score = sum(m["similarity"] for m in doc["matches"]) / n if n else 0.0
-    return {"matched_functions": doc["matches"], "unmatched_functions_a": doc["functions_a"][n:], "unmatched_functions_b": doc["functions_b"][n:], "similarity_score": score, "analysis_time": seconds, "binary_a_name": name_a, "binary_b_name": name_b}
+def read_matches(bodies: DataFrame) -> DataFrame:
+    """(ord, body) rows of matches, parsed again."""
+    return bodies.select("ord", F.from_json("body", MATCH).alias("m")).select("ord", "m.*")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Adds `seq`, the place by `ord` from 0: a listing for people, so one ordered partition."""
+    return rows.withColumn("seq", F.row_number().over(Window.orderBy("ord")) - 1)
 
 
 def match_count(d: Diff | None) -> int:

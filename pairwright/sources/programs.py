@@ -51,16 +51,29 @@ def fixture_program(spark: SparkSession, name: str = "") -> DataFrame:
 
 
 def read_program(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A program of schema.PROGRAM; missing fields take their type's default, unknown ones are ignored."""
+    """A program of schema.PROGRAM; missing fields take their type's default, unknown ones are ignored.
+
+    fmt: `json` for one document a file, `jsonl` for one record a line, or any format that Spark reads.
+    """
     reader = spark.read.schema(S.PROGRAM)
-    return with_defaults(reader.option("multiLine", True).option("mode", "FAILFAST").json(path) if fmt == "json" else reader.format(fmt).load(path))
+    if fmt in ("json", "jsonl"):
+        return with_defaults(reader.option("multiLine", fmt == "json").option("mode", "FAILFAST").json(path))
+    return with_defaults(reader.format(fmt).load(path))
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
-    """Nulls of the top level become 0, the empty text or the empty list."""
-    zero = {"string": F.lit(""), "bigint": F.lit(0), "decimal(20,0)": F.lit(0)}
-    default = lambda f: F.array().cast(f.dataType) if f.dataType.typeName() == "array" else zero[f.dataType.simpleString()].cast(f.dataType)
-    return df.select(*[F.coalesce(F.col(f.name), default(f)).alias(f.name) if f.name != "idx" else F.col("idx") for f in df.schema])
+    """Nulls become 0, the empty text, the empty list or empty bytes, in nested records too; idx is left as it is."""
+    return df.select(*[_default(F.col(f.name), f.dataType).alias(f.name) if f.name != "idx" else F.col("idx") for f in df.schema])
+
+
+def _default(c: Column, kind) -> Column:
+    name = kind.typeName()
+    if name == "array":
+        return F.coalesce(F.transform(c, lambda x: _default(x, kind.elementType)), F.array().cast(kind))
+    if name == "struct":
+        return F.struct(*[_default(c[f.name], f.dataType).alias(f.name) for f in kind])
+    zero = {"string": F.lit(""), "binary": F.lit(b"")}.get(name, F.lit(0).cast(kind))
+    return F.coalesce(c, zero)
 
 
 #: Instruction of each kind of event.
@@ -68,12 +81,15 @@ EVENT_MNEMONICS = {"purchase": "call", "view": "mov", "click": "push", "signup":
 
 
 def events_program(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Users as functions, days as basic blocks, events as instructions. Side b lacks some users and events.
+    """Users as functions, days as basic blocks, events as instructions.
+
+    Sides a and b are two versions that each lack some users or events; side w is the whole table.
 
     A function's place is its user's id: places need an order, not to be gapless, so no global numbering is made.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts", "props")
-    e = e.where("user_id % 10 <> 4") if side == "a" else e.where("user_id % 10 <> 3 AND event_id % 100 <> 7")
+    if side != "w":
+        e = e.where("user_id % 10 <> 4") if side == "a" else e.where("user_id % 10 <> 3 AND event_id % 100 <> 7")
     k = F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1).cast("bigint")
     base = (F.col("user_id") + 1) * 4096
     mnemonic = F.coalesce(*[F.when(F.col("event_type") == t, m) for t, m in EVENT_MNEMONICS.items()], F.lit("nop"))
@@ -114,6 +130,47 @@ def events_program(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
+def halves_program(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Coarse functions with many ties: a user's events of the first (a) or second (b) half of the months.
+
+    A block for each kind of event, with one or two instructions; names and addresses repeat, 0 among them, and so do
+    the hashes of a quarter of the functions.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts")
+    e = e.where(F.dayofmonth("ts") <= 15) if side == "a" else e.where(F.dayofmonth("ts") > 15)
+    m = F.coalesce(*[F.when(F.col("event_type") == t, m) for t, m in EVENT_MNEMONICS.items()], F.lit("nop"))
+    kinds = e.groupBy("user_id", m.alias("m")).agg(F.count("*").alias("n"))
+    users = kinds.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("m", "n"))).alias("kinds"))
+    uid, base = F.col("user_id"), (F.col("user_id") % 50) * 4096
+    start = lambda i: (base + i * 64).cast(S.U64)
+
+    def block(x: Column, i: Column) -> Column:
+        operands = F.when(x["m"] == "call", F.array(F.concat(F.lit("fn_"), (uid % 4).cast("string")))).when(x["m"] == "jmp", F.array(F.concat(F.lit('"e'), (x["n"] % 3).cast("string"), F.lit('"'))))
+        operands = operands.otherwise(F.array(F.lit("r1"), (x["n"] % 4).cast("string")))
+        code = F.transform(F.sequence(F.lit(1), F.least(x["n"], F.lit(2))), lambda k: F.struct((base + i * 64 + k * 16).cast(S.U64).alias("address"), x["m"].alias("mnemonic"), operands.alias("operands"), F.lit(None).cast("binary").alias("bytes"), F.lit(16).cast("long").alias("length")))
+        none = F.array().cast("array<decimal(20,0)>")
+        edges = F.concat(F.when(i < F.size("kinds") - 1, F.array(start(i + 1))).otherwise(none), F.when(x["m"] == "jmp", F.array(start(F.lit(0)))).otherwise(none))
+        words = F.array_join(F.transform(code, lambda y: y["mnemonic"]), " ")
+        return F.struct(start(i).alias("address"), (F.size(code) * 16).cast(S.U64).alias("size"), code.alias("instructions"), edges.alias("edges"), F.sha2(words, 256).alias("mnemonic_hash"), F.size(code).cast("long").alias("instruction_count"))
+
+    p = users.withColumn("basic_blocks", F.transform("kinds", block)).withColumn("instructions", F.flatten(F.transform("basic_blocks", lambda b: b["instructions"])))
+    edges = F.aggregate("basic_blocks", F.lit(0), lambda s, b: s + F.size(b["edges"]))
+    words = F.array_join(F.transform("kinds", lambda x: x["m"]), ",")
+    calls = F.array_distinct(F.transform(F.filter("instructions", lambda i: i["mnemonic"] == "call"), lambda i: i["operands"][0]))
+    return p.select(
+        uid.cast("long").alias("idx"),
+        F.when(uid % 3 == 0, F.concat(F.lit("sub_"), F.lower(F.hex(uid)))).otherwise(F.concat(F.lit("grp_"), (uid % 7).cast("string"))).alias("name"),
+        base.cast(S.U64).alias("address"),
+        (F.size("instructions") * 16 + (uid % 3) * 4).cast(S.U64).alias("size"),
+        "basic_blocks", "instructions",
+        (edges - F.size("basic_blocks") + 2).cast("long").alias("cyclomatic_complexity"),
+        F.sha2(F.array_join(F.array_sort(calls), ","), 256).alias("call_graph_hash"),
+        F.sha2(F.concat_ws(":", words, F.when(uid % 4 == 0, (uid % 5).cast("string")).otherwise(F.concat(F.lit(side), uid.cast("string")))), 256).alias("cfg_hash"),
+        F.size("instructions").cast("long").alias("instruction_count"),
+        F.size(calls).cast("long").alias("call_count"),
+    )
+
+
 def orders_program(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Orders as functions (even keys are side a), line items as instructions: many small functions."""
     parity = 0 if side == "a" else 1
@@ -144,18 +201,22 @@ def orders_program(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 def lite_features(program: DataFrame) -> DataFrame:
     """Flat features of the lite profile: counts of at least 1, one row per address (the last values, in first place).
 
-    The structural key is the text that the profile hashes; equal texts are equal keys.
+    A size of 0 becomes the span of the blocks, instructions are counted block by block (3 for a block whose list is
+    missing), a function without blocks counts as one of each. The structural key is a 64-bit hash of the text that
+    the profile hashes; equal texts are equal keys, and a text that cannot be made has the key 0.
     """
     n_bb = F.size("basic_blocks")
     blocks = F.transform("basic_blocks", lambda b: F.concat(F.size(b["edges"]).cast("string"), b["size"].cast("string")))
-    total = F.aggregate("basic_blocks", F.lit(0).cast("decimal(38,0)"), lambda s, b: (s + b["size"]).cast("decimal(38,0)"))
-    text = F.concat(n_bb.cast("string"), F.array_join(blocks, ""), total.cast("string"))
+    size = F.coalesce("size", F.lit(0))
+    text = F.concat(n_bb.cast("string"), F.array_join(blocks, ""), size.cast("string"))
+    top, low = F.array_max(F.transform("basic_blocks", lambda b: b["address"] + b["size"])) - 1, F.array_min(F.transform("basic_blocks", lambda b: b["address"]))
+    counts = F.transform("basic_blocks", lambda b: F.when(b["instruction_count"] > 0, b["instruction_count"]).when(b["instructions"].isNotNull(), F.size(b["instructions"])).otherwise(3).cast("bigint"))
     f = program.select(
         "idx", "name", "address",
-        F.greatest("size", F.lit(1)).cast("decimal(20,0)").alias("size"),
+        F.greatest(F.when(size > 0, size).otherwise(F.coalesce(top - low, F.lit(1))), F.lit(1)).cast("decimal(20,0)").alias("size"),
         F.greatest(n_bb, F.lit(1)).cast("bigint").alias("n_bb"),
-        F.greatest(F.size("instructions"), F.lit(1)).cast("bigint").alias("n_instr"),
-        F.when(n_bb > 0, F.xxhash64(text).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(0).cast("bigint")).alias("structural_hash"),
+        F.greatest(F.coalesce(F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, x: s + x), F.lit(1)), F.lit(1)).alias("n_instr"),
+        F.when(text.isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint")).alias("structural_hash"),
     )
     last = F.max_by(F.struct("name", "size", "n_bb", "n_instr", "structural_hash"), "idx").alias("f")
     return f.groupBy("address").agg(F.min("idx").alias("idx"), last).select("idx", "address", "f.*")

@@ -72,11 +72,13 @@ def test_bands(spark):
 
 
 def test_lite_general_score(spark):
-    t = {"hash": (F.lit(1.0), 10.0), "bb": (F.lit(0.5), 2.0), "const": (F.lit(None).cast("double"), 3.0)}
-    assert one(spark, lite.general_similarity(t)) == pytest.approx(11 / 12)
-    assert one(spark, lite.dominant(t)) == "Hash Match"
-    assert one(spark, lite.dominant({"bb": (F.lit(0.0), 2.0)})) == "Mixed"
-    assert one(spark, lite.dominant({"bb": (F.lit(0.5), 2.0), "edge": (F.lit(1.0), 1.0)})) == "bb"
+    hash_, bb, edge, flow = (lite.TECHNIQUES[k] for k in (0, 1, 3, 7))
+    score, top = lite.general_similarity([(hash_, F.lit(1.0), 10.0), (bb, F.lit(0.5), 2.0), (edge, F.lit(None).cast("double"), 1.5)])
+    assert one(spark, score) == pytest.approx(11 / 12) and one(spark, top) == "Hash Match"
+    assert one(spark, lite.general_similarity([(hash_, F.lit(0.0), 10.0), (bb, F.lit(0.0), 2.0)])[1]) == "Mixed"
+    assert one(spark, lite.general_similarity([(hash_, F.lit(0.0), 10.0), (bb, F.lit(0.5), 2.0), (edge, F.lit(1.0), 1.0)])[1]) == bb
+    parts = [(hash_, F.lit(0.0), 10.0), (bb, F.lit(1.0), 2.0), (flow, F.lit(0.5), 4.0), (flow, F.lit(0.5), 4.0)]
+    assert one(spark, lite.general_similarity(parts)[1]) == flow
     i = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<int>")
     assert one(spark, lite.prime_similarity(i(), i())) == 1.0
     assert one(spark, lite.prime_similarity(i(2), i())) == 0.0

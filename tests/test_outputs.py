@@ -52,10 +52,17 @@ def test_json_and_html(view, tmp_path):
     assert "&lt;x&gt;" in page and 'class="high-confidence"' in page and 'class="medium-confidence"' in page
     exports.to_html(view, str(tmp_path / "b.html"), escape=False)
     assert "<x>" in (tmp_path / "b.html").read_text()
-    exports.pair_to_json(view, str(tmp_path / "p.json"), 0x1000, 0x2000, "mov", "add")
-    assert json.loads((tmp_path / "p.json").read_text())["match_info"]["match_type"] == "Exact"
-    exports.pair_to_json(view, str(tmp_path / "p.json"), 1, 2)
-    assert json.loads((tmp_path / "p.json").read_text())["match_info"] == {}
+    side = lambda s: view.select(F.col(f"name_{s}").alias("name"), F.col(f"address_{s}").alias("address"), F.col(f"size_{s}").alias("size"), F.col(f"bb_{s}").alias("n_bb"), F.col(f"instr_{s}").alias("n_instr"), F.lit("mov").alias("code"))
+    exports.pair_to_json(str(tmp_path / "p.json"), view, side("a"), side("b"), 0x1000, 0x2000)
+    doc = json.loads((tmp_path / "p.json").read_text())
+    assert doc["match_info"]["match_type"] == "Exact" and doc["function_a"] == {"name": "main", "address": "0x1000", "size": 200, "basic_blocks_count": 1, "instructions_count": 3, "code": "mov"}
+    exports.pair_to_json(str(tmp_path / "p.json"), view, side("a"), side("b"), 0x1000, 2)
+    doc = json.loads((tmp_path / "p.json").read_text())
+    assert "match_info" not in doc and doc["function_a"]["instructions_count"] == 3 and doc["function_b"]["basic_blocks_count"] == 0
+    exports.to_json(view.limit(0), str(tmp_path / "e.json"))
+    assert json.loads((tmp_path / "e.json").read_text())["results"] == []
+    exports.write_lines(exports.csv_lines(view), str(tmp_path / "lines"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "lines").glob("part-*"))).startswith("main,0x0000000000001000,")
 
 
 def test_filters_and_sorts(view):
@@ -79,17 +86,23 @@ def test_reports_and_document(spark, tmp_path):
     assert "\x1b[36m" in reports.text_report(v, d.unmatched_a, d.unmatched_b, matching.summary(d).first(), colour=True)
     assert reports.summary_table(v).count("\n") == 12 and "1. " in reports.log_listing(v)
     assert reports.progress_bar(1, 4, 8) == "[██░░░░░░] 1/4 (25.0%)" and reports.progress_bar(1, 0, 8) == ""
-    doc = document.to_document(d, program, program.where("idx < 6"), "a", "b")
+    document.save_document(d, program, program.where("idx < 6"), "a", "b", str(tmp_path / "d.json"))
+    doc = exports.load_diff(str(tmp_path / "d.json"))
     assert (len(doc["functions_a"]), len(doc["functions_b"]), doc["metadata"]["total_matches"]) == (8, 6, 6)
-    exports.save_diff(doc, str(tmp_path / "d.json"))
-    back = document.matches_of(spark, exports.load_diff(str(tmp_path / "d.json")))
+    assert [f["name"] for f in doc["functions_a"]][-2:] == ["cleanup_function", "process_data"] and doc["functions_a"][0]["instructions"][0]["mnemonic"] == "push"
+    back = document.matches_of(spark, doc)
     assert [r.function_a["name"] for r in back.orderBy("seq").collect()] == ["main", "printf", "malloc", "strcmp", "memcpy", "init_function"]
-    result = document.result_document(d, program, program.where("idx < 6"), "a", "b")
-    assert len(result["unmatched_functions_a"]) == 2 and result["similarity_score"] == document.similarity_score(d) == 1.0
+    document.save_result(d, program, program.where("idx < 6"), "a", "b", str(tmp_path / "r.json"))
+    result = json.loads((tmp_path / "r.json").read_text())
+    assert len(result["matched_functions"]) == 6 and len(result["unmatched_functions_a"]) == 2 and result["similarity_score"] == document.similarity_score(d) == 1.0
     assert (document.match_count(d), document.match_count(None), document.similarity_score(None)) == (6, 0, 0.0)
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(ValueError):
         exports.load_diff(str(tmp_path / "bad.json"))
+    del doc["metadata"]["plugin_version"]
+    (tmp_path / "bad.json").write_text(json.dumps(doc))
+    with pytest.raises(ValueError, match="plugin_version"):
+        exports.load_diff(str(tmp_path / "bad.json"))
 
 
 def test_text_diffs(spark):
@@ -117,9 +130,15 @@ def test_defaults_and_stream(spark, tmp_path):
 
 
 def test_cells_and_first_row(view):
-    cells = list(results.table_cells(view.orderBy("seq").collect(), results.MODEL_COLUMNS))
+    cells = [tuple(r)[1:] for r in results.table_cells(view, results.MODEL_COLUMNS).orderBy("seq").collect()]
     assert cells[0][:7] == ("main", "0x1000", "=cmd", "0x2000", "0.6234", "0.9800", "Exact")
     assert [r.name_a for r in results.first_row(view).collect()] == ["main"]
+    table = results.SortedTable()
+    names = lambda: [r.name_a for r in table.rows(view).collect()]
+    assert names() == ["main", "it's,\"<x>"] and table.click(7) and names() == ["it's,\"<x>", "main"]
+    assert table.click(7).done == [(7, True)] and names() == ["main", "it's,\"<x>"]
+    assert table.click(9).done == [(9, False), (7, True)] and table.click(7).done == [(7, False), (9, False)]
+    assert table.reset().done == []
     assert [r.name_a for r in results.sort_results(view, 0, order=results.MODEL_COLUMNS, fold_case=False).collect()][0] == "it's,\"<x>"
 
 
