@@ -4,11 +4,15 @@ Features: hashed character bi- and trigrams of the lower-cased text (everything
 shares of the text's grams. Each decision is one weight vector, so a text's margin is the sum of the weights of its
 grams: one gather per gram for all decisions at once.
 
-The classifier is fitted on a bounded sample: about SAMPLE_PER_LANG documents of each of the 64 most frequent
-languages, chosen by a hash of the id over the whole training part. Every text is scored whole.
+The classifier is fitted on a bounded sample: about SAMPLE_PER_LANG documents of each language, fewer where there are
+so many languages that it would be over SAMPLE_ALL in all, chosen by a hash of the id over the whole training part
+(among texts of up to SAMPLE_CHARS characters, where a language has any). Every language that a labelled row names is
+learned. Every text is scored whole.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled rows every text is `und`;
-with one language that language is predicted with score 1; rows repeat as in the input; further columns pass through.
+with one language that language is predicted with score 1; a language none of whose texts has a letter is not learned;
+repeated rows are predicted each; very long texts are read whole; an empty table stays empty; further columns pass
+through, but one named as an output is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from .common import bound_batches, text_slices
 BUCKETS = 1 << 15
 #: Documents of each language that the classifier may learn from (a documented bound).
 SAMPLE_PER_LANG = 500
+#: Documents of all languages together, and the longest text taken where a language has shorter ones.
+SAMPLE_ALL, SAMPLE_CHARS = 64_000, 50_000
 #: Languages that share a branch of the hierarchy (fixed values); any other language is a family of its own.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -46,14 +52,15 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))
     starts = ends - np.fromiter(map(len, low), np.int64, len(low))
     letter = _letters()[c]
-    x = np.where(letter, c, 32).astype(np.uint32)
+    # Two blanks stand before every text, the first of a slice as well, so a text's grams are its own.
+    x = np.append(np.uint32([32, 32]), np.where(letter, c, 32).astype(np.uint32))
     has = np.logical_or.reduceat(letter, starts) if len(starts) else np.zeros(0, bool)
     two = x * np.uint32(0x9E3779B1)
     two[1:] += x[:-1] * np.uint32(0x85EBCA6B)
     three = two.copy()
     three[2:] += x[:-2] * np.uint32(0xC2B2AE35) + np.uint32(0x27D4EB2F)
     out = np.empty(2 * len(c), np.uint16)
-    for k, h in enumerate((two, three)):
+    for k, h in enumerate((two[2:], three[2:])):
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         out[k::2] = h >> np.uint32(17)
@@ -98,13 +105,17 @@ def _slope(m: np.ndarray, y: np.ndarray) -> float:
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, families: dict[str, str] = FAMILIES) -> dict:
     """The model: languages, families, decisions (positive side, negative side), weights and slopes."""
     bound_batches(train.sparkSession)
-    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()}
+    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    fits = F.char_length(text_col) <= SAMPLE_CHARS
+    counts = {r[0]: (r[1], r[2]) for r in known.groupBy(lang_col).agg(F.count("*"), F.count_if(fits)).collect()}
     if not counts:
         return {"langs": []}
+    per_lang = min(per_lang, max(20, SAMPLE_ALL // len(counts)))
     u = (F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).cast("double") / 2.0**64) + 0.5
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()], F.lit(0.0))
-    picked = known.where(u < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # Small languages are taken whole, so none is left out by chance.
+    rates = train.sparkSession.createDataFrame([(k, bool(short), 1.0 if (short or n) <= 4 * per_lang / 3 else per_lang / (short or n)) for k, (n, short) in sorted(counts.items())], "__l string, __short boolean, __rate double")
+    rated = known.join(F.broadcast(rates), F.col(lang_col) == F.col("__l"))
+    picked = rated.where((u < F.col("__rate")) & (fits | ~F.col("__short"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     got = picked.mapInArrow(_sparse, "lang string, f array<int>, v array<float>").toArrow()
     lang = got["lang"].to_pylist()
     df = np.bincount(np.concatenate([np.asarray(x.values) for x in got["f"]]) if len(lang) else np.zeros(0, int), minlength=BUCKETS)
