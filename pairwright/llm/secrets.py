@@ -1,15 +1,17 @@
 """Secret scanning: patterns, and a character convolutional network over every candidate and its context.
 
-Base findings are pattern matches and always stay. The network reads every other candidate (a run of 16 or more of
-`[A-Za-z0-9+/_.=-]` with a letter and a digit, outside base findings) with 24 characters of context on either side;
-longer candidates are read in overlapping pieces, whole. It is trained here, in numpy, on labelled findings that a
-seeded generator writes; its scores are calibrated (Platt) on held-out findings, and the threshold of each length
-band is the highest that still keeps RECALL of the held-out secrets.
+Base findings are pattern matches and always stay. The network reads every other candidate with 24 characters of
+context on either side. Candidates are runs of `[A-Za-z0-9+/_.=-]` that are not wholly inside a base finding: from 12
+characters on with a letter and a digit, from 16 on with a capital behind a small letter or digit, from 24 on whatever
+they hold; so a key of which a pattern sees only a part is read whole. Longer candidates are read in overlapping
+pieces, whole. The network is trained here, in numpy, on labelled findings that a seeded generator writes; its scores
+are calibrated (Platt) on held-out findings, and the threshold of each length band is the highest that still keeps
+RECALL of the held-out secrets, whatever that is.
 
 Spans are (kind, start, end, score) in code points, end exclusive, ordered by start, then kind as in KINDS.
 
-Defined cases: a null or empty text has no spans; repeated rows are scanned each; further columns pass through; texts
-are read whole, whatever their length.
+Defined cases: a null or empty text has no spans; repeated rows are scanned each; further columns pass through, but one
+named as the output is replaced; texts are read whole, whatever their length; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ HINTS = (b"passw", b"secret", b"token", b"api")
 
 RECALL = 0.98
 CONTEXT, PIECE, WIDTH, FILTERS = 24, 64, 5, 24
+#: Least lengths of candidates: with letter and digit, with inner capitals, any.
+MIXED, CAMEL, ANY = 12, 16, 24
 LENGTH = CONTEXT + PIECE + CONTEXT
 #: Character ids: 0 padding, 1 any other, 2.. printable ASCII; the same again for characters inside the candidate.
 _IDS = np.ones(256, np.int64)
@@ -43,6 +47,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
 _HEX = np.zeros(256, bool)
 _HEX[48:58] = _HEX[97:103] = True
 
@@ -50,6 +56,13 @@ _HEX[48:58] = _HEX[97:103] = True
 # ---------------------------------------------------------------- labelled findings
 
 
+def _candidate(s: str) -> bool:
+    """Whether a run is read at all; `scan_texts` says the same of many runs at once."""
+    letter, digit = any(c.isalpha() for c in s), any(c.isdigit() for c in s)
+    camel = any(b.isupper() and (a.islower() or a.isdigit()) for a, b in zip(s, s[1:]))
+    return len(s) >= ANY or len(s) >= MIXED and letter and digit or len(s) >= CAMEL and camel
+
+
 def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     """(left context, candidate, right context, label): secrets of usual forms, and strings that only look alike."""
     r = np.random.default_rng(seed)
@@ -64,8 +77,9 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     b64, url = low + up + dig + "+/", low + up + dig + "-_"
 
     def secret() -> str:
-        k = int(r.integers(0, 8))
+        k = int(r.integers(0, 14))
         size = int(r.integers(20, 64))
+        hexa = "0123456789abcdef"
         return [
             lambda: rand("0123456789ABCDEF", int(r.choice([32, 40, 64]))),
             lambda: rand(b64, size) + "=" * int(r.integers(0, 3)),
@@ -75,10 +89,16 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
             lambda: f"{rand(url, 24)}.{rand(url, 30)}.{rand(url, 30)}",
             lambda: rand(low + dig, size),
             lambda: rand(up + dig, int(r.integers(16, 33))),
+            lambda: f"xox{rand('abp', 1)}-{rand(dig, 11)}-{rand(dig, 12)}-{rand(low + up + dig, 24)}",
+            lambda: str(r.choice(["github_pat_", "glpat-", "AIza", "SG.", "hf_", "npm_", "pk_live_", "sk_test_"])) + rand(low + up + dig + "_", int(r.integers(20, 45))),
+            lambda: f"eyJ{rand(url, 24)}.eyJ{rand(url, 40)}.{rand(url, 43)}",
+            lambda: rand(hexa, int(r.integers(24, 41))) + rand(b64, int(r.integers(8, 24))),
+            lambda: rand(low + up + dig, int(r.integers(14, 20))),
+            lambda: rand(low + up, size),
         ][k]()
 
     def plain() -> str:
-        k = int(r.integers(0, 12))
+        k = int(r.integers(0, 26))
         num = lambda a, b: str(r.integers(a, b))
         return [
             lambda: f"{word()}{num(0, 99)}.{word()}.example.com",
@@ -93,6 +113,20 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
             lambda: f"{rand(low, int(r.integers(6, 12)))}.{num(10, 99)}.{word()}-{word()}{num(0, 9)}",
             lambda: "-".join(word() + num(0, 9) for _ in range(5)),
             lambda: num(10**9, 10**10) + "." + word() + "." + word() + word() + word(),
+            lambda: f"{str(r.choice(['IMG', 'VID', 'DSC', 'PXL', 'Screenshot', 'scan']))}_20{num(10, 30)}{num(10, 12)}{num(10, 28)}_{num(10**5, 10**9)}{str(r.choice(['', '_HDR', '_BURST', '-edited']))}.{str(r.choice(['jpg', 'png', 'mp4', 'pdf']))}",
+            lambda: f"v={rand(url, 11)}",
+            lambda: f"//www.{word()}.com/watch" if r.random() < 0.5 else f"//{word()}.{word()}.com/{word()}/{num(10**5, 10**9)}",
+            lambda: f"10.{num(1000, 9999)}/{word()}.{num(1990, 2030)}.{num(10**4, 10**6)}",
+            lambda: f"{num(1, 20)}.{num(0, 20)}.{num(0, 99)}-{str(r.choice(['alpha', 'beta', 'rc', 'SNAPSHOT', 'release']))}.{num(0, 20)}",
+            lambda: "".join(word().capitalize() for _ in range(int(r.integers(3, 6)))),
+            lambda: word() + "".join(word().capitalize() for _ in range(int(r.integers(2, 5)))) + str(r.choice(["", "2", "V3", "Test1"])),
+            lambda: "_".join(word().upper() for _ in range(int(r.integers(3, 6)))) + str(r.choice(["", "_1", "_V2"])),
+            lambda: str(r.choice(["-", "=", ".", "_", "=-", "._"])) * int(r.integers(24, 60)),
+            lambda: num(10**11, 10**12) + num(10**11, 10**12) + num(1, 10**6),
+            lambda: f"{word()}-{word()}-{word()}-{word()}-{word()}-{num(1, 20000)}",
+            lambda: f"ISBN-13/{num(970, 980)}-{num(1, 9)}-{num(100, 999)}-{num(10**4, 10**5)}-{num(1, 9)}",
+            lambda: f"{word()}/{word()}-{num(1, 99)}.{num(1, 9)}.{num(1, 9)}.tar.gz",
+            lambda: f"{word()}{num(1, 99)}={word()}{num(1, 99)}.{word()}",
         ][k]()
 
     out = []
@@ -100,7 +134,8 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     for i in range(n):
         y = int(i % 2 == 0)
         s = secret() if y else plain()
-        s = s if len(s) >= 16 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) else s + rand(dig, 1) + rand(low, 16)
+        if not _candidate(s):
+            s += f"{word()}{rand(dig, 1)}{word()}{word()}" if not y else rand(low + up + dig, 12)
         left = words(4) + " "
         if r.random() < (0.4 if y else 0.1):
             left = words(2) + " " + str(r.choice(keys)) + str(r.choice([": ", "=", " is ", ' = "']))
@@ -194,7 +229,7 @@ def train(n: int = 3000, epochs: int = 6, seed: int = 11) -> dict:
     long = np.array([len(d[1]) >= 32 for d in held])
     for band in (~long, long):
         pos = np.sort(calibrated(m, logit[band & (label == 1)]))
-        m["bands"].append(float(max(0.5, pos[int((1 - RECALL) * len(pos))])) if len(pos) else 0.5)
+        m["bands"].append(float(pos[int((1 - RECALL) * len(pos))]) if len(pos) else 0.5)
     return m
 
 
@@ -233,11 +268,16 @@ def scan_texts(model: dict, arr: pa.Array) -> list[list[tuple[str, int, int, flo
     if not len(data):
         return out
     raw = data.tobytes()
-    run_a, run_b = _runs(_RUN[data], off, 16)
+    run_a, run_b = _runs(_RUN[data], off, MIXED)
     if len(run_a):
-        digits = np.add.reduceat(np.append(_DIGIT[data], False).astype(np.int64), np.stack([run_a, run_b], 1).ravel())[::2]
-        alphas = np.add.reduceat(np.append(_ALPHA[data], False).astype(np.int64), np.stack([run_a, run_b], 1).ravel())[::2]
-        keep = (digits > 0) & (alphas > 0)
+        edges = np.stack([run_a, run_b], 1).ravel()
+        among = lambda flag: np.add.reduceat(np.append(flag, False).astype(np.int64), edges)[::2] > 0
+        upper = _UPPER[data]
+        camel = np.zeros(len(data), bool)
+        camel[1:] = upper[1:] & (_ALPHA | _DIGIT)[data[:-1]] & ~upper[:-1]
+        camel[run_a] = False
+        n = run_b - run_a
+        keep = (n >= ANY) | among(_DIGIT[data]) & among(_ALPHA[data]) | (n >= CAMEL) & among(camel)
         run_a, run_b = run_a[keep], run_b[keep]
     hex_a, hex_b = _runs(_HEX[data], off, 24)
     run_row, hex_row = np.searchsorted(off, run_a, "right") - 1, np.searchsorted(off, hex_a, "right") - 1
@@ -263,7 +303,7 @@ def scan_texts(model: dict, arr: pa.Array) -> list[list[tuple[str, int, int, flo
         lo, hi = np.searchsorted(run_row, [row, row + 1])
         for a, b in zip(run_a[lo:hi].tolist(), run_b[lo:hi].tolist()):
             a, b = int(points[a - o]), int(points[b - o])
-            if not any(x < b and a < y for _, x, y in found):
+            if not any(x <= a and b <= y for _, x, y in found):
                 items.append((text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]))
                 places.append((row, a, b))
     if items:
