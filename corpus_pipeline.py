@@ -1,12 +1,15 @@
 """Corpus preparation in five stages; each takes and (but for the last) returns the columns of `documents`.
 
-1. language_id: documents without a recognisable language go (no letter at all, or a decision without support).
+1. language_id: documents to which the operator can give no language go: those that are null or have no letter. How
+   sure a decision is does not matter: it falls with the number of languages, and short clean texts would go with it.
 2. near_duplicates: one document of each group of linked documents stays, the one with the least id.
 3. decontamination: documents that hold a passage of `benchmark` go.
 4. secret_scan: secrets are replaced by a mark in place; every document stays.
 5. sentencepiece: texts become piece ids, which decode to the text.
 
-A stage sees all that the one before kept. Null texts end at stage 1; extra columns pass through all but the last.
+A stage sees all that the one before kept. Null texts end at stage 1; repeated rows are duplicates; texts are read
+whole at every length; an empty table stays empty. Extra columns pass through all but the last, under any name that
+does not begin with two underscores, as the stages' own columns do.
 """
 
 from __future__ import annotations
@@ -18,15 +21,12 @@ from pairwright.llm import decontaminate, jaccard, langid, pieces, secrets
 from pairwright.llm.common import fold_of, stored, table, tokenizer_path
 from pairwright.llm.queries import PIECE_MODEL
 
-#: Below this score no language has the text's support.
-MIN_SCORE = 0.35
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from labelled documents outside the held-out fold; keeps what it can name."""
     model = langid.fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
     named = langid.identify(docs, model, lang_out="__lang", score_out="__score")
-    return named.where((F.col("__lang") != langid.UND) & (F.col("__score") >= MIN_SCORE)).drop("__lang", "__score")
+    return named.where(F.col("__lang") != langid.UND).drop("__lang", "__score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
