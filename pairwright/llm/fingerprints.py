@@ -4,13 +4,19 @@ A text's paragraphs are its lines, long ones cut every PIECE_WORDS words; each i
 space ignored), with its occurrence number, so repeated paragraphs count. A sketch has cells (count, xor of keys, xor
 of key checks); every key sits in three cells. Two sketches subtract cell by cell and what is left peels: a cell that
 holds one key gives it away, it is removed from its other cells, and so on, until the differing digests are known.
-If peeling gets stuck, both texts are sketched again with four times the cells, up to a size where the difference
-itself is taken. Likeness = (a + b - d) / (a + b + d) for a and b paragraphs of which d differ: their Jaccard index.
+
+A fingerprint is a sketch of 3 x 2^k cells, about 1.5 a paragraph: the least of these sizes at which it peels by
+itself, so it gives all of its digests back. Cells are the leading bits of hashes, so a sketch folds to half its size
+by adding neighbours. Two fingerprints are compared at the least size first; if peeling gets stuck, again four times
+larger, as far as both go; beyond that by the digests that each of them gives back. So the likeness of two
+fingerprints is a function of the two strings (`compare`), and exact: (a + b - d) / (a + b + d) for a and b
+paragraphs of which d differ, their Jaccard index.
 
 Defined cases: a null text counts as empty; two texts without paragraphs are alike (1); equal texts have equal
 fingerprints; null or repeated document ids are ordered by (id, text), nulls first, and each row has its own
-successor; the last document's successor is the first; a single document follows itself; an empty table gives no
-rows; further columns are dropped by `successors` unless asked for.
+successor; the last document's successor is the first; a single document follows itself; texts of any length are
+sketched whole, the fingerprint grows with them; an empty table gives no rows; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, mix, range_numbers, text_buffer, text_slices, word_hashes
 
-PIECE_WORDS = 8
-#: Cells of a fingerprint, a multiple of three; a retry has four times as many.
+PIECE_WORDS = 16
+#: Cells of the least sketch, three times a power of two; a retry has four times as many.
 CELLS = 12
 GROW = 4
 #: Cells that are peeled at once: what a worker holds for it stays below some 30 MB.
@@ -63,8 +69,9 @@ def paragraph_keys(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(keys: np.ndarray, m: int) -> np.ndarray:
-    third = np.uint64(m // 3)
-    return np.stack([(mix(keys ^ s ^ np.uint64(m)) % third).astype(np.int64) + j * (m // 3) for j, s in enumerate(_SALTS)])
+    third = m // 3
+    shift = np.uint64(65 - third.bit_length())
+    return np.stack([(mix(keys ^ s) >> shift).astype(np.int64) + j * third for j, s in enumerate(_SALTS)])
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
@@ -125,24 +132,83 @@ def _take(keys: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarra
     return keys[idx], np.concatenate([[0], ends]).astype(np.int64)
 
 
-def differing(a, a_at, b, b_at) -> np.ndarray:
-    """How many digests differ, row by row, by sketches of growing size."""
-    na, nb = np.diff(a_at), np.diff(b_at)
-    out = np.full(len(na), -1, np.int64)
-    todo, m = np.arange(len(na)), CELLS
+def fold_to(sk, m: int):
+    """Sketches (rows, cells) at a smaller size."""
+    count, ksum, csum = sk
+    rows, size = count.shape
+    if size == m:
+        return sk
+    by = (rows, m, size // m)
+    return count.reshape(by).sum(2, dtype=np.int32), np.bitwise_xor.reduce(ksum.reshape(by), 2), np.bitwise_xor.reduce(csum.reshape(by), 2)
+
+
+class Prints:
+    """The fingerprints of some texts: sketches by size, and the digests that they give back."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray):
+        self.keys, self.at, self.n = keys, at, np.diff(at)
+        want = np.maximum(-(-3 * self.n // (2 * CELLS)), 1)
+        self.size = CELLS << np.ceil(np.log2(want)).astype(np.int64)
+        self.by: dict[int, tuple[np.ndarray, tuple]] = {}
+        self.place = np.zeros(len(self.n), np.int64)
+        todo = np.arange(len(self.n))
+        while len(todo):
+            m = int(self.size[todo].min())
+            rows = todo[self.size[todo] == m]
+            step, parts, stuck = max(1, PEEL_CELLS // m), [], []
+            for s in range(0, len(rows), step):
+                part = rows[s : s + step]
+                sk = sketch(*_take(keys, at, part), m)
+                done = peel(sk)[0]
+                parts.append(tuple(x[done] for x in sk))
+                stuck.append(part[~done])
+            stuck = np.concatenate(stuck)
+            kept = np.setdiff1d(rows, stuck)
+            self.place[kept] = np.arange(len(kept))
+            self.by[m] = (kept, tuple(np.concatenate(c) for c in zip(*parts)))
+            self.size[stuck] = 2 * m  # it does not peel by itself: twice as large
+            todo = np.setdiff1d(todo, kept)
+
+    def at_size(self, rows: np.ndarray, m: int):
+        """Sketches of some rows, folded to m cells."""
+        out = [np.zeros((len(rows), m), t) for t in (np.int32, np.uint64, np.uint32)]
+        for size in np.unique(self.size[rows]).tolist():
+            i = np.flatnonzero(self.size[rows] == size)
+            for o, x in zip(out, fold_to(tuple(c[self.place[rows[i]]] for c in self.by[size][1]), m)):
+                o[i] = x
+        return tuple(out)
+
+    def written(self, row: int) -> str:
+        """A fingerprint as text: the power of its size, bytes of a count, and its cells, base64."""
+        count, ksum, csum = (c[self.place[row]] for c in self.by[int(self.size[row])][1])
+        width = next(w for w in (1, 2, 4) if int(count.max()) < 1 << 8 * w)
+        head = bytes([(int(self.size[row]) // CELLS).bit_length() - 1, width])
+        return base64.b64encode(head + count.astype(f"<u{width}").tobytes() + ksum.astype("<u8").tobytes() + csum.astype("<u4").tobytes()).decode()
+
+
+def differing(a: Prints, rows_a: np.ndarray, b: Prints, rows_b: np.ndarray) -> np.ndarray:
+    """How many digests differ, pair by pair of fingerprints: by sketches of growing size, then by what they give back."""
+    out = np.full(len(rows_a), -1, np.int64)
+    both = np.minimum(a.size[rows_a], b.size[rows_b])
+    apart = np.abs(a.n[rows_a] - b.n[rows_b])
+    todo, m = np.arange(len(rows_a)), CELLS
     while len(todo):
-        # A sketch of m cells can't hold more than m differences: those rows go on to a larger one at once.
-        fits = np.abs(na[todo] - nb[todo]) <= m
-        rows, later = todo[fits], todo[~fits]
-        if m > 4 * max(1, int((na[todo] + nb[todo]).max())):
-            for i in todo:
-                out[i] = len(np.setxor1d(a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]))
-            break
+        last = both[todo] < m
+        rest, todo = todo[last], todo[~last]
+        if len(rest):
+            (x, x_at), (y, y_at) = _take(a.keys, a.at, rows_a[rest]), _take(b.keys, b.at, rows_b[rest])
+            row = np.concatenate([np.repeat(np.arange(len(rest)), np.diff(t)) for t in (x_at, y_at)])
+            key = np.concatenate([x, y])
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            same = np.bincount(row[1:][(key[1:] == key[:-1]) & (row[1:] == row[:-1])], minlength=len(rest))
+            out[rest] = a.n[rows_a[rest]] + b.n[rows_b[rest]] - 2 * same
+        fits = apart[todo] <= m  # a sketch of m cells can't give back more than m digests
+        rows, failed = todo[fits], [todo[~fits]]
         step = max(1, PEEL_CELLS // m)
-        failed = [later]
         for s in range(0, len(rows), step):
             part = rows[s : s + step]
-            done, r, _, _ = peel(subtract(sketch(*_take(a, a_at, part), m), sketch(*_take(b, b_at, part), m)))
+            done, r, _, _ = peel(subtract(a.at_size(rows_a[part], m), b.at_size(rows_b[part], m)))
             out[part[done]] = np.bincount(r, minlength=len(part))[done]
             failed.append(part[~done])
         todo, m = np.sort(np.concatenate(failed)), m * GROW
@@ -154,15 +220,27 @@ def likeness(n_a, n_b, d) -> np.ndarray:
     return np.where(both == 0, 1.0, (both - d) / np.maximum(both + d, 1))
 
 
-def written(sk, i: int) -> str:
-    """A fingerprint as text: its cells, base64."""
-    return base64.b64encode(sk[0][i].astype("<i4").tobytes() + sk[1][i].astype("<u8").tobytes() + sk[2][i].astype("<u4").tobytes()).decode()
-
-
 def read(fingerprint: str):
+    """The sketch of a fingerprint: (counts, key xors, check xors), one row each."""
     raw = base64.b64decode(fingerprint)
-    m = len(raw) // 16
-    return np.frombuffer(raw, "<i4", m)[None], np.frombuffer(raw, "<u8", m, 4 * m)[None], np.frombuffer(raw, "<u4", m, 12 * m)[None]
+    m, width = CELLS << raw[0], raw[1]
+    return np.frombuffer(raw, f"<u{width}", m, 2)[None].astype(np.int32), np.frombuffer(raw, "<u8", m, 2 + width * m)[None], np.frombuffer(raw, "<u4", m, 2 + (width + 8) * m)[None]
+
+
+def digests(fingerprint: str) -> np.ndarray:
+    """All paragraph digests, given back by peeling."""
+    done, _, keys, _ = peel(read(fingerprint))
+    if not done[0]:
+        raise ValueError("a fingerprint that does not peel is damaged")
+    return np.sort(keys)
+
+
+def compare(a: str, b: str) -> float:
+    """The likeness of two fingerprints, from the two strings alone."""
+    x, y = digests(a), digests(b)
+    at = lambda k: np.array([0, len(k)])
+    p, q = Prints(x, at(x)), Prints(y, at(y))
+    return float(likeness(len(x), len(y), differing(p, np.zeros(1, np.int64), q, np.zeros(1, np.int64))[0]))
 
 
 # ---------------------------------------------------------------- neighbours
@@ -224,21 +302,19 @@ def _handle(batches):
     for ids, texts in _pairs(batches):
         n = len(ids)
         new = [edited(texts[i], texts[i + 1]) for i in range(n)]
-        a, a_at = paragraph_keys(pa.array(texts, pa.large_string()))
-        e, e_at = paragraph_keys(pa.array(new, pa.large_string()))
-        mine, own = _take(a, a_at, np.arange(n))
-        nxt, n_at = _take(a, a_at, np.arange(1, n + 1))
-        sk, se = sketch(mine, own, CELLS), sketch(e, e_at, CELLS)
-        na, ne, nn = np.diff(own), np.diff(e_at), np.diff(n_at)
+        own = Prints(*paragraph_keys(pa.array(texts, pa.large_string())))
+        other = Prints(*paragraph_keys(pa.array(new, pa.large_string())))
+        i = np.arange(n)
+        near = lambda p, rows: likeness(own.n[:n], p.n[rows], differing(own, i, p, rows))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
                 pa.array([len(t) for t in texts[:n]], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]),
-                pa.array([written(sk, i) for i in range(n)]),
-                pa.array([written(se, i) for i in range(n)]),
-                pa.array(likeness(na, ne, differing(mine, own, e, e_at))),
-                pa.array(likeness(na, nn, differing(mine, own, nxt, n_at))),
+                pa.array([own.written(k) for k in range(n)]),
+                pa.array([other.written(k) for k in range(n)]),
+                pa.array(near(other, i)),
+                pa.array(near(own, i + 1)),
             ],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )

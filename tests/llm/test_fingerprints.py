@@ -16,6 +16,11 @@ def keys(text):
     return k[at[0] : at[1]]
 
 
+def apart(x, y):
+    one = lambda k: fp.Prints(k, np.array([0, len(k)]))
+    return fp.differing(one(x), np.zeros(1, int), one(y), np.zeros(1, int))[0]
+
+
 def test_peeling_recovers_the_differing_digests():
     rng = random.Random(1)
     paragraphs = [tables.prose(rng, 9) for _ in range(300)]
@@ -24,7 +29,7 @@ def test_peeling_recovers_the_differing_digests():
         b = [tables.prose(rng, 9) if rng.random() < swaps / max(1, size) else p for p in a]
         x, y = keys("\n".join(a)), keys("\n".join(b))
         at = lambda k: np.array([0, len(k)])
-        assert fp.differing(x, at(x), y, at(y))[0] == len(set(x.tolist()) ^ set(y.tolist()))
+        assert apart(x, y) == len(set(x.tolist()) ^ set(y.tolist()))
         done, _, found, sign = fp.peel(fp.subtract(fp.sketch(x, at(x), 3072), fp.sketch(y, at(y), 3072)))
         assert done[0] and set(found.tolist()) == set(x.tolist()) ^ set(y.tolist())
         assert {k for k, s in zip(found.tolist(), sign.tolist()) if s == 1} == set(x.tolist()) - set(y.tolist())
@@ -37,7 +42,7 @@ def test_differences_of_multisets(a, b):
 
     x, y = keys("\n".join(a)), keys("\n".join(b))
     p, q = Counter(a), Counter(b)
-    assert fp.differing(x, np.array([0, len(x)]), y, np.array([0, len(y)]))[0] == sum(((p - q) + (q - p)).values())
+    assert apart(x, y) == sum(((p - q) + (q - p)).values())
 
 
 def test_small_sketch_fails_and_says_so():
@@ -48,9 +53,21 @@ def test_small_sketch_fails_and_says_so():
 
 def test_repeats_count_and_text_form_reads_back():
     assert len(set(keys("same line\nsame line\nother").tolist())) == 3
-    x = keys("a\nb")
-    sk = fp.sketch(x, np.array([0, 2]), fp.CELLS)
-    assert all((p == q).all() for p, q in zip(fp.read(fp.written(sk, 0)), sk))
+
+
+def test_fingerprints_give_their_digests_back_and_fold():
+    rng = random.Random(8)
+    texts = ["\n".join(tables.prose(rng, 5) for _ in range(n)) for n in (0, 1, 2, 7, 30, 300, 4000)]
+    p = fp.Prints(*fp.paragraph_keys(pa.array(texts)))
+    for k, t in enumerate(texts):
+        assert fp.digests(p.written(k)).tolist() == sorted(keys(t).tolist())
+        size = int(p.size[k])
+        assert size <= max(fp.CELLS, 8 * len(keys(t)))
+        for m in (fp.CELLS, 2 * fp.CELLS, size):
+            if m <= size:
+                folded = fp.fold_to(fp.read(p.written(k)), m)
+                want = fp.sketch(keys(t), np.array([0, len(keys(t))]), m)
+                assert all((x == y).all() for x, y in zip(folded, want))
 
 
 def expected(rows):
@@ -80,6 +97,10 @@ def test_edits_and_neighbours_equal_brute_force(spark):
     for r in got:
         by_text.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in by_text.values())
+    own = {r.doc_id: r for r in got}
+    for i, r in own.items():  # both likenesses again, from the returned strings alone
+        following = own[(i + 1) % 101]
+        assert fp.compare(r.fingerprint, r.edited_fingerprint) == r.near_edited and fp.compare(r.fingerprint, following.fingerprint) == r.near_next
 
 
 def test_edges(spark):
