@@ -1,20 +1,24 @@
 """SentencePiece encoding and decoding by max-plus scans.
 
 A text is the dummy prefix and the text with spaces as U+2581; its best segmentation is the path of highest score
-through the lattice of vocabulary pieces. No piece holds a line feed, and U+2581 only begins pieces, so the lattice
-falls apart into units at those places; equal units are solved once. A unit longer than CHUNK code points is cut into
-chunks. A chunk's boundary state is how far the last piece of the chunk before reaches into it (0 to LONGEST - 1), and
-its transfer matrix has, for each state on entry and on exit, the best score between them. Matrices combine by
-(max, +), which is associative; once the states at all boundaries are known, each chunk is traced back alone. All
-chunks, entry states and units run in lockstep as lanes of numpy arrays.
-
-Scores are whole numbers (fixed point), so sums are exact in any order. A model of kind BPE stores merge ranks, not
-log probabilities; there the score of a piece is the log of a Zipf share of its rank, and the segmentation is the
-best path under these scores, which need not be the one that greedy merging gives. Characters outside the
-vocabulary, and a literal U+2581, become byte pieces, so decoding gives back every text exactly.
+through the lattice of vocabulary pieces. No piece holds a line feed, and a piece holds U+2581 only in the run that it
+begins with, so the lattice falls apart into units at those places: a run of spaces and what follows it. Equal units
+are solved once. A unit longer than CHUNK code points is cut into chunks. A chunk's boundary state is how far the last
+piece of the chunk before reaches into it (0 to LONGEST - 1), and its transfer matrix has, for each state on entry and
+on exit, the best score between them. Matrices combine by (max, +), which is associative; once the states at all
+boundaries are known, each chunk is traced back alone. All chunks, entry states and units run in lockstep as lanes of
+numpy arrays. A model of which pieces cross spaces has lines as units.
+
+Scores are whole numbers (fixed point), so sums are exact in any order; of paths of equal score the one with the
+longest last piece is taken, place by place. A model of kind unigram has log probabilities. One of kind BPE stores
+merge ranks instead (a piece's place in the vocabulary); there the score of a piece is the log of a Zipf share of its
+rank, and ids are those that the library gives for a unigram model of these pieces and scores, not those of greedy
+merging. Nothing is trained. Characters outside the vocabulary cost UNKNOWN more than the rarest piece and become byte
+pieces, as in the library; so does a literal U+2581, which the library would take for a space. So decoding gives back
+every text exactly.
 
 Defined cases: null texts give null ids; the empty text has none; texts of any length are encoded whole; rows repeat
-as in the input; further columns pass through.
+as in the input; an empty table stays empty; further columns pass through, but one named as the output is replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from .common import IdTable, bound_batches, mix, run_hashes, text_buffer, text_s
 CHUNK = 64
 #: Solved units a worker keeps.
 CACHE = 1_000_000
-#: Fixed point of scores; a path without a piece.
-UNIT, NONE = 1 << 20, -(1 << 60)
+#: Fixed point of scores (sums of single precision are exact too); a path without a piece.
+UNIT, NONE = 1 << 8, -(1 << 60)
+#: Fixed value: what an unknown character costs beyond the rarest piece.
+UNKNOWN = 10.0
 #: A literal U+2581 in a text: a lone surrogate, which no text holds.
 LITERAL = "\udc81"
 #: A NUL in a text; code point 0 pads rows.
@@ -57,16 +63,18 @@ class Vocabulary:
                 self.text[i] = bytes([int(s[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.text[i] = s.replace(SPACE, " ").encode()
-                # Runs of spaces have no rank of their own and are single spaces here; a lone one ranks last.
-                score = sp.get_score(i) if sp.get_score(i) > -1e8 else -float(n) if len(s) == 1 else None
-                if score is not None and SPACE not in s[1:] and "\n" not in s:
-                    pieces.append((s, i, score))
+                if "\n" not in s:
+                    pieces.append((s, i, sp.get_score(i)))
         scores = np.array([p[2] for p in pieces])
-        ranked = len(scores) > 1 and bool((scores == np.round(scores)).all())
-        logs = -np.log(2.0 - (scores - scores.max())) if ranked else scores
+        real = scores[scores > -1e8]
+        ranked = len(real) > 1 and bool((real == np.round(real)).all())
+        # Ranks are places in the vocabulary, also of pieces that the model never merges (runs of spaces).
+        logs = -np.log(2.0 + np.array([p[1] for p in pieces]) - min(p[1] for p in pieces)) if ranked else scores
+        logs = np.round(logs * UNIT) / UNIT
+        self.crosses = any(SPACE in s.lstrip(SPACE) for s, _, _ in pieces)
         self.scores = np.full(n, NONE, np.int64)
         self.longest = max([len(p[0]) for p in pieces], default=1)
-        self.byte_score = int(round((logs.min(initial=-1.0) - 2.0) * UNIT))
+        self.unknown = int(round((logs.min(initial=0.0) - UNKNOWN) * UNIT))
         hashes = np.array([self._hash(p[0]) for p in pieces], np.uint64)
         assert len(np.unique(hashes)) == len(hashes)
         for (_, i, _), x in zip(pieces, logs):
@@ -119,33 +127,43 @@ def _lattice(v: Vocabulary, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scores = np.where(ids >= 0, v.scores[np.maximum(ids, 0)], NONE)
     # One code point that is no piece goes as bytes: id -2.
     alone = (ids[:, 1:, 1] < 0) & (c > 0)
-    width = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
-    width[c == NUL] = 1
     ids[:, 1:, 1][alone] = -2
-    scores[:, 1:, 1][alone] = (v.byte_score * width)[alone]
+    scores[:, 1:, 1][alone] = v.unknown
     return ids, scores
 
 
-def _viterbi(scores: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best score of a path from place `entry` to each place, and the length of its last piece (longest on ties)."""
+def _viterbi(scores: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best score of a path to each place, the length of its last piece, and the place that it set out from.
+
+    best: scores to set out with, NONE elsewhere; it is changed. On ties the longest last piece is taken, and before all
+    what was there at first: that is a piece from further back.
+    """
     lanes, n1, k1 = scores.shape
-    best, back = np.full((lanes, n1), NONE, np.int64), np.zeros((lanes, n1), np.int8)
-    best[np.arange(lanes), entry] = 0
+    back = np.zeros((lanes, n1), np.int8)
+    origin = np.broadcast_to(np.arange(n1, dtype=np.int32), (lanes, n1)).copy()
     for t in range(1, n1):
         k = min(k1 - 1, t)
         cand = best[:, t - k : t] + scores[:, t, k:0:-1]
         pick = cand.argmax(1)
         got = cand[np.arange(lanes), pick]
-        better = (got > best[:, t]) & (got > NONE // 2)
-        best[better, t], back[better, t] = got[better], (k - pick)[better]
-    return best, back
+        better = np.flatnonzero((got > best[:, t]) & (got > NONE // 2))
+        step = (k - pick)[better]
+        best[better, t], back[better, t], origin[better, t] = got[better], step, origin[better, t - step]
+    return best, back, origin
+
+
+def _from(lanes: int, n1: int, entry) -> np.ndarray:
+    """Scores to set out with, from one place in each lane."""
+    best = np.full((lanes, n1), NONE, np.int64)
+    best[np.arange(lanes), entry] = 0
+    return best
 
 
-def _emit(v: Vocabulary, codes: np.ndarray, ids: np.ndarray, back: np.ndarray, start: int, end: int) -> list[int]:
+def _emit(v: Vocabulary, codes: np.ndarray, picked: np.ndarray, back: np.ndarray, start: int, end: int) -> list[int]:
+    """Ids from one place to another; picked: the id of the last piece at each place."""
     out: list[int] = []
     while end > start:
-        k = int(back[end])
-        i = int(ids[end, k])
+        i = int(picked[end])
         if i >= 0:
             out.append(i)
         else:
@@ -153,7 +171,7 @@ def _emit(v: Vocabulary, codes: np.ndarray, ids: np.ndarray, back: np.ndarray, s
             ch = 0 if ch == NUL else ch
             raw = SPACE.encode() if ch == ord(LITERAL) else chr(ch).encode("utf-8", "surrogatepass")
             out += [v.bytes[b] for b in reversed(raw)]
-        end -= k
+        end -= int(back[end])
     return out[::-1]
 
 
@@ -167,14 +185,17 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def scan_long(v: Vocabulary, unit: str, chunk: int = CHUNK) -> list[int]:
-    """One long unit by chunks: transfer matrices, their scan, then every chunk traced back by itself."""
+    """One long unit by chunks: transfer matrices, their scan, then every chunk traced back by itself.
+
+    Chunks go in groups; of a group only the matrices are kept, and later a piece and its length for each place.
+    """
     c, m = np.where(_points(unit) == 0, NUL, _points(unit)), v.longest
     n = len(c)
+    chunk = max(chunk, m)  # no piece spans more than two chunks
     starts = np.arange(0, n, chunk)
-    ids_parts, back_parts, best_parts, mats = [], [], [], []
-    group = max(1, 4096 // m)
-    for g in range(0, len(starts), group):
-        own = starts[g : g + group]
+    groups = [starts[g : g + max(1, 4096 // m)] for g in range(0, len(starts), max(1, 4096 // m))]
+
+    def lattices(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.zeros((len(own), chunk + m - 1), np.int64)
         for r, s in enumerate(own):
             part = c[s : s + chunk + m - 1]
@@ -183,35 +204,38 @@ def scan_long(v: Vocabulary, unit: str, chunk: int = CHUNK) -> list[int]:
         # A piece belongs to the chunk in which it starts: none may start at or past the chunk's end.
         for t in range(chunk + 1, chunk + m):
             scores[:, t, : t - chunk + 1] = NONE
-        best, back = _viterbi(np.repeat(scores, m, 0), np.tile(np.arange(m), len(own)))
-        best, back = best.reshape(len(own), m, -1), back.reshape(len(own), m, -1)
-        mat = best[:, :, chunk : chunk + m].copy()
-        for r, s in enumerate(own):
-            rest = n - s
-            if rest < chunk:  # the last chunk: only its end counts, as state 0
-                mat[r] = NONE
-                mat[r, : min(m, rest + 1), 0] = best[r, : min(m, rest + 1), rest]
-        ids_parts.append(ids)
-        back_parts.append(back)
-        mats.append(mat)
+        return ids, scores
+
+    mats = []
+    for own in groups:
+        _, scores = lattices(own)
+        best, _, _ = _viterbi(np.repeat(scores, m, 0), _from(len(own) * m, scores.shape[1], np.tile(np.arange(m), len(own))))
+        mats.append(best.reshape(len(own), m, -1)[:, :, chunk : chunk + m])
     mats = np.concatenate(mats)
     # Best scores from the front into each boundary state, by an associative scan (doubling).
     scan, step = [x for x in mats], 1
     while step < len(scan):
         scan = [x if i < step else max_plus(scan[i - step], x) for i, x in enumerate(scan)]
         step *= 2
-    state, path = 0, []
-    for k in range(len(mats) - 1, -1, -1):
-        front = scan[k - 1][0] if k else np.where(np.arange(m) == 0, 0, NONE)
-        into = int((front + mats[k][:, state]).argmax())
-        path.append((k, into, state))
-        state = into
-    out: list[int] = []
-    for k, into, leave in reversed(path):
-        g, r = divmod(k, group)
-        end = min(chunk, n - int(starts[k])) if k == len(mats) - 1 else chunk + leave
-        out += _emit(v, c[starts[k] : starts[k] + chunk + m], ids_parts[g][r], back_parts[g][r, into], into, end)
-    return out
+    first = np.where(np.arange(m) == 0, 0, NONE)
+    picked, backs, origins = [], [], []
+    for g, own in enumerate(groups):
+        ids, scores = lattices(own)
+        best = np.full(scores.shape[:2], NONE, np.int64)
+        at = g * len(groups[0])
+        best[:, :m] = [scan[at + r - 1][0] if at + r else first for r in range(len(own))]
+        _, back, origin = _viterbi(scores, best)
+        picked.append(np.take_along_axis(ids, back[:, :, None].astype(np.int64), 2)[:, :, 0])
+        backs.append(back)
+        origins.append(origin)
+    picked, backs, origins = (np.concatenate(x) for x in (picked, backs, origins))
+    # Where each chunk is left and entered: one look for each; then all chunks are traced alone.
+    end, path = n - int(starts[-1]), []
+    for k in range(len(starts) - 1, -1, -1):
+        into = int(origins[k, end])
+        path.append((k, into, end))
+        end = chunk + into
+    return [i for k, into, end in reversed(path) for i in _emit(v, c[starts[k] : starts[k] + chunk + m], picked[k], backs[k], into, end)]
 
 
 def solve(v: Vocabulary, units: list[str]) -> list[list[int]]:
@@ -230,7 +254,7 @@ def solve(v: Vocabulary, units: list[str]) -> list[list[int]]:
                 own_part = flat[r, : len(units[i])]
                 own_part[own_part == 0] = NUL
         ids, scores = _lattice(v, flat)
-        _, back = _viterbi(scores, np.zeros(len(own), np.int64))
+        _, back, _ = _viterbi(scores, _from(len(own), scores.shape[1], 0))
         ends = np.fromiter((len(units[i]) for i in own), np.int64, len(own))
         lane = np.arange(len(own))
         steps = []
@@ -242,7 +266,7 @@ def solve(v: Vocabulary, units: list[str]) -> list[list[int]]:
         table = np.stack(steps[::-1], 1).tolist() if steps else []
         for r, i in enumerate(own):
             row = [x for x in table[r] if x != -1]
-            out[i] = row if -2 not in row else _emit(v, flat[r], ids[r], back[r], 0, len(units[i]))
+            out[i] = row if -2 not in row else _emit(v, flat[r], np.take_along_axis(ids[r], back[r][:, None].astype(np.int64), 1)[:, 0], back[r], 0, len(units[i]))
     for i, u in enumerate(units):
         if len(u) > CHUNK:
             out[i] = scan_long(v, u)
@@ -264,7 +288,7 @@ class Coder:
         data, off = text_buffer(arr)
         lens = np.diff(off)
         full = lens > 0
-        # A space before each text that is not empty is its dummy prefix; then every space begins a unit.
+        # A space before each text that is not empty is its dummy prefix; then every run of spaces begins a unit.
         begin = off[:-1] + np.cumsum(full) - full
         buf = np.full(len(data) + int(full.sum()), 32, np.uint8)
         inside = np.ones(len(buf), bool)
@@ -273,8 +297,12 @@ class Coder:
         rows = len(lens)
         if not len(buf):
             return np.zeros(0, np.uint16), np.zeros(rows, np.int64), np.ones(rows, bool)
-        first = (buf == 32) | (buf == 10)
+        first = buf == 10
+        if not self.v.crosses:
+            first |= buf == 32
+            first[1:] &= (buf[:-1] != 32) | (buf[1:] == 10)
         first[1:] |= buf[:-1] == 10
+        first[begin[full]] = True
         start = np.flatnonzero(first)
         ends = np.append(start[1:], len(buf))
         raw = buf.tobytes()
