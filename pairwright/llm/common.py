@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -25,13 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
+    """A fresh folder of this application below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, notebooks) a local one is chosen. A run's folders lie side by side
-    under `pairwright/` there and may be removed once its result has been written.
+    Only a local session (tests, notebooks) may go without that setting. What an application has stored lies below
+    `pairwright/<application id>` there and may be removed once its results have been written (`clean`).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/pairwright/{label}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _application_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/pairwright/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this application has stored."""
+    discard(spark, _application_folder(spark))
 
 
 def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:

@@ -13,9 +13,10 @@ set by their number, turned into base-2 levels), then by hash. What follows from
    components; later rounds ask only for pairs between different components whose parity sketches do not rule a link
    out, the closest at first, then all that are left. So no link between components is missed, and pairs inside one
    are not spelled out.
-3. Parity sketches rule pairs out that cannot link. The others are verified by prefix trees. A class is joined with a batch of its candidates, stored as sorted sequences, common
-   shingles first; runs of equal prefixes are the tree's branches. The walk keeps the overlap of each shared prefix
-   and leaves a subtree when the overlap so far and what remains cannot reach what is required.
+3. Parity sketches rule pairs out that cannot link. The others are verified by prefix trees. A class is joined with a
+   batch of its candidates, stored as sorted sequences, common shingles first; runs of equal prefixes are the tree's
+   branches. The walk keeps the overlap of each shared prefix, leaves a sequence when the overlap so far and what
+   remains cannot reach what is required, and a whole subtree when no sequence of any length below can.
 4. Links become components by large-star/small-star rounds in Spark.
 5. Every link has both ends in one component. Components are dealt out as blocks of classes, each two blocks once, and
    all their overlaps are counted exactly. So every class and document gets its true number of links, also where the
@@ -23,9 +24,12 @@ set by their number, turned into base-2 levels), then by hash. What follows from
 
 Only bounded things reach the driver: the level table, a bitmap, counts. Lineage is cut by tables in the shared folder.
 
+Shingles and sets are told apart by 64-bit hashes: results are exact but for collisions, whose chance is the square of
+the number of different ones over 2^65 (one in 40,000 for 10^7 sets).
+
 Defined cases: null or wordless texts have the empty set and link with nothing; under SHINGLE words the whole sequence
 is the one shingle; repeated rows are equal sets; null ids take part as nulls (a class of nulls only has a null id);
-empty tables give no rows; further columns are ignored.
+empty tables give no rows; texts of any length are shingled whole; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -351,22 +355,24 @@ def tree_join(x: np.ndarray, others: list[np.ndarray]) -> list[bool]:
     """Which of `others` link with x; all are distinct hashes in one global order.
 
     Sorted as sequences, sets that share a prefix stand side by side: that order is the tree, depth first. seen[d] is
-    the overlap of x with the first d shingles of the branch; only the part of the branch that is new is looked up.
+    the overlap of x with the first d shingles of the branch; only the part of the branch that is new is looked up. A
+    linked set has no more than a quarter of |x| shingles that x lacks: where a branch has more, whatever its length
+    may still be, the subtree below is left and all that share the prefix go unread.
     """
     out = [False] * len(others)
     if not others:
         return out
     sorted_x = np.sort(x)
     order = sorted(range(len(others)), key=lambda i: others[i].astype(">u8").tobytes())
-    prev, seen, dead = np.zeros(0, np.uint64), np.zeros(1, np.int64), None
+    prev, seen, dead = np.zeros(0, np.uint64), np.zeros(1, np.int64), 1 << 62
     for i in order:
         y = others[i]
         m = min(len(prev), len(y))
         diff = np.flatnonzero(prev[:m] != y[:m])
         depth = int(diff[0]) if len(diff) else m
-        need = -(-4 * (len(x) + len(y)) // 9)
-        if not may_link(len(x), len(y)):
+        if depth >= dead or not may_link(len(x), len(y)):
             continue
+        need = -(-4 * (len(x) + len(y)) // 9)
         depth = min(depth, len(seen) - 1)
         counts, d = [seen[: depth + 1]], depth
         alive = True
@@ -380,6 +386,8 @@ def tree_join(x: np.ndarray, others: list[np.ndarray]) -> list[bool]:
             counts.append(o + np.cumsum(sorted_x[at] == step))
             d += len(step)
         seen, prev = np.concatenate(counts), y
+        lost = np.flatnonzero(4 * (np.arange(len(seen)) - seen) > len(x))
+        dead = int(lost[0]) if len(lost) else 1 << 62
         if alive:
             out[i] = linked(len(x), len(y), int(seen[-1]))
     return out

@@ -5,8 +5,8 @@ thousand rows, whatever the corpus), and a small versioned map says which shard
 re-hashes records: it edits the map, moving as few slots as are needed, and stores the edit as a new version.
 
 Defined cases: a null key is hashed by the text instead; a null text has no bytes (size 1); repeated rows stay, each
-with a place of its own; an empty table gives no rows and the first map; further input columns are ignored by
-`place` unless listed in `keep`, under which they pass unchanged.
+with a place of its own; texts of any length count whole; an empty table gives no rows and the first map; further
+input columns are ignored by `place`, whatever their names, unless listed in `keep`, under which they pass unchanged.
 """
 
 from __future__ import annotations

@@ -79,6 +79,17 @@ def test_tree_join_equals_set_overlap():
         want = [jaccard.linked(len(x), len(y), len(np.intersect1d(x, y))) for y in others]
         assert jaccard.tree_join(x, others) == want
     assert jaccard.tree_join(x, []) == []
+    # Many sequences below one prefix that x lacks: the first is read, the subtree is left.
+    looked = []
+    real = np.searchsorted
+    far = [np.concatenate([np.arange(1, 200), rng.choice(10_000, 300, replace=False) + 1000]).astype(np.uint64) for _ in range(50)]
+    x = np.arange(20_000, 20_480).astype(np.uint64)
+    jaccard.np.searchsorted = lambda *a, **k: looked.append(1) or real(*a, **k)
+    try:
+        assert not any(jaccard.tree_join(x, far))
+    finally:
+        jaccard.np.searchsorted = real
+    assert len(looked) <= 4
 
 
 def test_sketches_never_rule_out_a_link():
