@@ -14,52 +14,70 @@ def words(t):
     return [w.lower() for w in (t or "").encode().split()] + ["<end>"]
 
 
+def discounts(counts):
+    """From the numbers of things that were counted once, twice, three and four times."""
+    n1, n2, n3, n4 = (sum(n == k for n in counts) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    d1 = 1 - 2 * y * n2 / n1 if n1 else 0.5
+    d2 = 2 - 3 * y * n3 / n2 if n2 else d1
+    d3 = 3 - 4 * y * n4 / n3 if n3 else d2
+    return [min(max(d, 0.1), k) for k, d in ((1, d1), (2, d2), (3, d3))]
+
+
 class Plain:
-    """Interpolated modified Kneser-Ney over bigrams, with dicts."""
+    """Interpolated modified Kneser-Ney over trigrams, with dicts."""
 
     def __init__(self, texts):
-        self.pair, self.ctx, self.uni = Counter(), Counter(), Counter()
+        self.three, self.uni = Counter(), Counter()
         for t in texts:
             w = words(t)
-            for v, x in zip(["<start>", *w], w):
-                self.pair[v, x] += 1
-                self.ctx[v] += 1
+            for u, v, x in zip(["<start>", "<start>", *w], ["<start>", *w], w):
+                self.three[u, v, x] += 1
                 self.uni[x] += 1
-        self.left = Counter(x for _, x in self.pair)
-        of = lambda c: [sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]
-        self.d2, self.d1 = (ngram_lm.discounts(*of(c)) for c in (self.pair, self.left))
-        self.types = defaultdict(lambda: [0, 0, 0])
-        for (v, _), n in self.pair.items():
-            self.types[v][min(n, 3) - 1] += 1
-        self.rest1 = sum(self.d1[min(n, 3) - 1] for n in self.left.values())
-
-    def low(self, x):
-        n = self.left[x]
-        return (n - (self.d1[min(n, 3) - 1] if n else 0) + self.rest1 / (len(self.uni) + 1)) / len(self.pair)
-
-    def p(self, x, v):
-        if not self.ctx[v]:
-            return self.low(x)
-        n = self.pair[v, x]
-        rest = sum(d * k for d, k in zip(self.d2, self.types[v])) / self.ctx[v]
-        return (n - (self.d2[min(n, 3) - 1] if n else 0)) / self.ctx[v] + rest * self.low(x)
-
-
-def test_equals_the_plain_model(spark):
+        self.two = Counter((v, x) for _, v, x in self.three)
+        self.one = Counter(x for _, x in self.two)
+        self.d = {k: discounts(c.values()) for k, c in ((3, self.three), (2, self.two), (1, self.one))}
+        self.ctx = {3: defaultdict(list), 2: defaultdict(list)}
+        for k, c in ((3, self.three), (2, self.two)):
+            for key, n in c.items():
+                self.ctx[k][key[:-1]].append(n)
+
+    def off(self, k, n):
+        return self.d[k][min(n, 3) - 1] if n else 0
+
+    def level(self, k, counts, context, key, lower):
+        own = self.ctx[k].get(context)
+        if not own:
+            return lower
+        n = counts.get(key, 0)
+        return (n - self.off(k, n)) / sum(own) + sum(self.off(k, c) for c in own) / sum(own) * lower
+
+    def p(self, x, u, v):
+        n = self.one.get(x, 0)
+        low = (n - self.off(1, n) + sum(self.off(1, c) for c in self.one.values()) / (len(self.uni) + 1)) / len(self.two)
+        return self.level(3, self.three, (u, v), (u, v, x), self.level(2, self.two, (v,), (v, x), low))
+
+
+@pytest.mark.parametrize("shard_tokens, split", [(2_000_000, 1e9), (100, 0.25)])
+def test_equals_the_plain_model(spark, monkeypatch, shard_tokens, split):
+    """No middle word split, and few tokens a shard, so that frequent ones are."""
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(ngram_lm, "SPLIT", split)
     rng = random.Random(1)
     rows = [(i, tables.prose(rng, rng.randint(0, 40)) + rng.choice(["", " Unseen%d" % i, " THA"]), i % 5 == 0) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
     model = ngram_lm.train(spark, df.where(~F.col("held_out")))
     plain = Plain([t for _, t, h in rows if not h])
     total, v = sum(plain.uni.values()), len(plain.uni)
-    assert (model["tokens"], model["vocabulary"], model["pair_types"]) == (total, v, len(plain.pair))
+    assert (model["tokens"], model["vocabulary"], model["pair_types"], model["triple_types"]) == (total, v, len(plain.two), len(plain.three))
+    assert len(model["deal"].hot) == 0 if split > 1 else model["deal"].parts.max() > 1
     for r in ngram_lm.score(df, model).collect():
         w = words(rows[r.doc_id][1])
-        assert r.score == pytest.approx(sum(math.log10(plain.p(x, c)) for c, x in zip(["<start>", *w], w)), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(plain.p(x, u, c)) for u, c, x in zip(["<start>", "<start>", *w], ["<start>", *w], w)), rel=1e-9)
         assert r.base_score == pytest.approx(sum(math.log10((plain.uni[x] + 1) / (total + v + 1)) for x in w), rel=1e-9)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(plain.uni[x] > 0 for x in w), total)
-    for c in ("<start>", "tha", "never"):  # probabilities of all words and one unknown sum to 1
-        assert sum(plain.p(x, c) for x in plain.uni) + plain.p("<unknown>", c) == pytest.approx(1.0)
+    for u, c in (("<start>", "<start>"), ("<start>", "tha"), ("tha", "tha"), ("never", "tha"), ("tha", "never")):  # probabilities of all words and one unknown sum to 1
+        assert sum(plain.p(x, u, c) for x in plain.uni) + plain.p("<unknown>", u, c) == pytest.approx(1.0)
 
 
 def test_edges(spark):
