@@ -44,7 +44,7 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xA0761D6478BD642F)
 #: Tokens that a counting task holds before it packs and sends them.
 RUN = 2_000_000
 #: Training tokens for each shard, and the part of those from which on a middle word is split, a shard for each part.
-SHARD_TOKENS, SPLIT = 2_000_000, 0.25
+SHARD_TOKENS, SPLIT = 4_000_000, 0.25
 #: Bits of a key inside a shard: a table of places by the first, the others stored.
 _BUCKETS, _STORED = 14, 32
 _KEY = np.uint64(64 - _BUCKETS - _STORED)
@@ -137,7 +137,7 @@ class Model:
             got = self.arrays(f"{kind}-{own[a]}")
             if not got:
                 continue
-            places, stored, code, values = got[0], got[1], got[2], got[3:]
+            places, stored, other, before, code, values = *got[:5], got[5:]
             q = tag[a:b]
             bucket, q = (q >> np.uint64(_STORED)).astype(np.int64), (q & np.uint64((1 << _STORED) - 1)).astype(np.uint32)
             lo, end = places[bucket].astype(np.int64), places[bucket + 1].astype(np.int64)
@@ -147,21 +147,48 @@ class Model:
                 less = (stored[np.minimum(mid, len(stored) - 1)] < q) & (lo < hi)
                 lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
             hit = np.flatnonzero((lo < end) & (stored[np.minimum(lo, len(stored) - 1)] == q))
-            c = code[lo[hit]]
+            c = _codes(lo[hit], other, before, code)
             for o, v in zip(out, values):
                 o[a + hit] = v[c]
         return [o[place[back]] for o in out]
 
 
 def _table(key: np.ndarray, *columns: np.ndarray) -> bytes:
-    """A file for `find`: keys in order, rows of columns as codes into a list of the different ones."""
+    """A file for `find`: keys in order, and rows of columns as codes into a list of the different ones.
+
+    The most frequent row is code 0 and takes a bit; only the others have a code written.
+    """
     key = key >> _KEY
     places = np.searchsorted(key >> np.uint64(_STORED), np.arange((1 << _BUCKETS) + 1, dtype=np.uint64))
     h = np.zeros(len(key), np.uint64)
     for c in columns:
         h = mix(h * _TURN + c.astype(np.uint64))
-    _, first, code = np.unique(h, return_index=True, return_inverse=True)
-    return pack(places, key & np.uint64((1 << _STORED) - 1), code, *[c[first] for c in columns])
+    _, first, code, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.argsort(np.argsort(-n, kind="stable"))
+    first = first[np.argsort(rank)]
+    code = rank[code]
+    bits = np.packbits(np.append(code > 0, np.zeros(-len(code) % 64, bool)), bitorder="little").view(np.uint64)
+    before = np.cumsum(np.bitwise_count(bits), dtype=np.int64) - np.bitwise_count(bits)
+    return pack(places, key & np.uint64((1 << _STORED) - 1), bits, before, code[code > 0], *[c[first] for c in columns])
+
+
+def _codes(i: np.ndarray, bits: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The codes of some rows of a table."""
+    word, at = bits[i >> 6].astype(np.uint64), (i & 63).astype(np.uint64)
+    out = np.zeros(len(i), np.int64)
+    own = np.flatnonzero(word >> at & np.uint64(1))
+    rank = before[i[own] >> 6].astype(np.int64) + np.bitwise_count(word[own] & ((np.uint64(1) << at[own]) - np.uint64(1)))
+    out[own] = code[rank]
+    return out
+
+
+def _planes(sorted_words: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes, byte by byte: those that are nearly all 0 compress well."""
+    return np.diff(sorted_words, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def _from_planes(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.astype(np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 _OPEN: dict[str, Model] = {}
@@ -274,7 +301,7 @@ def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, deal: Deal) -> Iterator
         rows = np.arange(int(ends[-1])) + np.repeat(first[own] - (ends - f), f)
         used, local = np.unique(np.concatenate([cv[own], cu[own], (key[rows] & low).astype(np.int64)]), return_inverse=True)
         lv, lu, lw = local[: len(own)], local[len(own) : 2 * len(own)], local[2 * len(own) :]
-        yield int(s), zstandard.compress(pack(words[used], np.diff(lv, prepend=0), lu, f, lw, n[rows]), 1)
+        yield int(s), zstandard.compress(pack(_planes(words[used]), np.diff(lv, prepend=0), lu, f, lw, n[rows]), 1)
 
 
 def _count(deal: Deal):
@@ -343,6 +370,7 @@ def _merge(folder: str, deal: Deal):
         us, vs, ws, ns = [], [], [], []
         for raw in table["blob"]:
             words, dv, lu, f, lw, n = unpack(zstandard.decompress(raw.as_py()))
+            words = _from_planes(words)
             f = f.astype(np.int64)
             lv = np.cumsum(dv.astype(np.int64))
             us.append(np.repeat(words[lu], f).astype(np.uint64))
@@ -377,8 +405,8 @@ def _merge(folder: str, deal: Deal):
         if not hot.all():
             own = ~hot
             _write(folder, f"pair-{s}", _table(pair[own], before[own]))
-            names, sums = _sums(v[own], before[own])
-            _write(folder, f"middle-{s}", pack(names, *sums))
+            names, sums = _sums(mix(v[own]), before[own])
+            _write(folder, f"middle-{s}", _table(names, *sums))
             rows.append(("pairs", s, None, int(own.sum()), *_of_counts(before[own]), int(before[own].sum())))
         rows += _word_rows(w, (~hot).astype(np.int64), total, deal.shards)
         if hot.any():
@@ -388,7 +416,7 @@ def _merge(folder: str, deal: Deal):
             for a, b in zip(cuts, np.append(cuts[1:], len(order))):
                 i = order[a:b]
                 words, local = np.unique(np.concatenate([v[i], w[i]]), return_inverse=True)
-                rows.append(("hot", int(to[i[0]]), zstandard.compress(pack(words, local[: len(i)], local[len(i) :], before[i]), 1), 0, 0, 0, 0, 0, 0))
+                rows.append(("hot", int(to[i[0]]), zstandard.compress(pack(_planes(words), local[: len(i)], local[len(i) :], before[i]), 1), 0, 0, 0, 0, 0, 0))
         return _stat_rows(rows)
 
     return run
@@ -403,6 +431,7 @@ def _merge_hot(folder: str, shards: int):
         vs, ws, ns = [], [], []
         for raw in table["blob"]:
             words, lv, lw, n = unpack(zstandard.decompress(raw.as_py()))
+            words = _from_planes(words)
             vs.append(words[lv].astype(np.uint64))
             ws.append(words[lw].astype(np.uint64))
             ns.append(n.astype(np.int64))
@@ -499,18 +528,10 @@ def score_tokens(m: dict, t: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[
     count, before = model.words("word", words, deal.shards, 2)
     low = (before - _discount(before, m["word_discounts"]) + m["word_rest"] / (m["vocabulary"] + 1)) / m["pair_types"]
     names, vi = np.unique(v, return_inverse=True)
-    middle = [np.zeros(len(names), np.int64) for _ in range(4)]
-    hot = deal.is_hot(names)
-    for s in np.unique(own := np.where(hot, -1, deal.pair(names, names))).tolist():
-        i = np.flatnonzero(own == s)
-        if s < 0:
-            for o, c in zip(middle, m["middle"].T):
-                o[i] = c[np.searchsorted(deal.hot, names[i])]
-        elif got := model.arrays(f"middle-{s}"):
-            at = np.minimum(np.searchsorted(got[0], names[i]), len(got[0]) - 1)
-            hit = got[0][at] == names[i]
-            for o, c in zip(middle, got[1:]):
-                o[i[hit]] = c[at[hit]]
+    middle = model.find("middle", deal.pair(names, names), mix(names), 4)
+    hot = np.flatnonzero(deal.is_hot(names))
+    for o, c in zip(middle, m["middle"].T):
+        o[hot] = c[np.searchsorted(deal.hot, names[hot])]
     pair = pair_key(v, t)
     two = _mixed(model.find("pair", deal.pair(v, pair), pair, 1)[0], [c[vi] for c in middle], m["pair_discounts"], low[wi])
     context, shard = pair_key(u, v), deal.context(u, v)

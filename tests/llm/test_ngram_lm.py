@@ -88,3 +88,16 @@ def test_edges(spark):
     none = ngram_lm.train(spark, df.limit(0))
     assert {(r.score, r.base_score, r.n_known) for r in ngram_lm.score(df, none).collect()} == {(0.0, 0.0, 0)}
     assert ngram_lm.score(tables.empty(spark).withColumn("held_out", F.lit(False)), none).count() == 0
+
+
+def test_tables_give_rows_back():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 5000):
+        key = np.sort(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        a, b = rng.geometric(0.6, n), rng.integers(0, 3, n)
+        places, stored, bits, before, code, va, vb = ngram_lm.unpack(ngram_lm._table(key, a, b))
+        c = ngram_lm._codes(np.arange(n), bits, before, code)
+        assert (va[c] == a).all() and (vb[c] == b).all() and len(stored) == n and places[-1] == n
+        assert (ngram_lm._from_planes(ngram_lm._planes(key)) == key).all()
