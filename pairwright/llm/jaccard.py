@@ -12,7 +12,7 @@ set by their number, turned into base-2 levels), then by hash. What follows from
    all pairs. Long ones (a large group of near copies, say) first give a chain and a hub, whose links make
    components; later rounds ask only for pairs between different components whose parity sketches do not rule a link
    out, the closest at first, then all that are left. So no link between components is missed, and pairs inside one
-   are not spelled out.
+   are not spelled out. A run of more than RUN_BLOCK classes is dealt out as pairs of blocks, so no task takes it whole.
 3. Parity sketches rule pairs out that cannot link. The others are verified by prefix trees. A class is joined with a
    batch of its candidates, stored as sorted sequences, common shingles first; runs of equal prefixes are the tree's
    branches. The walk keeps the overlap of each shared prefix, leaves a sequence when the overlap so far and what
@@ -52,6 +52,8 @@ SHORT_RUN = 8
 SOME = 2
 #: Candidates of one class that are verified in one batch.
 BATCH = 256
+#: Classes of a run that one task compares with as many others; longer runs are dealt out as pairs of such blocks.
+RUN_BLOCK = 1024
 #: Classes, and shingles, of a component that make up about one block when links are counted.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
 #: Prefix rows that a task holds before it packs and sends them.
@@ -290,14 +292,14 @@ def _differing_bits(sketches: list[np.ndarray], outside: np.ndarray):
 
 
 def _crossing(full: bool):
-    """Pairs of a part's long runs whose components differ and that may link: SOME closest a class, or all."""
+    """Pairs of long runs, or of two blocks of one, whose components differ and that may link: SOME closest a class, or all."""
 
     def run(key, table):
-        k, cls, comp, n, pos = (table[c].to_numpy() for c in ("key", "a", "comp", "n", "pos"))
+        k, cls, comp, n, pos, bi, bj, part = (table[c].to_numpy() for c in ("key", "a", "comp", "n", "pos", "i", "j", "part"))
         sketch = table["sketch"].combine_chunks() if table["sketch"].num_chunks != 1 else table["sketch"].chunk(0)
-        order = np.lexsort((cls, k))
-        k, cls, comp, n, pos = (x[order] for x in (k, cls, comp, n, pos))
-        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        order = np.lexsort((cls, bj, bi, k))
+        k, cls, comp, n, pos, bi, bj, part = (x[order] for x in (k, cls, comp, n, pos, bi, bj, part))
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), [True]]))
         out: list[tuple] = [(np.zeros(0, np.int64),) * 2]
         for lo, hi in zip(edge[:-1], edge[1:]):
             names, inv, count = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
@@ -305,12 +307,15 @@ def _crossing(full: bool):
                 continue
             top = int(count.argmax())
             outside = np.flatnonzero(inv != top)
+            side, two = part[lo:hi], bi[lo] != bj[lo]  # two blocks: only pairs across them
             sketches = [np.frombuffer(sketch[int(i)].as_buffer(), np.uint64) for i in order[lo:hi]]
             for r, members, bits in _differing_bits(sketches, outside):
                 i, j = outside[r][:, None], members[None]
                 n1, n2 = n[lo + i], n[lo + j]
                 ok = (inv[i] != inv[j]) & ((inv[j] == top) | (j > i)) & may_link(n1, n2, pos[lo + i], pos[lo + j])
                 ok &= bits <= n1 + n2 - 2 * -(-4 * (n1 + n2) // 9)
+                if two:
+                    ok &= side[i] != side[j]
                 if not full and ok.shape[1] > SOME:
                     rank = np.where(ok, bits, np.int64(1) << 40) * 4096 + (mix(cls[lo + i].view(np.uint64) ^ cls[lo + j].view(np.uint64) * _C[3]) >> np.uint64(52)).astype(np.int64)
                     ok &= rank <= np.partition(rank, SOME - 1, 1)[:, SOME - 1 : SOME]
@@ -451,6 +456,8 @@ def verify(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, comp) with comp the least node of each component, by large-star and small-star rounds."""
     edges = stored(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    size = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    was = size(edges)
     while True:
         # Large star: the larger neighbours of a node go to the least of its neighbourhood.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -460,10 +467,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = stored(spark, small.where("u <> v").distinct(), "edges")
-        size = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        same = tuple(size(new)) == tuple(size(edges))
+        now = size(new)
         discard(spark, edges)
-        edges = new
+        edges, was, same = new, now, now == was
         if same:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -629,16 +635,20 @@ def _join(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str):
     links = stored(spark, verify(spark, pairs, sets), "links")
     known = components(spark, links)
     if runs.limit(1).count():
-        bucket = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("bucket")
         drawn = sets.select("cls", "sketch")
         for full in (False, True):
-            own = runs.join(known, runs["a"] == known["node"], "left").select(bucket, "key", "a", F.coalesce("comp", "a").alias("comp"), "n", "pos")
-            # Most runs lie in one component by now: only the others take sketches along.
-            mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            own = stored(spark, own.join(mixed, "key", "left_semi"), "mixed")
+            own = runs.join(known, runs["a"] == known["node"], "left").select("key", "a", F.coalesce("comp", "a").alias("comp"), "n", "pos")
+            # Most runs lie in one component by now: only the others take sketches along (a bitmap may let some more by).
+            mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+            mixed = stored(spark, mixed.select("key", F.ceil(F.col("rows") / RUN_BLOCK).alias("blocks")), "mixed")
+            own = stored(spark, own.where(id_filter(mixed.select("key"))("key")), "mixed")
             runs = own.select("key", "a", "n", "pos")  # a later round can only find pairs in these
-            own = own.join(drawn, F.col("a") == drawn["cls"]).drop("cls")
-            more = stored(spark, own.groupBy("bucket").applyInArrow(_crossing(full), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+            dealt = own.join(drawn, F.col("a") == drawn["cls"]).drop("cls").join(mixed.where("blocks > 1"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+            dealt = dealt.withColumn("part", F.pmod(F.xxhash64("a", F.lit(9)), F.col("blocks"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            dealt = dealt.withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")})
+            task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(F.xxhash64("key", "i", "j")).alias("task")
+            dealt = dealt.select(task, "key", "a", "comp", "n", "pos", "i", "j", "part", "sketch")
+            more = stored(spark, dealt.groupBy("task").applyInArrow(_crossing(full), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
             if not more.limit(1).count():
                 discard(spark, more)
                 continue

@@ -54,9 +54,10 @@ def corpus(rng, groups, passage):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
-    """Long runs: near copies of one text, some beyond the threshold, and a passage that many texts share."""
+@pytest.mark.parametrize("seed, block", [(1, 1024), (2, 10)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, block):
+    """Long runs, whole and in blocks: near copies of one text, some beyond the threshold, and a passage that many texts share."""
+    monkeypatch.setattr(jaccard, "RUN_BLOCK", block)
     rng = random.Random(seed)
     rows = corpus(rng, [(60, 80, 0.015), (40, 120, 0.03), (25, 30, 0.01), (10, 200, 0.005), (30, 6, 0.02)], tables.prose(rng, 55))
     rng.shuffle(rows)
