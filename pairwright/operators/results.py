@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.text import formatted, hex_address
+from ..storage import stored
 
 #: The two column orders of the results table; numbers sort by value, texts by their lower case.
 VIEW_COLUMNS = ("similarity", "confidence", "name_a", "address_a", "name_b", "address_b", "match_type", "size_a", "size_b", "bb_a", "bb_b", "instr_a", "instr_b")
@@ -78,9 +79,25 @@ def report_order(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("confidence"), "address_a", "address_b")
 
 
+def ranked(rows: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
+    """Adds each row's place, from 1, in an order over all rows.
+
+    Rows are dealt out in ranges of the order and numbered inside; only the size of each range reaches the driver, and
+    no task holds more than a range.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = stored(spark, dealt.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranges")
+    sizes, before = dict(inside.groupBy("_range").count().collect()), []
+    for k in range(max(sizes, default=0) + 1):
+        before.append(before[-1] + sizes.get(k - 1, 0) if before else 0)
+    offset = F.get(F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>"), F.col("_range"))
+    return inside.withColumn(name, offset + F.col("_row") + 1).drop("_range", "_row")
+
+
 def numbered(results: DataFrame) -> DataFrame:
-    """By similarity, highest first, with a number from 1: a listing for people, so one ordered partition."""
-    return results.withColumn("n", F.row_number().over(Window.orderBy(F.desc("similarity"), "seq")))
+    """By similarity, highest first, with a number from 1."""
+    return ranked(results, F.desc("similarity"), "seq")
 
 
 def bands(results: DataFrame) -> DataFrame:

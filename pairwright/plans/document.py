@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.matching import Diff
+from ..operators.results import ranked
 from ..sinks import exports
 
 VERSION = "1.0"
@@ -67,8 +68,8 @@ def read_matches(bodies: DataFrame) -> DataFrame:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Adds `seq`, the place by `ord` from 0: a listing for people, so one ordered partition."""
-    return rows.withColumn("seq", F.row_number().over(Window.orderBy("ord")) - 1)
+    """Adds `seq`, the place by `ord` from 0."""
+    return ranked(rows, "ord", name="seq").withColumn("seq", F.col("seq") - 1)
 
 
 def match_count(d: Diff | None) -> int:

@@ -41,6 +41,11 @@ def feats(spark: SparkSession, sf: str, side: str) -> DataFrame:
     return features.extract_features(program(spark, sf, side))
 
 
+def both(spark: SparkSession, sf: str, of=None) -> tuple[DataFrame, DataFrame]:
+    """Features of both sides, extracted once for a query that reads them several times."""
+    return tuple(stored(spark, (of or feats)(spark, sf, s), "features") for s in "ab")
+
+
 def aligned(spark: SparkSession, sf: str) -> DataFrame:
     """Feature structs a and b of functions at equal addresses."""
     a, b = feats(spark, sf, "a"), feats(spark, sf, "b")
@@ -104,7 +109,7 @@ for _name, _phase in {"name_pairs": 2, "md_pairs": 3, "primes_pairs": 4, "degree
 
 @query("exact_match", f"{O.PROGRAM}{O.EXACT}{O.pairs('EXISTS (SELECT 1 FROM e WHERE e.idx_a = x.idx AND e.idx_b = y.idx)')} SELECT {O.SCORES}, 'Exact' AS match_type FROM p")
 def exact_match(spark, sf):
-    return _typed(matching.exact_matches(feats(spark, sf, "a"), feats(spark, sf, "b"))).drop("phase")
+    return _typed(matching.exact_matches(*both(spark, sf))).drop("phase")
 
 
 _FREE = O.free("e")
@@ -122,7 +127,7 @@ def halves(spark: SparkSession, sf: str, side: str) -> DataFrame:
 
 
 def _after_exact(spark, sf, of=feats):
-    a, b = of(spark, sf, "a"), of(spark, sf, "b")
+    a, b = both(spark, sf, of)
     e = stored(spark, matching.exact_matches(a, b).select("idx_a", "idx_b"), "exact")
     return a.join(e.select(F.col("idx_a").alias("idx")), "idx", "left_anti"), b.join(e.select(F.col("idx_b").alias("idx")), "idx", "left_anti"), e
 
@@ -228,14 +233,14 @@ _EXACT_PAIRS = O.pairs("EXISTS (SELECT 1 FROM e WHERE e.idx_a = x.idx AND e.idx_
 
 @query("statistics", f"{O.PROGRAM}{O.EXACT}{_EXACT_PAIRS} SELECT count(*) AS total_matches, count(*) AS exact_matches, 0::BIGINT AS structural_matches, 0::BIGINT AS heuristic_matches, 0::BIGINT AS manual_matches, round(coalesce(avg(sim), 0.0), 6) AS similarity_score, round(coalesce(avg(conf), 0.0), 6) AS average_confidence, (SELECT count(*) FROM f WHERE side = 'a') - count(*) AS unmatched_a, (SELECT count(*) FROM f WHERE side = 'b') - count(*) AS unmatched_b FROM p")
 def statistics(spark, sf):
-    a, b = feats(spark, sf, "a"), feats(spark, sf, "b")
+    a, b = both(spark, sf)
     s = matching.statistics(matching.exact_matches(a, b), a.count(), b.count())
     return s.withColumns({c: r6(F.col(c)) for c in ("similarity_score", "average_confidence")})
 
 
-def _labelled(spark, sf) -> DataFrame:
+def _labelled(a: DataFrame, b: DataFrame) -> DataFrame:
     """Aligned pairs as matches: by confidence, each of the three types occurs."""
-    s = matching.scored(aligned(spark, sf))
+    s = matching.scored(matching.key_pairs(a, b, F.col("address")))
     label = F.when(F.col("a.cfg_hash") == F.col("b.cfg_hash"), "Exact").when(F.col("a.n_bb") == F.col("b.n_bb"), "Structural").otherwise("Heuristic")
     return s.withColumns({"phase": F.lit(1), "match_type": label, "similarity": r6(F.col("similarity")), "confidence": r6(F.col("confidence"))})
 
@@ -244,8 +249,8 @@ _VIEW = f"""{O.PROGRAM}{O.pairs(O.ALIGNED, extra=", x.name AS name_a, y.name AS
 
 
 def view(spark, sf) -> DataFrame:
-    m = _labelled(spark, sf).select(*matching.COLUMNS)
-    v = results.results_view(m, feats(spark, sf, "a"), feats(spark, sf, "b"))
+    a, b = both(spark, sf)
+    v = results.results_view(_labelled(a, b).select(*matching.COLUMNS), a, b)
     return v.withColumns({c: F.col(c).cast("bigint") for c in ("address_a", "address_b", "size_a", "size_b")})
 
 
@@ -259,7 +264,7 @@ def results_view(spark, sf):
 
 @query("type_counts", f"{_VIEW} SELECT count(*) FILTER (WHERE match_type = 'Exact') AS exact, count(*) FILTER (WHERE match_type = 'Structural') AS structural, count(*) FILTER (WHERE match_type = 'Heuristic') AS heuristic, 0::BIGINT AS manual FROM v")
 def type_counts(spark, sf):
-    return results.type_counts(_labelled(spark, sf))
+    return results.type_counts(_labelled(*both(spark, sf)))
 
 
 def _band(kind: str, expression: str):

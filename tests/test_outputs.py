@@ -167,3 +167,11 @@ def test_cancelling_a_tag_stops_its_jobs(spark):
         control.cancel(spark, "t1")
     t.join(5)
     assert failed and not t.is_alive()
+
+
+def test_places_over_all_rows(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("k"), "id")
+    got = results.ranked(df, F.desc("k"), "id").collect()
+    assert [r.k for r in sorted(got, key=lambda r: r.n)] == sorted((r.k for r in got), reverse=True)
+    assert sorted(r.n for r in got) == list(range(1, 5001))
+    assert results.ranked(df.limit(0), "k").count() == 0
