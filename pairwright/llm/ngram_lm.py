@@ -44,7 +44,7 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xA0761D6478BD642F)
 #: Tokens that a counting task holds before it packs and sends them.
 RUN = 2_000_000
 #: Training tokens for each shard, and the part of those from which on a middle word is split, a shard for each part.
-SHARD_TOKENS, SPLIT = 4_000_000, 0.25
+SHARD_TOKENS, SPLIT = 3_000_000, 0.25
 #: Bits of a key inside a shard: a table of places by the first, the others stored.
 _BUCKETS, _STORED = 14, 32
 _KEY = np.uint64(64 - _BUCKETS - _STORED)
@@ -362,14 +362,21 @@ def _word_rows(w: np.ndarray, types: np.ndarray, total: np.ndarray, shards: int)
 
 
 def _merge(folder: str, deal: Deal):
-    """One shard: its triples and contexts, and the pairs of middle words that are not split."""
+    """The shards of a partition, one as a rule: triples and contexts, and the pairs of middle words that are not split."""
     import zstandard
 
-    def run(key, table):
-        s = key[0].as_py()
+    def run(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(s, []).append(raw)
+        for s in sorted(held):
+            yield from one(s, held.pop(s)).to_batches()
+
+    def one(s: int, blobs: list[bytes]) -> pa.Table:
         us, vs, ws, ns = [], [], [], []
-        for raw in table["blob"]:
-            words, dv, lu, f, lw, n = unpack(zstandard.decompress(raw.as_py()))
+        while blobs:
+            words, dv, lu, f, lw, n = unpack(zstandard.decompress(blobs.pop()))
             words = _from_planes(words)
             f = f.astype(np.int64)
             lv = np.cumsum(dv.astype(np.int64))
@@ -485,7 +492,8 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> dict:
     discard(spark, seen)
     folder = shared_folder(spark, "kneser-ney")
     counted = texts.mapInArrow(_count(deal), "shard int, blob binary")
-    merged = stored(spark, counted.groupBy("shard").applyInArrow(_merge(folder, deal), STATS), "shards")
+    # A partition for each shard, so that tasks are even and hold one at a time.
+    merged = stored(spark, counted.repartitionById(shards, F.col("shard")).mapInArrow(_merge(folder, deal), STATS), "shards")
     split = stored(spark, merged.where("kind = 'hot'").select("shard", "blob").groupBy("shard").applyInArrow(_merge_hot(folder, shards), STATS), "split")
     both = merged.unionByName(split)
     add = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("types", "n1", "n2", "n3", "n4", "total")]
