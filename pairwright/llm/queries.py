@@ -24,7 +24,12 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    back = chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    return _read_back(chat.format_conversations(rows.unionByName(extra)))
+
+
+def _read_back(rendered: DataFrame) -> DataFrame:
+    """The contract's columns, from the formatted text."""
+    back = chat.read_back(rendered)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -52,6 +57,22 @@ FROM e GROUP BY conv_id
 """
 
 
+def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversations from a log: each text is streamed, drafts are regenerated or edited, some messages deleted."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("t"), F.monotonically_increasing_id().alias("m"))
+    third = F.floor(F.char_length("t") / 3).cast("int")
+    cut = lambda a, n: F.substr("t", a, n)
+    at = lambda k: F.col("turn").cast("long") * 10 + k
+    one = lambda k, kind, text, m="": F.struct(at(k).alias("seq"), F.lit(kind).alias("kind"), F.concat(F.col("m").cast("string"), F.lit(m)).alias("message_id"), text.alias("text"))
+    head, middle, tail = cut(F.lit(1), third), cut(third + 1, third), cut(2 * third + 1, F.char_length("t"))
+    streamed = [one(0, "message", F.lit("")), one(1, "delta", F.lit("a draft ")), one(2, "regenerate", head), one(4, "delta", tail), one(3, "delta", middle)]
+    edited = [one(0, "message", F.lit("a draft ")), one(1, "delta", tail), one(2, "edit", F.concat(head, middle)), one(3, "delta", tail)]
+    gone = [one(0, "message", F.col("t"), "gone"), one(1, "delta", F.lit("?"), "gone"), one(5, "delete", F.lit(None).cast("string"), "gone")]
+    log = F.concat(F.when(F.col("m") % 2 == 0, F.array(*streamed)).otherwise(F.array(*edited)), F.when(F.col("turn") % 3 == 0, F.array(*gone)).otherwise(F.array().cast("array<struct<seq: bigint, kind: string, message_id: string, text: string>>")))
+    events = rows.select("conv_id", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.kind", "e.message_id", "role", "e.text")
+    return _read_back(chat.render(chat.fold_events(events)))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold_of(F.col("doc_id"), 4) == 2
@@ -62,9 +83,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op6_chat_formatting": op6_chat_formatting,
+    "op6_chat_events": op6_chat_events,
     "op7_language_id": op7_language_id,
 }
-ORACLES = {"op6_chat_formatting": OP6_SQL}
+#: The log folds to the table's own conversations.
+OP6_EVENTS_SQL = "\n".join(line for line in OP6_SQL.split("\n") if "UNION ALL VALUES" not in line)
+ORACLES = {"op6_chat_formatting": OP6_SQL, "op6_chat_events": OP6_EVENTS_SQL}
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
