@@ -42,6 +42,15 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(named, (core + F.when(name_a == name_b, 1.0).otherwise(0.0)) / 28.5).otherwise(core / 27.5)
 
 
+#: Fixed value: how far a score may be moved at random so that like scores differ.
+JITTER = 0.001
+
+
+def jittered(score: Column, seed: int) -> Column:
+    """A score moved by up to JITTER either way, within [0, 1]. Matching leaves it out, so that results repeat."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + (F.rand(seed) * 2 - 1) * JITTER))
+
+
 def _phase(spark: SparkSession, pairs: DataFrame, phase: int) -> DataFrame:
     """pairs: key, a, b. A right row at address 0 is never taken, but a left row whose best it is gets nothing."""
     s = pairs.select("key", F.col("a.idx").alias("idx_a"), F.col("b.idx").alias("idx_b"), (F.col("b.address") == 0).alias("zero"), F.least(F.lit(1.0), similarity(F.col("a"), F.col("b")) + BONUS[phase]).alias("score"))

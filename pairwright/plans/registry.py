@@ -614,6 +614,20 @@ def lite_features(spark, sf):
     return both.join(sizes, "structural_hash").select("side", "idx", "name", F.col("address").cast("bigint"), F.col("size").cast("bigint"), "n_bb", "n_instr", "same_structure")
 
 
+@query("instruction_hashes", f"{O.HALVES}, h AS (SELECT side, idx, array_to_string(list_transform(ms, lambda m: m || '16'), '') || address AS key FROM f) SELECT side, idx, count(*) OVER (PARTITION BY key) AS same FROM h")
+def instruction_hashes(spark, sf):
+    sides = [programs.instruction_hashes(programs.halves_program(spark, sf, s)).withColumn("side", F.lit(s)) for s in "ab"]
+    both_sides = sides[0].unionByName(sides[1])
+    return both_sides.join(both_sides.groupBy("instruction_hash").agg(F.count("*").alias("same")), "instruction_hash").select("side", "idx", "same")
+
+
+@query("jitter", f"{O.lite(O.HALVES)} SELECT idx_a, idx_b, true AS near FROM l")
+def jitter(spark, sf):
+    """Scores of the lite profile, moved at random: within bounds, whatever the seed."""
+    m = lite.match(spark, _halves_lite(spark, sf, "a"), _halves_lite(spark, sf, "b")).withColumn("moved", lite.jittered(F.col("similarity"), 7))
+    return m.select("idx_a", "idx_b", ((F.abs(F.col("moved") - F.col("similarity")) <= lite.JITTER) & F.col("moved").between(0, 1)).alias("near"))
+
+
 def _general(spark, sf, side: str) -> DataFrame:
     """What the general score compares, of the coarse programs."""
     f = halves(spark, sf, side).join(_halves_lite(spark, sf, side).select("idx", "structural_hash"), "idx")

@@ -220,3 +220,12 @@ def lite_features(program: DataFrame) -> DataFrame:
     )
     last = F.max_by(F.struct("name", "size", "n_bb", "n_instr", "structural_hash"), "idx").alias("f")
     return f.groupBy("address").agg(F.min("idx").alias("idx"), last).select("idx", "address", "f.*")
+
+
+def instruction_hashes(program: DataFrame) -> DataFrame:
+    """idx, address and a 64-bit hash of mnemonics, instruction lengths and the start address. No phase reads it.
+
+    As the address is part of it, functions at different addresses never share one.
+    """
+    words = F.transform("instructions", lambda i: F.concat(F.coalesce(i["mnemonic"], F.lit("")), F.coalesce(i["length"], F.lit(0)).cast("string")))
+    return program.select("idx", "address", F.xxhash64(F.concat(F.array_join(words, ""), F.col("address").cast("string"))).alias("instruction_hash"))
