@@ -389,17 +389,13 @@ def export_json(spark, sf):
 
 @query("export_sqlite", f"{_VIEW} SELECT count(*) AS n, round(sum(similarity), 6) AS similarity, min(name_a) AS first_name, max({_HEX16.format(c='address_b')}) AS last_address, sum(instr_b)::BIGINT AS instructions FROM v")
 def export_sqlite(spark, sf):
-    """Written to a database file, and summed by that database."""
-    import os
+    """Written to a database (in memory here), and summed by that database."""
     import sqlite3
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:  # one file of the driver, by the nature of the format
-        path = os.path.join(folder, "matches.db")
-        exports.to_sqlite(view(spark, sf), path)
-        con = sqlite3.connect(path)
-        row = con.execute("SELECT count(*), round(sum(similarity), 6), min(function_a_name), max(function_b_address), sum(instr_count_b) FROM function_matches").fetchone()
-        con.close()
+
+    con = sqlite3.connect(":memory:")
+    exports.fill_sqlite(con, view(spark, sf))
+    row = con.execute("SELECT count(*), round(sum(similarity), 6), min(function_a_name), max(function_b_address), sum(instr_count_b) FROM function_matches").fetchone()
+    con.close()
     return spark.createDataFrame([row], "n long, similarity double, first_name string, last_address string, instructions long")
 
 

@@ -114,14 +114,19 @@ def to_sql_script(results: DataFrame, path: str) -> None:
         f.writelines(line + "\n" for line in _stream(insert_lines(results)))
 
 
-def to_sqlite(results: DataFrame, path: str) -> None:
-    """Appends on a second run; doubles in full."""
-    con = sqlite3.connect(path)
+def fill_sqlite(con: sqlite3.Connection, results: DataFrame) -> None:
+    """Appends to the table of an open database, which is made if need be; doubles in full."""
     with con:
         con.execute(_table())
         marks = ", ".join("?" * len(SQL_COLUMNS))
         rows = ((r.name_a, f"0x{int(r.address_a):016x}", r.name_b, f"0x{int(r.address_b):016x}", r.similarity, r.confidence, r.match_type, *_counts(r)) for r in _rows(results))
         con.executemany(f"INSERT INTO function_matches ({', '.join(SQL_COLUMNS)}) VALUES ({marks})", rows)
+
+
+def to_sqlite(results: DataFrame, path: str) -> None:
+    """Appends on a second run."""
+    con = sqlite3.connect(path)
+    fill_sqlite(con, results)
     con.close()
 
 
