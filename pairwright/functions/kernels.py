@@ -183,13 +183,20 @@ def comprehensive_similarity(a: Column, b: Column) -> Column:
     return weighted({k: f(a, b) for k, f in COMPREHENSIVE_PARTS.items()}, COMPREHENSIVE_WEIGHTS) / total
 
 
-def confidence(a: Column, b: Column, similarity: Column) -> Column:
-    """The similarity, raised for equal block counts, close complexity and close size."""
+def confidence_grounds(a: Column, b: Column) -> list[Column]:
+    """Equal block counts, close complexity, close size: what raises a similarity to a confidence, in order."""
     largest = F.greatest(a["size"], b["size"]).cast("double")
     near = F.abs(a["size"].cast("double") - b["size"].cast("double")) / largest < 0.1
-    out = similarity + F.when(a["n_bb"] == b["n_bb"], 0.1).otherwise(0.0)
-    out = out + F.when(F.abs(a["complexity"] - b["complexity"]) < 2, 0.1).otherwise(0.0)
-    return sanitize(out + F.when((largest > 0) & near, 0.1).otherwise(0.0))
+    return [a["n_bb"] == b["n_bb"], F.abs(a["complexity"] - b["complexity"]) < 2, (largest > 0) & near]
+
+
+def raised(similarity: Column, grounds: list[Column]) -> Column:
+    return sanitize(reduce(add, [F.when(g, 0.1).otherwise(0.0) for g in grounds], similarity))
+
+
+def confidence(a: Column, b: Column, similarity: Column) -> Column:
+    """The similarity, raised for equal block counts, close complexity and close size."""
+    return raised(similarity, confidence_grounds(a, b))
 
 
 def block_mnemonic_similarity(a: Column, b: Column) -> Column:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..storage import stored
-from . import assignment
+from . import assignment, classes
 
 SIMILARITY, CONFIDENCE = 0.6, 0.5
 DETAILS = ("cfg", "bb", "instruction", "edge", "name", "call")
@@ -75,11 +77,36 @@ def keyed_candidates(a: DataFrame, b: DataFrame, phase: int, similarity: float =
     return gate(scored(key_pairs(a.where(use()), b.where(use()), key())), similarity, confidence)
 
 
+def _grounds(x: Column, y: Column) -> Column:
+    """The grounds of a confidence as bits."""
+    return reduce(add, [F.when(g, 1 << i).otherwise(0) for i, g in enumerate(K.confidence_grounds(x, y))])
+
+
+def class_parts(pairs: DataFrame) -> DataFrame:
+    """u, v, flags of pairs of classes (structs a and b): a match score's parts before and after the name's, and grounds."""
+    x, y = F.col("a"), F.col("b")
+    terms = [(k, K.sanitize(K.MATCH_PARTS[k](x, y)) * w) for k, w in K.MATCH_WEIGHTS if k != "name"]
+    before = [k for k, _ in K.MATCH_WEIGHTS].index("name")
+    return pairs.withColumns({"u": reduce(add, [t for _, t in terms[:before]]), "v": reduce(add, [t for _, t in terms[before:]]), "flags": _grounds(x, y)})
+
+
 def keyed_matches(spark: SparkSession, a: DataFrame, b: DataFrame, phase: int, similarity: float = SIMILARITY, confidence: float = CONFIDENCE) -> DataFrame:
+    """Buckets of many pairs go by classes of rows that score alike, the others by their pairs."""
+    _, _, key, use, label = next(p for p in KEYED_PHASES if p[0] == phase)
+    alike = classes.alike(a.where(use()), b.where(use()), classes.MATCH_FEATURES)
+    alike = [stored(spark, d.select(key().alias("key"), "idx", "name", "kind", F.lit(False).alias("zero"), *classes.MATCH_FEATURES), "classes") for d in alike]
+    crowded = stored(spark, classes.crowded(*alike), "crowded")
+    any_crowded = crowded.limit(1).count() > 0
+    few = [d.join(crowded, key() == crowded["key"], "left_anti") if any_crowded else d for d in (a, b)]
     # Scores are computed once: the count of hot buckets, the assignment and the last join read the narrow table.
-    pairs = stored(spark, keyed_candidates(a, b, phase, similarity, confidence).drop("a", "b"), "scored")
+    pairs = stored(spark, keyed_candidates(*few, phase, similarity, confidence).drop("a", "b"), "scored")
     chosen = assignment.greedy(spark, pairs, "key", ["confidence", "similarity"])
-    return labelled(pairs.join(chosen, ["idx_a", "idx_b"]), phase, next(p for p in KEYED_PHASES if p[0] == phase)[4])
+    out = labelled(pairs.join(chosen, ["idx_a", "idx_b"]), phase, label)
+    if not any_crowded:
+        return out
+    assign = classes.assigner(classes.match_scores(similarity, confidence), classes.Edits)
+    chosen = stored(spark, classes.choose(*[d.join(crowded, "key") for d in alike], classes.MATCH_FEATURES, class_parts, assign), "chosen")
+    return out.unionByName(labelled(scored(as_pairs(chosen, a, b)), phase, label))
 
 
 def fuzzy_candidates(a: DataFrame, b: DataFrame, similarity: float = SIMILARITY, confidence: float = CONFIDENCE) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright import schema as S
-from pairwright.operators import assignment, features, lite, matching
+from pairwright.operators import assignment, classes, features, lite, matching
 from pairwright.sources import programs
 
 from . import plain
@@ -134,3 +134,30 @@ def test_lite_phases_equal_the_loops(spark, seed):
     df = lambda rows: spark.createDataFrame([(r["idx"], r["name"], Decimal(r["address"]), Decimal(r["size"]), r["n_bb"], r["n_instr"], r["structural_hash"]) for r in rows], schema)
     got = sorted((r.phase, r.idx_a, r.idx_b) for r in lite.match(spark, df(a), df(b)).collect())
     assert got == lite_loop(a, b)
+
+
+def tied(rng, n):
+    """Functions of few kinds; names in few forms, some of them shared, so that nearly all scores are ties."""
+    out = plain.program(rng, n)
+    for r in out:
+        r["name"] = rng.choice(["main", "run", "rün", f"run_{rng.randrange(n)}", f"sub_{r['idx']:x}"])
+    return out
+
+
+@pytest.mark.parametrize("phase", [2, 3, 4, 5])
+def test_classes_equal_the_pairs(spark, monkeypatch, phase):
+    rng = random.Random(phase)
+    a, b = (features.extract_features(frame(spark, tied(rng, 60))) for _ in range(2))
+    rows = lambda: sorted(tuple(r) for r in matching.keyed_matches(spark, a, b, phase, 0.3, 0.3).drop("details").collect())
+    by_pairs = rows()
+    monkeypatch.setattr(classes, "CROWDED", 0)
+    assert rows() == by_pairs and by_pairs
+
+
+def test_tied_bucket_needs_no_rounds(spark, monkeypatch):
+    """Rounds commit one row each where all left rows want the same right one."""
+    monkeypatch.setattr(assignment, "rounds", None)
+    f = features.extract_features(programs.fixture_program(spark)).where("idx = 0")
+    many = f.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(599))))
+    got = [(r.idx_a, r.idx_b) for r in matching.keyed_matches(spark, many, many, 2).collect()]
+    assert sorted(got) == [(i, i) for i in range(600)]
