@@ -161,3 +161,31 @@ def test_tied_bucket_needs_no_rounds(spark, monkeypatch):
     many = f.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(599))))
     got = [(r.idx_a, r.idx_b) for r in matching.keyed_matches(spark, many, many, 2).collect()]
     assert sorted(got) == [(i, i) for i in range(600)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_proposals_of_classes_equal_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    a, b = tied(rng, 30), tied(rng, 30)
+    for x in (*a, *b):
+        x["size"] = x["size"] or 16
+    fa, fb = (features.extract_features(frame(spark, x)) for x in (a, b))
+    s = {(x["idx"], y["idx"]): round(plain.blend(x, y), 9) for x in a for y in b}
+    c = {(i, j): round(plain.confidence(a[i], b[j], v), 9) for (i, j), v in s.items() if v >= 0.6}
+    first = {}
+    for i, j in sorted(c, key=lambda k: (-c[k], -s[k], k[1])):
+        first.setdefault(i, j)
+    got = {r.idx_a: (r.idx_b, round(r.similarity, 9), round(r.confidence, 9)) for r in matching.best_proposals(spark, fa, fb, 0.6, 0.5).collect()}
+    assert {i: (s[i, g], c[i, g]) for i, (g, _, _) in got.items()} == {i: (s[i, j], c[i, j]) for i, j in first.items()} == {i: v[1:] for i, v in got.items()}
+    winner = {}
+    for i in sorted(first, key=lambda i: (-got[i][2], -got[i][1], i)):
+        winner.setdefault(got[i][0], i)
+    assert {(r.idx_b, r.idx_a) for r in matching.fuzzy_matches(fa, fb).collect()} == set(winner.items())
+
+
+def test_copies_are_compared_once(spark):
+    """Four million pairs of one class: each finds its namesake, without an edit distance for each pair."""
+    f = features.extract_features(programs.fixture_program(spark)).where("idx = 7").withColumn("sequence", F.repeat(F.lit("mov call "), 300))
+    many = f.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(1999)))).withColumn("name", F.concat(F.lit("f"), F.col("idx").cast("string")))
+    got = sorted((r.idx_a, r.idx_b) for r in matching.fuzzy_matches(many, many).select("idx_a", "idx_b").collect())
+    assert got == [(i, i) for i in range(2000)]
