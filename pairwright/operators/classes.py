@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: What the score of a match reads, besides names.
 MATCH_FEATURES = ("cfg_hash", "calls", "bb_tags", "mnemonic_tags", "n_bb", "n_instr", "edges_cfg", "edges_total", "size", "complexity")
+#: Features that are only compared with the other side's.
+HASHES = {"cfg_hash", "structural_hash"}
 #: Buckets of more pairs go by classes.
 CROWDED = 10_000
 #: Pairs of classes that one task may hold; a bucket of more goes by pairs of rows.
@@ -30,12 +32,12 @@ COLUMNS = ("key", "side", "x", "y", "name", "u", "v", "flags", "zero")
 
 
 def alike(a: DataFrame, b: DataFrame, features: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with `kind`, equal for rows of equal features; a cfg_hash that only one side has counts as none."""
+    """Both sides with `kind`, equal for rows of equal features; a hash that only one side has counts as none."""
 
     def with_kind(d: DataFrame, other: DataFrame) -> DataFrame:
-        if "cfg_hash" in features:
-            both = other.select("cfg_hash").distinct().withColumn("_both", F.lit(True))
-            d = d.join(both, "cfg_hash", "left").withColumn("cfg_hash", F.when(F.col("_both"), F.col("cfg_hash"))).drop("_both")
+        for c in HASHES & set(features):
+            both = other.select(c).distinct().withColumn("_both", F.lit(True))
+            d = d.join(both, c, "left").withColumn(c, F.when(F.col("_both"), F.col(c))).drop("_both")
         lists = {f.name for f in d.schema if f.dataType.typeName() == "array"}
         return d.withColumn("kind", F.md5(F.to_json(F.struct(*[F.array_sort(c).alias(c) if c in lists else F.col(c) for c in features]))))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..storage import stored
-from . import assignment
+from . import assignment, classes
 
 #: Acceptance thresholds of the phases, and what phases one and two add.
 THRESHOLDS, BONUS = (0.6, 0.5, 0.4), (0.1, 0.05, 0.0)
@@ -32,13 +33,18 @@ def share(x: Column, y: Column) -> Column:
     return 1.0 - F.abs(x - y).cast("double") / F.greatest(x, y)
 
 
+def core_similarity(a: Column, b: Column) -> Column:
+    """What of the weighted sum is no name's: hash, blocks, edges (as blocks), instructions, flow."""
+    bb, ins = share(a["n_bb"], b["n_bb"]), share(a["n_instr"], b["n_instr"])
+    same = F.when((a["structural_hash"] == b["structural_hash"]) & (a["structural_hash"] != 0), WEIGHTS["hash"]).otherwise(0.0)
+    return same + 7.5 * bb + 2.0 * ins + 8.0
+
+
 def similarity(a: Column, b: Column) -> Column:
     """The score that the profile's features leave: hash, blocks, edges (as blocks), instructions, flow, name."""
-    bb, ins = share(a["n_bb"], b["n_bb"]), share(a["n_instr"], b["n_instr"])
     name_a, name_b = stripped_name(a["name"]), stripped_name(b["name"])
     named = ~(name_a.startswith("0x") & name_b.startswith("0x"))
-    same = F.when((a["structural_hash"] == b["structural_hash"]) & (a["structural_hash"] != 0), WEIGHTS["hash"]).otherwise(0.0)
-    core = same + 7.5 * bb + 2.0 * ins + 8.0
+    core = core_similarity(a, b)
     return F.when(named, (core + F.when(name_a == name_b, 1.0).otherwise(0.0)) / 28.5).otherwise(core / 27.5)
 
 
@@ -61,6 +67,49 @@ def _phase(spark: SparkSession, pairs: DataFrame, phase: int) -> DataFrame:
     return s.join(chosen, ["idx_a", "idx_b"]).select(F.lit(phase + 1).alias("phase"), "idx_a", "idx_b", F.col("score").alias("similarity"))
 
 
+#: What the score reads, besides names.
+FEATURES = ("structural_hash", "n_bb", "n_instr")
+#: Rows that a phase pairs, and by what.
+KEYS = (
+    (lambda: F.col("structural_hash") != 0, lambda: F.col("structural_hash").cast("string")),
+    (lambda: F.col("name") != "sub_*", lambda: F.col("name")),
+    (lambda: F.lit(True), lambda: F.lit("all")),
+)
+
+
+def _scores(phase: int):
+    """As `classes.match_scores`, for the sum without names and what names add to it."""
+
+    def score(u, v, flags, name):
+        s = np.minimum(1.0, np.where(name == 2.0, u / 27.5, (u + name) / 28.5) + BONUS[phase])
+        return s, v, s > THRESHOLDS[phase]
+
+    return score
+
+
+def _core(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"u": core_similarity(F.col("a"), F.col("b")), "v": F.lit(0.0), "flags": F.lit(0)})
+
+
+def phase_matches(spark: SparkSession, a: DataFrame, b: DataFrame, phase: int) -> DataFrame:
+    """phase, idx_a, idx_b, similarity of one phase; buckets of many pairs go by classes of rows that score alike."""
+    use, key = KEYS[phase]
+    a, b = a.where(use()), b.where(use())
+    rows = [d.select(key().alias("key"), "idx", stripped_name(F.col("name")).alias("name"), "address", *FEATURES) for d in (a, b)]
+    columns = ("key", "idx", "name", "kind", (F.col("address") == 0).alias("zero"), *FEATURES)
+    rows = [stored(spark, d.select(*columns), "classes") for d in classes.alike(*rows, FEATURES)]
+    crowded = stored(spark, classes.crowded(*rows), "crowded")
+    any_crowded = crowded.limit(1).count() > 0
+    few = [d.join(crowded, key() == crowded["key"], "left_anti") if any_crowded else d for d in (a, b)]
+    out = _phase(spark, candidates(*few, phase), phase)
+    if not any_crowded:
+        return out
+    chosen = classes.choose(*[d.join(crowded, "key") for d in rows], FEATURES, _core, classes.assigner(_scores(phase), classes.Sameness))
+    left, right = (d.select(F.col("idx").alias(f"idx_{s}"), F.struct(*d.columns).alias(s)) for d, s in ((a, "a"), (b, "b")))
+    score = F.least(F.lit(1.0), similarity(F.col("a"), F.col("b")) + BONUS[phase])
+    return out.unionByName(stored(spark, chosen, "chosen").join(left, "idx_a").join(right, "idx_b").select(F.lit(phase + 1).alias("phase"), "idx_a", "idx_b", score.alias("similarity")))
+
+
 def match(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
     """phase, idx_a, idx_b, similarity, confidence of the three phases."""
     a, b = stored(spark, a, "lite"), stored(spark, b, "lite")
@@ -68,7 +117,7 @@ def match(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
     for phase in range(3):
         free_a = a if used is None else a.join(used.select(F.col("idx_a").alias("idx")), "idx", "left_anti")
         free_b = b if used is None else b.join(used.select(F.col("idx_b").alias("idx")), "idx", "left_anti")
-        found = stored(spark, _phase(spark, candidates(free_a, free_b, phase), phase), "lite")
+        found = stored(spark, phase_matches(spark, free_a, free_b, phase), "lite")
         used = found if used is None else used.unionByName(found)
     return used.withColumns({"confidence": F.least(F.lit(1.0), F.col("similarity") + TECHNIQUE_BONUS), "technique": F.lit(TECHNIQUE)})
 

@@ -189,3 +189,16 @@ def test_copies_are_compared_once(spark):
     many = f.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(1999)))).withColumn("name", F.concat(F.lit("f"), F.col("idx").cast("string")))
     got = sorted((r.idx_a, r.idx_b) for r in matching.fuzzy_matches(many, many).select("idx_a", "idx_b").collect())
     assert got == [(i, i) for i in range(2000)]
+
+
+@pytest.mark.parametrize("seed", [1, 4, 6])
+def test_lite_classes_equal_the_loops(spark, monkeypatch, seed):
+    monkeypatch.setattr(classes, "CROWDED", 0)
+    test_lite_phases_equal_the_loops(spark, seed)
+
+
+def test_tied_leftovers_of_lite_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(assignment, "rounds", None)
+    side = lambda s: spark.range(500).selectExpr("id AS idx", f"concat('{s}', id) AS name", "CAST(16 * id + 16 AS DECIMAL(20,0)) AS address", "CAST(1 AS DECIMAL(20,0)) AS size", "5L AS n_bb", "7L AS n_instr", "0L AS structural_hash")
+    got = sorted((r.phase, r.idx_a, r.idx_b) for r in lite.match(spark, side("x"), side("y")).collect())
+    assert got == [(3, i, i) for i in range(500)]
