@@ -21,6 +21,30 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "8m")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers are used again, and would keep what their largest task held."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A function over record batches that gives memory back after the last one."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

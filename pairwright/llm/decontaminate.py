@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix, text_slices
+from .common import bound_batches, mix, text_slices, tidy
 
 Q = 8
 #: Window sizes and the edits allowed in them, and the characters for each edit in a shorter item.
@@ -312,6 +312,7 @@ def _lister(queries: Queries):
                 done += s.num_rows
             yield pa.array(lists, pa.list_(pa.int64()))
 
+    run = tidy(run)
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return run
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, mix, sorted_counts, stored, text_buffer, text_slices, word_hashes
+from .common import bound_batches, discard, mix, sorted_counts, stored, text_buffer, text_slices, tidy, word_hashes
 from .ngram_lm import pack, unpack
 
 SHINGLE = 5
@@ -168,14 +168,15 @@ def _prefixes(levels, bits: int, parts: int):
             cls = np.concatenate([x[0] for x in held])
             n = np.concatenate([x[1] for x in held])
             base = np.cumsum([0] + [len(x[0]) for x in held])
-            doc = np.concatenate([x[2] + b for x, b in zip(held, base)])
+            doc = np.concatenate([x[2] + np.int32(b) for x, b in zip(held, base)])
             key, pos = (np.concatenate([x[i] for x in held]) for i in (3, 4))
+            held.clear()
             _, first = np.unique(cls, return_index=True)
             keep = np.zeros(len(cls), bool)
             keep[first] = True
             keep = keep[doc]
             doc, key, pos = doc[keep], key[keep], pos[keep]
-            part = (mix(key) % np.uint64(parts)).astype(np.int64)
+            part = (mix(key) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             part, doc, key, pos = part[order], doc[order], key[order], pos[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
@@ -196,7 +197,8 @@ def _prefixes(levels, bits: int, parts: int):
                 pos = np.arange(len(s)) - at[:-1][row]
                 # Level 1 means that no other document has the shingle.
                 use = (pos < prefix_size(n)[row]) & (level[order] > 1)
-                held.append((cls, n, row[use], s[order][use], pos[use]))
+                held.append((cls, n.astype(np.int32), row[use].astype(np.int32), s[order[use]], pos[use].astype(np.int32)))
+                del s, level, order, pos, row
                 size += int(use.sum())
                 if size >= RUN_ROWS:
                     yield flush()
@@ -614,13 +616,13 @@ def _join(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str):
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = int(min(26, max(16, np.ceil(np.log2(max(1, docs.count()) * 32)))))
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    told = stored(spark, d.mapInArrow(_describe(bits), "kind int, doc_id long, n long, cls long, blob binary"), "classes")
+    told = stored(spark, d.mapInArrow(tidy(_describe(bits)), "kind int, doc_id long, n long, cls long, blob binary"), "classes")
     rows = told.where("kind = 0").select("doc_id", "n", "cls")
     sums = told.where("kind = 1").select(F.col("doc_id").alias("part"), "blob").groupBy("part").applyInArrow(_add_up, "part long, blob binary")
     levels = spark.sparkContext.broadcast(levels_of(sums.collect(), bits))
     reps = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"))
 
-    packed = d.select("text").mapInArrow(_prefixes(levels, bits, parts), "part int, blob binary")
+    packed = d.select("text").mapInArrow(tidy(_prefixes(levels, bits, parts)), "part int, blob binary")
     found = stored(spark, packed.groupBy("part").applyInArrow(_runs, CANDIDATES), "runs")
     runs = found.where("kind = 1").select("key", "a", "n", "pos")
     pairs = stored(spark, found.where("kind = 0").select("a", "b").distinct(), "pairs")
@@ -628,7 +630,7 @@ def _join(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str):
     bit = F.col("cls").bitwiseXOR(F.coalesce("rep", F.lit(-1))).bitwiseAND((1 << _BITMAP_BITS) - 1)
     marks = reps.join(used, "cls", "left_semi").select(bit.alias("bit"))
     bitmap = bitmap_of(marks)
-    sets = stored(spark, d.mapInArrow(_wanted_sets(levels, bits, bitmap), "cls long, size long, seq binary, sketch binary"), "sets")
+    sets = stored(spark, d.mapInArrow(tidy(_wanted_sets(levels, bits, bitmap)), "cls long, size long, seq binary, sketch binary"), "sets")
 
     candidates, pairs = pairs, stored(spark, open_pairs(pairs, sets), "pairs")
     discard(spark, candidates)

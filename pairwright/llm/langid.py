@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_slices
+from .common import bound_batches, text_slices, tidy
 
 BUCKETS = 1 << 15
 #: Documents of each language that the classifier may learn from (a documented bound).
@@ -192,6 +192,7 @@ def identify(df: DataFrame, model: dict, text_col: str = "text", lang_out: str =
 
     from collections.abc import Iterator
 
+    score = tidy(score)
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(score, "lang string, score double")
     return df.withColumn("__lid", udf(F.col(text_col))).withColumns({lang_out: F.col("__lid.lang"), score_out: F.col("__lid.score")}).drop("__lid")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, mix, shared_folder, sorted_counts, stored, text_buffer, text_slices, word_hashes
+from .common import bound_batches, discard, mix, shared_folder, sorted_counts, stored, text_buffer, text_slices, tidy, word_hashes
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xA0761D6478BD642F)
 #: Tokens that a counting task holds before it packs and sends them.
@@ -491,9 +491,9 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> dict:
     deal = Deal(shards, {r["word"] & (1 << 64) - 1: min(shards, math.ceil(r["n"] * shards / (SPLIT * total))) for r in hot})
     discard(spark, seen)
     folder = shared_folder(spark, "kneser-ney")
-    counted = texts.mapInArrow(_count(deal), "shard int, blob binary")
+    counted = texts.mapInArrow(tidy(_count(deal)), "shard int, blob binary")
     # A partition for each shard, so that tasks are even and hold one at a time.
-    merged = stored(spark, counted.repartitionById(shards, F.col("shard")).mapInArrow(_merge(folder, deal), STATS), "shards")
+    merged = stored(spark, counted.repartitionById(shards, F.col("shard")).mapInArrow(tidy(_merge(folder, deal)), STATS), "shards")
     split = stored(spark, merged.where("kind = 'hot'").select("shard", "blob").groupBy("shard").applyInArrow(_merge_hot(folder, shards), STATS), "split")
     both = merged.unionByName(split)
     add = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("types", "n1", "n2", "n3", "n4", "total")]
@@ -565,4 +565,4 @@ def score(df: DataFrame, m: dict, id_col: str = "doc_id", text_col: str = "text"
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(flag_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, SCORES)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(flag_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SCORES)

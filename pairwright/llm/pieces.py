@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdTable, bound_batches, mix, run_hashes, text_buffer, text_slices
+from .common import bound_batches, IdTable, mix, run_hashes, text_buffer, text_slices, tidy
 
 CHUNK = 64
 #: Solved units a worker keeps.
@@ -365,6 +365,7 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", out: str = "p
 
     from collections.abc import Iterator
 
+    run = tidy(run)
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(run, "ids array<int>, round_trip boolean")
     return df.withColumn(out, F.when(F.col(text_col).isNotNull(), udf(F.col(text_col))))
@@ -378,5 +379,6 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "ids", out: str = "tex
 
     from collections.abc import Iterator
 
+    run = tidy(run)
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return df.withColumn(out, F.arrow_udf(run, "string")(F.col(ids_col)))

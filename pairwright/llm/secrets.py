@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_buffer, text_slices
+from .common import bound_batches, text_buffer, text_slices, tidy
 
 #: The base patterns and the order of kinds.
 KINDS = ("assign", "access", "hex", "cnn")
@@ -333,6 +333,7 @@ def scan(df: DataFrame, model: dict, text_col: str = "text", out: str = "secrets
 
     from collections.abc import Iterator
 
+    find = tidy(find)
     find.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return df.withColumn(out, F.arrow_udf(find, "array<struct<kind:string,start:bigint,end:bigint,score:double>>")(F.col(text_col)))
 
