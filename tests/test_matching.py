@@ -202,3 +202,8 @@ def test_tied_leftovers_of_lite_need_no_rounds(spark, monkeypatch):
     side = lambda s: spark.range(500).selectExpr("id AS idx", f"concat('{s}', id) AS name", "CAST(16 * id + 16 AS DECIMAL(20,0)) AS address", "CAST(1 AS DECIMAL(20,0)) AS size", "5L AS n_bb", "7L AS n_instr", "0L AS structural_hash")
     got = sorted((r.phase, r.idx_a, r.idx_b) for r in lite.match(spark, side("x"), side("y")).collect())
     assert got == [(3, i, i) for i in range(500)]
+
+
+def test_whole_diff_of_classes_equals_the_loops(spark, monkeypatch):
+    monkeypatch.setattr(classes, "CROWDED", 0)
+    test_six_phases_equal_the_loops(spark, 1)
