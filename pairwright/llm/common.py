@@ -64,6 +64,8 @@ def _application_folder(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)  # a folder named without its store is in the default one
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/pairwright/{spark.sparkContext.applicationId}"
 
 

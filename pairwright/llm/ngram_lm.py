@@ -29,7 +29,9 @@ texts of any length are scored whole; further columns are ignored, whatever thei
 from __future__ import annotations
 
 import math
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -93,6 +95,12 @@ def _write(folder: str, name: str, raw: bytes) -> None:
             f.write(raw)
 
 
+def _mapped(path: str) -> mmap.mmap:
+    """A file's bytes. A map holds no descriptor (before Python 3.13 it does), so their limit does not bound the shards."""
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+
+
 class Model:
     """The mapped files of one folder; a shard that has no file is empty."""
 
@@ -105,7 +113,7 @@ class Model:
     def arrays(self, name: str) -> list[np.ndarray]:
         if name not in self.maps:
             path = f"{self.path}/{name}"
-            self.maps[name] = unpack(np.memmap(path, np.uint8, "r")) if os.path.exists(path) else []
+            self.maps[name] = unpack(_mapped(path)) if os.path.exists(path) else []
         return self.maps[name]
 
     def words(self, kind: str, keys: np.ndarray, shards: int, n: int) -> list[np.ndarray]:

@@ -1,7 +1,9 @@
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,23 @@ def test_tables_give_rows_back():
         c = ngram_lm._codes(np.arange(n), bits, before, code)
         assert (va[c] == a).all() and (vb[c] == b).all() and len(stored) == n and places[-1] == n
         assert (ngram_lm._from_planes(ngram_lm._planes(key)) == key).all()
+
+
+def test_open_shards_hold_no_descriptors(tmp_path):
+    for s in range(200):
+        ngram_lm._write(f"file://{tmp_path}", f"triple-{s}", ngram_lm.pack(np.array([s])))
+    model, before = ngram_lm.Model(f"file://{tmp_path}"), len(os.listdir("/proc/self/fd"))
+    assert [int(model.arrays(f"triple-{s}")[0][0]) for s in range(200)] == list(range(200))
+    assert len(os.listdir("/proc/self/fd")) <= before
+
+
+def test_checkpoint_folder_without_a_store(spark, tmp_path, monkeypatch):
+    """A plain path is a folder on a file system: mapped in place, as addFile takes no local folder on a cluster."""
+    monkeypatch.setattr(type(spark.sparkContext), "addFile", lambda *a, **b: pytest.fail("copied"))
+    conf = spark._jsparkSession.sessionState().conf()
+    conf.setConfString("spark.checkpoint.dir", str(tmp_path))
+    try:
+        m = ngram_lm.train(spark, spark.createDataFrame([("a b c",)], "text string"))
+        assert m["folder"].startswith("file:") and m["tokens"] == 4
+    finally:
+        conf.unsetConf("spark.checkpoint.dir")
