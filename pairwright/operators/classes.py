@@ -76,7 +76,10 @@ def _points(name: str) -> list[int]:
 
 
 class Edits:
-    """Edit similarity of a name to each of some; another than itself has `below` at most."""
+    """Edit similarity of a name to each of some; another than itself has `below` at most.
+
+    Names of up to 64 points are compared by bits, a column of the table of distances at once (Myers, Hyyro).
+    """
 
     def __init__(self, names: list[str]):
         points = [_points(n) for n in names]
@@ -85,6 +88,8 @@ class Edits:
         self.at = np.full((self.width, len(names)), -1, np.int32)
         for i, p in enumerate(points):
             self.at[: len(p), i] = p
+        self.word = next((w for w in (np.uint16, np.uint32, np.uint64) if self.width <= 8 * w().nbytes), None)
+        self.places: dict[int, np.ndarray] = {}
 
     def below(self, name: str) -> float:
         return 1.0 - 1.0 / max(self.width, len(name.encode()), 1)
@@ -94,6 +99,10 @@ class Edits:
 
     def to(self, name: str) -> np.ndarray:
         points = _points(name)
+        longest = np.maximum(self.size, len(points))
+        return np.where(longest == 0, 1.0, 1.0 - (self._by_rows(points) if self.word is None else self._by_bits(points)).astype(np.float64) / np.maximum(longest, 1))
+
+    def _by_rows(self, points: list[int]) -> np.ndarray:
         steps = np.arange(self.width + 1, dtype=np.int32)[:, None]
         row = np.repeat(steps, len(self.size), axis=1)
         for i, p in enumerate(points, 1):
@@ -101,8 +110,33 @@ class Edits:
             np.minimum(new[1:], row[:-1] + (self.at != p), out=new[1:])
             new[0] = i
             row = np.minimum.accumulate(new - steps, axis=0) + steps
-        longest = np.maximum(self.size, len(points))
-        return np.where(longest == 0, 1.0, 1.0 - row[self.size, np.arange(len(self.size))].astype(np.float64) / np.maximum(longest, 1))
+        return row[self.size, np.arange(len(self.size))]
+
+    def _where(self, point: int) -> np.ndarray:
+        """Bit j of each name: whether its j-th point is this one."""
+        if point not in self.places:
+            if (len(self.places) + 1) * len(self.size) > KEPT:
+                self.places.clear()
+            bits = np.zeros(len(self.size), self.word)
+            for j, row in enumerate(self.at):
+                bits |= (row == point).astype(self.word) << self.word(j)
+            self.places[point] = bits
+        return self.places[point]
+
+    def _by_bits(self, points: list[int]) -> np.ndarray:
+        one = self.word(1)
+        last = (self.size - 1).clip(0).astype(self.word)
+        up, down = np.full(len(self.size), ~self.word(0)), np.zeros(len(self.size), self.word)
+        out = self.size.copy()
+        for p in points:
+            same = self._where(p) | down
+            level = (((same & up) + up) ^ up) | same
+            less, more = up & level, down | ~(up | level)
+            out += (more >> last & one).astype(np.int32)
+            out -= (less >> last & one).astype(np.int32)
+            more = more << one | one
+            down, up = more & level, less << one | ~(more | level)
+        return np.where(self.size == 0, len(points), out)
 
 
 class Sameness:
