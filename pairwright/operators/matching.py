@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..storage import stored
+from ..storage import all_stored, stored, together
 from . import assignment, classes
 
 SIMILARITY, CONFIDENCE = 0.6, 0.5
@@ -94,19 +94,23 @@ def keyed_matches(spark: SparkSession, a: DataFrame, b: DataFrame, phase: int, s
     """Buckets of many pairs go by classes of rows that score alike, the others by their pairs."""
     _, _, key, use, label = next(p for p in KEYED_PHASES if p[0] == phase)
     alike = classes.alike(a.where(use()), b.where(use()), classes.MATCH_FEATURES)
-    alike = [stored(spark, d.select(key().alias("key"), "idx", "name", "kind", F.lit(False).alias("zero"), *classes.MATCH_FEATURES), "classes") for d in alike]
+    alike = all_stored(spark, "classes", *[d.select(key().alias("key"), "idx", "name", "kind", F.lit(False).alias("zero"), *classes.MATCH_FEATURES) for d in alike])
     crowded = stored(spark, classes.crowded(*alike), "crowded")
     any_crowded = crowded.limit(1).count() > 0
     few = [d.join(crowded, key() == crowded["key"], "left_anti") if any_crowded else d for d in (a, b)]
-    # Scores are computed once: the count of hot buckets, the assignment and the last join read the narrow table.
-    pairs = stored(spark, keyed_candidates(*few, phase, similarity, confidence).drop("a", "b"), "scored")
-    chosen = assignment.greedy(spark, pairs, "key", ["confidence", "similarity"])
-    out = labelled(pairs.join(chosen, ["idx_a", "idx_b"]), phase, label)
-    if not any_crowded:
-        return out
-    assign = classes.assigner(classes.match_scores(similarity, confidence), classes.Edits)
-    chosen = stored(spark, classes.choose(*[d.join(crowded, "key") for d in alike], classes.MATCH_FEATURES, class_parts, assign), "chosen")
-    return out.unionByName(labelled(scored(as_pairs(chosen, a, b)), phase, label))
+
+    def by_pairs() -> DataFrame:
+        # Scores are computed once: the count of hot buckets, the assignment and the last join read the narrow table.
+        pairs = stored(spark, keyed_candidates(*few, phase, similarity, confidence).drop("a", "b"), "scored")
+        chosen = assignment.greedy(spark, pairs, "key", ["confidence", "similarity"])
+        return labelled(pairs.join(chosen, ["idx_a", "idx_b"]), phase, label)
+
+    def by_classes() -> DataFrame:
+        assign = classes.assigner(classes.match_scores(similarity, confidence), classes.Edits)
+        chosen = stored(spark, classes.choose(*[d.join(crowded, "key") for d in alike], classes.MATCH_FEATURES, class_parts, assign), "chosen")
+        return labelled(scored(as_pairs(chosen, a, b)), phase, label)
+
+    return reduce(DataFrame.unionByName, together(spark, by_pairs, by_classes) if any_crowded else [by_pairs()])
 
 
 #: What the blended score reads, besides names, and what it leaves beside a pair of classes.
@@ -178,7 +182,7 @@ def fuzzy_candidates(a: DataFrame, b: DataFrame, similarity: float = SIMILARITY,
     what it leaves. Rows meet only where some name would do, and compare their names. No pair is lost.
     """
     spark = a.sparkSession
-    left, right = (stored(spark, d.select("idx", "name", "kind", *FUZZY_FEATURES), "classes") for d in classes.alike(a, b, FUZZY_FEATURES))
+    left, right = all_stored(spark, "classes", *[d.select("idx", "name", "kind", *FUZZY_FEATURES) for d in classes.alike(a, b, FUZZY_FEATURES)])
     pairs = _bounded(_spread(spark, _kinds(left, "a")).crossJoin(_spread(spark, _kinds(right, "b"))))
     best = _named(F.lit(1.0), F.col("at_most"))
     pairs = stored(spark, _spread(spark, _held(pairs, (best[0] >= similarity - 1e-9) & (best[1] >= confidence - 1e-9))), "bounded")
@@ -208,8 +212,7 @@ def best_proposals(spark: SparkSession, a: DataFrame, b: DataFrame, similarity:
     versions of one program. Only what is left compares sequences, then names.
     """
     alike = classes.alike(a, b, FUZZY_FEATURES)
-    kinds = [stored(spark, _kinds(d, s), "kinds") for d, s in zip(alike, "ab")]
-    left, right = (stored(spark, d.groupBy("kind", "name").agg(F.min("idx").alias("idx")), "rows") for d in alike)
+    *kinds, left, right = all_stored(spark, "kinds", *[_kinds(d, s) for d, s in zip(alike, "ab")], *[d.groupBy("kind", "name").agg(F.min("idx").alias("idx")) for d in alike])
     left = left.select(F.col("idx").alias("idx_a"), F.col("name").alias("name_a"), F.col("kind").alias("ka"))
     own = stored(spark, left.join(right.select(F.col("name").alias("name_a"), F.col("kind").alias("kb"), F.col("idx").alias("idx_b")), "name_a"), "own")
     as_kinds = lambda p: p.join(kinds[0], "ka").join(kinds[1], "kb")
@@ -270,7 +273,7 @@ def match_functions(spark: SparkSession, a: DataFrame, b: DataFrame, similarity:
 
 def diff(spark: SparkSession, a: DataFrame, b: DataFrame, similarity: float = SIMILARITY, confidence: float = CONFIDENCE) -> Diff:
     """a, b: feature tables. A leftover is a function whose address no match of its side has."""
-    a, b = stored(spark, a, "features"), stored(spark, b, "features")
+    a, b = all_stored(spark, "features", a, b)
     m = match_functions(spark, a, b, similarity, confidence)
     rest = lambda f, i: f.join(m.select(F.col(i).alias("idx")).join(f, "idx").select("address").distinct(), "address", "left_anti").select(*f.columns)
     return Diff(m, rest(a, "idx_a"), rest(b, "idx_b"), a, b)

@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..operators import assignment, features, lite, matching, results, textdiff
 from ..sinks import exports, reports
 from ..sources import programs
-from ..storage import shared_folder, stored
+from ..storage import all_stored, shared_folder, stored
 from . import document
 from . import oracle as O
 
@@ -43,7 +43,7 @@ def feats(spark: SparkSession, sf: str, side: str) -> DataFrame:
 
 def both(spark: SparkSession, sf: str, of=None) -> tuple[DataFrame, DataFrame]:
     """Features of both sides, extracted once for a query that reads them several times."""
-    return tuple(stored(spark, (of or feats)(spark, sf, s), "features") for s in "ab")
+    return tuple(all_stored(spark, "features", *[(of or feats)(spark, sf, s) for s in "ab"]))
 
 
 def aligned(spark: SparkSession, sf: str) -> DataFrame:

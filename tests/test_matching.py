@@ -1,9 +1,11 @@
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairwright import schema as S
+from pairwright import storage
 from pairwright.operators import assignment, classes, features, lite, matching
 from pairwright.sources import programs
 
@@ -207,3 +209,50 @@ def test_tied_leftovers_of_lite_need_no_rounds(spark, monkeypatch):
 def test_whole_diff_of_classes_equals_the_loops(spark, monkeypatch):
     monkeypatch.setattr(classes, "CROWDED", 0)
     test_six_phases_equal_the_loops(spark, 1)
+
+
+def plain_edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, p in enumerate(x, 1):
+        row, last = [i], row
+        for j, q in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("width", [0, 1, 9, 16, 17, 32, 33, 64, 65])
+def test_names_are_compared_by_bits(monkeypatch, width):
+    rng = random.Random(width)
+    names = [n for n in ("".join(rng.choice("ab0é字") for _ in range(rng.randint(0, width))) for _ in range(60)) if len(n.encode()) <= width] + ["x" * width]
+    if width <= 64:  # a table of distances for each name took nearly all the time of a crowded bucket
+        monkeypatch.setattr(classes.Edits, "_by_rows", None, raising=False)
+    edits = classes.Edits(names)
+    assert edits.width == width
+    for n in [*names[:20], "", "ab" * 40]:
+        p = classes._points(n)
+        far = [plain_edits(p, classes._points(m)) for m in names]
+        longest = [max(len(p), len(classes._points(m))) for m in names]
+        assert edits.to(n).tolist() == [1.0 - d / k if k else 1.0 for d, k in zip(far, longest)]
+    assert (edits.word is None) == (width > 64)
+
+
+def test_sides_of_a_diff_are_stored_together(spark, monkeypatch):
+    """Each waits for the other, so one after the other would not end."""
+    barrier, plain = threading.Barrier(2, timeout=60), storage.stored
+    met = []
+
+    def meeting(s, df, label):
+        if label in ("features", "classes"):
+            met.append(label)
+            barrier.wait()
+        return plain(s, df, label)
+
+    monkeypatch.setattr(storage, "stored", meeting)
+    test_six_phases_equal_the_loops(spark, 2)
+    assert "classes" in met
+
+
+def test_a_failed_run_of_several_is_raised(spark):
+    with pytest.raises(ZeroDivisionError):
+        storage.together(spark, lambda: 1, lambda: 1 // 0)
+    assert storage.together(spark, lambda: 1, lambda: 2) == [1, 2]
