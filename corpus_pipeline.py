@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import decontaminate, jaccard, langid, pieces, secrets
-from pairwright.llm.common import fold_of, stored, table, tokenizer_path
+from pairwright.llm.common import fold_of, releases_shuffles, stored, table, tokenizer_path
 from pairwright.llm.queries import PIECE_MODEL
 
 
@@ -29,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where(F.col("__lang") != langid.UND).drop("__lang", "__score")
 
 
+@releases_shuffles
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.8 or more; wordless texts are never duplicates.
 

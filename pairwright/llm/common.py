@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import uuid
@@ -91,6 +92,31 @@ def discard(spark: SparkSession, *paths) -> None:
         hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def releases_shuffles(run):
+    """run(spark, ...) with the shuffle files of each query removed as it ends.
+
+    Else they stay until the driver's JVM happens to collect its garbage, so disk use depends on chance. A Spark that
+    does not know the setting leaves them.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    @functools.wraps(run)
+    def out(spark: SparkSession, *args, **kwargs):
+        was = spark.conf.get(key, None)
+        spark.conf.set(key, "true")
+        try:
+            return run(spark, *args, **kwargs)
+        finally:
+            spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+    return out
+
+
+def driver_gives_back(spark: SparkSession) -> None:
+    """The driver's JVM collects what the plans of many small jobs have left; it would rather grow to its limit."""
+    spark._jvm.System.gc()
+
+
 def fold_of(col, modulus: int):
     """crc32 of an id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % modulus

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, mix, sorted_counts, stored, text_buffer, text_slices, tidy, word_hashes
+from .common import bound_batches, discard, driver_gives_back, mix, releases_shuffles, sorted_counts, stored, text_buffer, text_slices, tidy, word_hashes
 from .ngram_lm import pack, unpack
 
 SHINGLE = 5
@@ -56,6 +56,8 @@ BATCH = 256
 RUN_BLOCK = 1024
 #: Classes, and shingles, of a component that make up about one block when links are counted.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
+#: Links that one task turns into stars before the rounds.
+LINK_ROWS = 1_000_000
 #: Prefix rows that a task holds before it packs and sends them.
 RUN_ROWS = 1_000_000
 _BITMAP_BITS = 24
@@ -455,12 +457,47 @@ def verify(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(node, comp) with comp the least node of each component, by large-star and small-star rounds."""
-    edges = stored(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    size = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    was = size(edges)
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges but the least of each component, and that least node for each."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    top = np.arange(len(nodes))
     while True:
+        lo, hi = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        if not (lo < hi).any():
+            return nodes[top < np.arange(len(nodes))], nodes[top[top < np.arange(len(nodes))]]
+        np.minimum.at(top, hi, lo)
+        while (top[top] != top).any():
+            top = top[top]
+
+
+def _stars(batches):
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if got:
+        u, v = stars(*(np.concatenate(x) for x in zip(*got)))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def tangled(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, are more than stars around the least node of each component."""
+    end = lambda c, up: edges.select(F.col(c).alias("x"), F.lit(up).alias("up"))
+    nodes = end("u", 1).unionByName(end("v", 0)).groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("ends"))
+    return nodes.where("up > 1 OR up = 1 AND ends > 1").agg(F.count("*")).first()[0] > 0
+
+
+def components(spark: SparkSession, links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, comp) with comp the least node of each component, by large-star and small-star rounds.
+
+    Tasks first turn the links that they hold into stars, which saves rounds. `known` is what an earlier call gave: its
+    stars stand for all the links of that call.
+    """
+    driver_gives_back(spark)
+    tasks = max(4, -(-links.count() // LINK_ROWS))
+    edges = links.select("a", "b").coalesce(tasks).mapInArrow(_stars, "u long, v long")
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+    edges = stored(spark, edges.distinct(), "edges")
+    while tangled(edges):
         # Large star: the larger neighbours of a node go to the least of its neighbourhood.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -469,11 +506,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = stored(spark, small.where("u <> v").distinct(), "edges")
-        now = size(new)
         discard(spark, edges)
-        edges, was, same = new, now, now == was
-        if same:
-            break
+        edges = new
+        driver_gives_back(spark)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
@@ -617,9 +652,10 @@ def _join(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str):
     bits = int(min(26, max(16, np.ceil(np.log2(max(1, docs.count()) * 32)))))
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     told = stored(spark, d.mapInArrow(tidy(_describe(bits)), "kind int, doc_id long, n long, cls long, blob binary"), "classes")
-    rows = told.where("kind = 0").select("doc_id", "n", "cls")
     sums = told.where("kind = 1").select(F.col("doc_id").alias("part"), "blob").groupBy("part").applyInArrow(_add_up, "part long, blob binary")
     levels = spark.sparkContext.broadcast(levels_of(sums.collect(), bits))
+    rows = stored(spark, told.where("kind = 0").select("doc_id", "n", "cls"), "classes")
+    discard(spark, told)  # the counters of all tasks are most of it
     reps = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"))
 
     packed = d.select("text").mapInArrow(tidy(_prefixes(levels, bits, parts)), "part int, blob binary")
@@ -654,12 +690,12 @@ def _join(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str):
             if not more.limit(1).count():
                 discard(spark, more)
                 continue
-            links = links.unionByName(stored(spark, verify(spark, more, sets), "links"))
             pairs = pairs.unionByName(more)
-            known = components(spark, links)
+            known = components(spark, stored(spark, verify(spark, more, sets), "links"), known)
     return rows, reps, known, sets, found
 
 
+@releases_shuffles
 def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, and with `links` the true numbers of links, class_links and n_links.
 
@@ -684,6 +720,7 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     return out.select("doc_id", F.col("n").alias("n_shingles"), *own, *[F.when(empty, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in counts])
 
 
+@releases_shuffles
 def join_pairs(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every pair of linked classes once, as class ids, the lesser one first. Documents of one class link as well."""
     _, reps, known, sets, found = _join(spark, docs, id_col, text_col)

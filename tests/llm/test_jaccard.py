@@ -143,3 +143,47 @@ def test_overlaps_equal_set_overlap():
     draw = lambda: np.sort(np.concatenate([base[rng.random(300) < 0.9], rng.choice(10_000, 40, replace=False).astype(np.uint64) + np.uint64(20_000)]))
     xs, ys = [draw() for _ in range(40)], [draw() for _ in range(30)]
     assert jaccard.overlaps(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+
+
+def test_stars_of_links():
+    rng = np.random.default_rng(6)
+    for n, m in ((2, 1), (50, 30), (50, 200), (1000, 900)):
+        u, v = rng.integers(-n, n, m), rng.integers(-n, n, m)
+        got = dict(zip(*(x.tolist() for x in jaccard.stars(u, v))))
+        root = {}
+        for x in sorted(set(u.tolist()) | set(v.tolist())):
+            if x not in root:
+                seen, todo = {x}, [x]
+                while todo:
+                    y = todo.pop()
+                    near = set(v[u == y].tolist() + u[v == y].tolist()) - seen
+                    seen |= near
+                    todo += near
+                root |= dict.fromkeys(seen, x)
+        assert got == {k: r for k, r in root.items() if k != r}
+    assert [len(x) for x in jaccard.stars(*(np.zeros(0, np.int64),) * 2)] == [0, 0]
+
+
+def test_components_go_on_from_known_ones(spark):
+    """Few jobs: no round over what is stars already, and later links join the stars of earlier ones."""
+    at = lambda df: {r["node"]: r["comp"] for r in df.collect()}
+    pairs = lambda x: spark.createDataFrame(x, "a long, b long")
+    first = jaccard.components(spark, pairs([(5, 9), (9, 7), (20, 21), (30, 31)]))
+    assert at(first) == {9: 5, 7: 5, 21: 20, 31: 30}
+    got = at(jaccard.components(spark, pairs([(7, 21), (40, 31)]), first))
+    assert got == {9: 5, 7: 5, 20: 5, 21: 5, 31: 30, 40: 30}
+
+
+def test_join_leaves_no_shuffle_files(spark):
+    """They would stay until the driver's JVM collects its garbage, which counts as disk until then."""
+    import glob
+    import os
+
+    rng = random.Random(7)
+    df = spark.createDataFrame(corpus(rng, [(30, 80, 0.015)], tables.prose(rng, 55)), "doc_id long, text string").repartition(5)
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    left = lambda: {f for d in folders for f in glob.glob(os.path.join(d.getPath(), "*", "shuffle_*"))}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key), left()
+    jaccard.join_classes(spark, df)
+    assert not left() - before and spark.conf.get(key) == was
