@@ -17,7 +17,7 @@ set by their number, turned into base-2 levels), then by hash. What follows from
    batch of its candidates, stored as sorted sequences, common shingles first; runs of equal prefixes are the tree's
    branches. The walk keeps the overlap of each shared prefix, leaves a sequence when the overlap so far and what
    remains cannot reach what is required, and a whole subtree when no sequence of any length below can.
-4. Links become components by large-star/small-star rounds in Spark.
+4. Links become components: stars of what each task holds, then large-star/small-star rounds in Spark.
 5. Every link has both ends in one component. Components are dealt out as blocks of classes, each two blocks once, and
    all their overlaps are counted exactly. So every class and document gets its true number of links, also where the
    rounds of step 2 had no need of a pair.
