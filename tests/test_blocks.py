@@ -62,7 +62,7 @@ def _stored_bytes(spark):
     return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top) for f in names)
 
 
-@pytest.mark.parametrize("run", [lambda s, a, b: matching.fuzzy_matches(a, b)], ids=["matches"])
+@pytest.mark.parametrize("run", [lambda s, a, b: matching.fuzzy_matches(a, b), lambda s, a, b: matching.fuzzy_candidates(a, b, 0.0, 0.0)], ids=["matches", "candidates"])
 def test_what_is_stored_grows_with_rows_not_pairs(spark, run):
     grown = []
     for n in (80, 240):
